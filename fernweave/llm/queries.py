@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernweave.llm import bpe, exact, mixing, quality, shards, urls
+from fernweave.llm import bpe, exact, mixing, quality, shards, simhash, urls
 from fernweave.llm.common import documents
 
 
@@ -34,5 +34,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding, op8_simhash)}
 SQL: dict[str, str] = {}
