@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -279,7 +280,7 @@ def load(path: str, pattern: str) -> Bpe:
     return _LOADED[path, pattern]
 
 
-def _default(path: str | None, pattern: str | None) -> tuple[str, str]:
+def default_files(path: str | None, pattern: str | None) -> tuple[str, str]:
     import public_tokenizers
 
     return path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
@@ -287,7 +288,7 @@ def _default(path: str | None, pattern: str | None) -> tuple[str, str]:
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id and token_ids. path must be readable on every executor."""
-    path, pattern = _default(path, pattern)
+    path, pattern = default_files(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
@@ -302,7 +303,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "token_ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per row of encoded: doc_id and the decoded bytes. Null ids decode to no bytes."""
-    path, pattern = _default(path, pattern)
+    path, pattern = default_files(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
@@ -310,7 +311,7 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "token_ids", p
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 lists = part.column(1)
-                sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 tokens = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
                 data, ends = bpe.decode(tokens, np.concatenate([[0], np.cumsum(sizes)]))
                 raw = data.tobytes()
@@ -325,7 +326,7 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
 
     Both directions run in one pass over a slice, so that token lists do not travel between two Python stages.
     """
-    path, pattern = _default(path, pattern)
+    path, pattern = default_files(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)

@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_0
     """
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > most_bytes:
