@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernweave.llm import bpe, exact, mixing, quality, shards, simhash, urls
+from fernweave.llm import bpe, chat, exact, mixing, quality, shards, simhash, tokens, urls
 from fernweave.llm.common import documents
 
 
@@ -38,5 +38,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding, op8_simhash)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(documents(spark, sf_dir))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.formatted(rows.unionByName(chat.probe(spark))))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding, op8_simhash, op9_token_counts, op10_chat)}
 SQL: dict[str, str] = {}
