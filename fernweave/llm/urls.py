@@ -114,16 +114,19 @@ def model(spark: SparkSession, counts: DataFrame) -> DataFrame:
     return every.select(F.col("c").alias("code"), F.round((F.log("pa") - F.log("pb")) * 1000).cast("int").alias("ratio"))
 
 
-def as_array(table: DataFrame) -> DataFrame:
-    """One row: the ratios in the order of their codes, so that the code is the index."""
-    rows = F.sort_array(F.collect_list(F.struct("code", "ratio")))
-    return table.agg(F.transform(rows, lambda x: x["ratio"]).alias("ratios"))
+def scored(tails: DataFrame, table: DataFrame) -> DataFrame:
+    """tails (host and path, each once) with score: mean ratio per character (and end), in thousandths of a nat, rounded down.
+
+    table has 32^4 rows whatever the input, which is the bound on what is broadcast.
+    """
+    each = tails.select("host", "path", F.explode(grams(F.concat("host", "path"))).alias("code"))
+    told = each.join(F.broadcast(table), "code").groupBy("host", "path").agg(F.floor(F.sum("ratio") / F.count(F.lit(1))).cast("long").alias("score"))
+    return tails.join(told, ["host", "path"], "left")
 
 
-def score(gram_codes: Column, ratios: Column) -> Column:
-    """Mean ratio per character (and end), in thousandths of a nat, rounded down."""
-    total = F.aggregate(gram_codes, F.lit(0).cast("long"), lambda acc, g: acc + F.get(ratios, g.cast("int")))
-    return F.floor(total / F.size(gram_codes)).cast("long")
+def _times(verdict: str) -> Column:
+    """Number of URLs of a verdict, from rows that stand for n URLs each."""
+    return F.coalesce(F.sum(F.when(F.col("ruled") == verdict, F.col("n"))), F.lit(0))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def threshold(scored: DataFrame) -> DataFrame:
     Scores are binned by 10 and clipped to +-20,000, so the table that is ordered has at most 4,001 rows.
     """
     bins = scored.groupBy(F.greatest(F.lit(-2000), F.least(F.lit(2000), F.floor(F.col("score") / 10))).cast("long").alias("bin")).agg(
-        F.count_if(F.col("ruled") == ALLOW).alias("a"), F.count_if(F.col("ruled") == BLOCK).alias("b")
+        _times(ALLOW).alias("a"), _times(BLOCK).alias("b")
     )
     up = Window.partitionBy(F.lit(0)).orderBy(F.col("bin").desc())
     all_of = Window.partitionBy(F.lit(0))
@@ -144,26 +147,21 @@ def threshold(scored: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, rules: list[UrlRule] | None = None, url: str = "url") -> DataFrame:
     """pages with host, path, rule, score (null where a rule decides) and verdict."""
     rules = RULES if rules is None else rules
-    spark = pages.sparkSession
-    pages = pages.drop("host", "path", "rule", "score", "verdict")
-
-    def parsed(df: DataFrame) -> DataFrame:
-        host, path = host_and_path(F.col(url))
-        parts = df.withColumns({"host": host, "path": path})
-        name, ruled = rule_of(F.col("host"), F.col("path"), rules)
-        return parts.withColumns({"rule": name, "__ruled": ruled})
-
-    tail = F.concat("host", "path")
-    labelled = parsed(pages.select(url)).filter(F.col("__ruled").isNotNull()).select(F.col("__ruled").alias("ruled"), grams(tail).alias("grams"), (F.crc32(tail) % HOLD_OUT == 0).alias("held"))
-    counts = (
-        labelled.filter(~F.col("held"))
-        .select("ruled", F.explode("grams").alias("code"))
-        .groupBy("code")
-        .agg(F.count_if(F.col("ruled") == ALLOW).alias("a"), F.count_if(F.col("ruled") == BLOCK).alias("b"))
-    )
-    # One row of 32^4 integers at most, whatever the input: it reaches the tasks as a scalar.
-    ratios = cut(as_array(model(spark, counts))).scalar()
-    limit = threshold(labelled.filter("held").select("ruled", score(F.col("grams"), ratios).alias("score"))).first()["t"]
-    out = parsed(pages).withColumn("score", F.when(F.col("__ruled").isNull(), score(grams(tail), ratios)))
-    method = F.when((tail == "") | (F.col("score") >= limit), F.lit(ALLOW)).otherwise(F.lit(BLOCK))
-    return out.withColumn("verdict", F.coalesce(F.col("__ruled"), method)).drop("__ruled")
+    host, path = host_and_path(F.col(url))
+    parsed = pages.drop("host", "path", "rule", "score", "verdict").withColumns({"host": host, "path": path})
+    # URLs of the same host and path share a verdict: they are counted before the shuffle and judged once.
+    tails = parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    name, ruled = rule_of(F.col("host"), F.col("path"), rules)
+    held = F.crc32(F.concat("host", "path")) % HOLD_OUT == 0
+    tails = cut(tails.withColumns({"rule": name, "ruled": ruled, "held": held}))
+    trained = tails.filter(F.col("ruled").isNotNull() & ~F.col("held")).select("ruled", "n", F.explode(grams(F.concat("host", "path"))).alias("code"))
+    counts = trained.groupBy("code").agg(_times(ALLOW).alias("a"), _times(BLOCK).alias("b"))
+    table = cut(model(pages.sparkSession, counts))
+    told = cut(scored(tails.filter(F.col("ruled").isNull() | F.col("held")), table))
+    limit = threshold(told.filter(F.col("ruled").isNotNull())).first()["t"]
+    free = told.filter(F.col("ruled").isNull())
+    blank = (F.col("host") == "") & (F.col("path") == "")
+    method = F.when(blank | (F.col("score") >= limit), F.lit(ALLOW)).otherwise(F.lit(BLOCK))
+    verdicts = tails.filter(F.col("ruled").isNotNull()).select("host", "path", "rule", F.lit(None).cast("long").alias("score"), F.col("ruled").alias("verdict"))
+    verdicts = verdicts.unionByName(free.select("host", "path", "rule", "score", method.alias("verdict")))
+    return parsed.join(verdicts, ["host", "path"]).select(*parsed.columns, "rule", "score", "verdict")
