@@ -46,14 +46,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
     weighed = sizes.withColumn("w", weight.cast("double"))
-    before = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by_cap = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
+    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
     capped = F.coalesce(F.sum("source_size").over(before), F.lit(0)) * most
     level = (F.sum("source_size").over(every) - capped) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    fits = F.when(F.col("level") * F.col("w") <= F.col("source_size") * most, F.col("level"))
+    fits = F.when(F.col("level") * F.col("w") <= F.col("source_size") * most, F.struct("place", "level"))
     return (
-        weighed.withColumn("level", level)
-        .withColumn("level", F.min(fits).over(every))
+        weighed.withColumns({"level": level, "place": F.row_number().over(by_cap)})
+        .withColumn("level", F.min(fits).over(every)["level"])
         .withColumn("target", F.least(F.col("source_size") * F.lit(float(most)), F.col("level") * F.col("w")))
         .select("source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
     )
