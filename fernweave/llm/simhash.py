@@ -24,7 +24,6 @@ an empty result; further columns do not reach the output of `near_components` an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 from math import comb, exp, lgamma
 
@@ -33,7 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fernweave.llm.bpe import ranges
 from fernweave.llm.common import cut, slices
 from fernweave.llm.components import components
 
@@ -343,35 +344,138 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.join(of_print, F.col("fingerprint") == F.col("of")).select("doc_id", "fingerprint", "component_id")
 
 
-#: What near_dedup asks of a pair: SHINGLE words a shingle, TAU bits of 64 at most, and TAU_ALL bits of 256 at most.
-#: 256 * acos(2s / (1 + s)) / pi bits differ in the mean at a Jaccard similarity s of the shingles: 38.8 bits at 0.8.
-SHINGLE, GROUPS, TAU, TAU_ALL = 5, 4, 12, 40
+#: near_dedup: SHINGLE words a shingle; candidates differ in TAU bits of 64 and TAU_ALL bits of 256 at most; of them, those
+#: are near copies whose sets of shingles have a Jaccard similarity of SIMILARITY at least, which is computed exactly.
+#: At a similarity s, 256 * acos(2s / (1 + s)) / pi bits differ in the mean: 38.8 of 256, or 9.7 of 64, at 0.8.
+SHINGLE, GROUPS, TAU, TAU_ALL, SIMILARITY = 5, 4, 12, 52, 0.8
+#: Documents, and shingles in the mean, of a block of a candidate group.
+SET_BLOCK, SET_SHINGLES = 2000, 2_000_000
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, groups: int = GROUPS, tau: int = TAU, tau_all: int = TAU_ALL) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs: of each component the row with the least id (null ids last).
+def alike_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the place of the first of its component, where two sets are linked at that Jaccard similarity.
 
-    Equal ids of a component are told apart by a hash of the whole row, identical rows by their number among equals.
-    Texts are read twice and shuffled only if over MOST_KEYS rows go.
+    A set is expanded by counting what it shares with all others over their postings. The smallest component goes on
+    first; when all sets that haven't been expanded are in one component, no further link can change anything.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    posted, ends = owner[order], np.cumsum(np.bincount(code, minlength=len(values)))
+    begins = np.concatenate([[0], ends[:-1]])
+    starts = np.cumsum(sizes) - sizes
+    label, waiting = np.arange(n), np.ones(n, dtype=bool)
+    while True:
+        left = np.flatnonzero(waiting)
+        members = np.bincount(label[left], minlength=n)
+        if np.count_nonzero(members) <= 1:
+            return label
+        i = left[np.argmin(members[label[left]])]
+        waiting[i] = False
+        own = code[starts[i] : starts[i] + sizes[i]]
+        shared = np.bincount(posted[ranges(begins[own], ends[own] - begins[own])], minlength=n)
+        near_ = np.flatnonzero(shared >= similarity * (sizes[i] + sizes - shared) - 1e-9)
+        joined = np.unique(label[near_])
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+
+
+def verified(members: DataFrame, similarity: float = SIMILARITY, block: int = SET_BLOCK, shingles: int = SET_SHINGLES) -> DataFrame:
+    """(u, v): links of which the components are those of all pairs in a candidate group at that similarity.
+
+    members: id (a string), root (the candidate group) and hashes (the distinct shingles). A group is dealt out as pairs
+    of blocks, by its documents and by its shingles, so that no task holds more than two blocks.
+    """
+    n = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("hashes")).alias("m"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("m") / shingles)).cast("int")
+    n = n.filter("n > 1").select(F.col("root").alias("__root"), blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks"))
+    ends = lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other)
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), ends)).alias("pair")
+    dealt = members.join(n, F.col("root") == F.col("__root")).select("root", pairs, "id", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets = None, [], []
+        for part in batches:
+            u, v = [], []
+            for i, key in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                if key != now:
+                    tied(ids, sets, u, v)
+                    now, ids, sets = key, [], []
+                ids.append(part.column(2)[i].as_py())
+                sets.append(part.column(3)[i].values.to_numpy(zero_copy_only=False))
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], ["u", "v"])
+        u, v = [], []
+        tied(ids, sets, u, v)
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], ["u", "v"])
+
+    def tied(ids: list[str], sets: list[np.ndarray], u: list[str], v: list[str]) -> None:
+        if len(ids) > 1:
+            label = alike_roots(sets, similarity)
+            for i in np.flatnonzero(label != np.arange(len(ids))):
+                u.append(ids[i])
+                v.append(ids[label[i]])
+
+    return dealt.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(run, "u string, v string")
+
+
+def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """docs without the text, with hashes: the distinct shingle hashes of each text. A text without words has the one set {}: 0."""
+    kept = docs.select(*[c for c in docs.columns if c != text], F.col(text).cast("string").alias("__text"))
+    schema = kept.drop("__text").schema.add("hashes", T.ArrayType(T.LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "__text"):
+            at = part.schema.get_field_index("__text")
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle)).view(np.int64) for x in part.column(at)]
+            sets = [x if len(x) else np.zeros(1, dtype=np.int64) for x in sets]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+            rest = [c for i, c in enumerate(part.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*rest, lists], [c for c in part.schema.names if c != "__text"] + ["hashes"])
+
+    return kept.mapInArrow(run, schema)
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, groups: int = GROUPS, tau: int = TAU, tau_all: int = TAU_ALL, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay, with the columns of docs: of each component of near copies the row with the least id.
+
+    Null ids come last; equal ids of a component are told apart by a hash of the whole row, and identical rows, which
+    are equals in every column, count as one until one of them is taken. Texts are read three times, the last two times
+    only those of candidates and of rows that stay; they are shuffled only if over MOST_KEYS rows are candidates.
     """
     columns = docs.columns
-    tie = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(*columns).alias("h"))
-    prints = cut(fingerprints(docs.select(tie.alias("tie"), F.col(text).alias("__t")), "__t", shingle, groups))
-    named = prints.select("tie", node_name(groups).alias("name"))
+    key = F.concat_ws("/", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.hex(F.xxhash64(*columns)))
+    marked = docs.withColumn("__key", key)
+    of_text = marked.select("__key", F.col(doc_id).alias("__id"), F.col(text).alias("__t"))
+    prints = cut(fingerprints(of_text, "__t", shingle, groups))
+    named = prints.select("__key", "__id", node_name(groups).alias("name"))
     roots = rooted(prints, groups, tau, tau_all)
-    placed = named.join(roots, F.col("name") == F.col("node"), "left").select("tie", F.coalesce("root", "name").alias("root"))
+    placed = named.join(roots, F.col("name") == F.col("node"), "left").select("__key", "__id", F.coalesce("root", "name").alias("root"))
+    placed = placed.groupBy("root", "__key").agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("equals"))
     placed = cut(placed)
-    stay = placed.groupBy("root").agg(F.min("tie").alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = placed.join(stay.withColumnRenamed("root", "of"), F.col("root") == F.col("of"))
-    goes = cut(again.filter("tie <> stays").select("tie").distinct())
-    small = F.broadcast(goes) if goes.count() <= MOST_KEYS else goes
-    marked = docs.withColumn("__tie", tie)
-    kept = marked.join(small, (F.col("__tie.h") == F.col("tie.h")) & F.col("__tie").eqNullSafe(F.col("tie")), "left_anti")
-    twice = cut(again.filter("tie = stays").groupBy("tie").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("tie"))
+    several = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of"))
+    candidates = cut(placed.join(several, F.col("root") == F.col("of")).select(F.col("__key").alias("id"), "root", "__id"))
+    chosen = _matching(of_text, candidates.select(F.col("id").alias("__of"), "root"), "inner")
+    sets = shingle_sets(chosen.select(F.col("__key").alias("id"), "root", "__t"), "__t", shingle)
+    groups_of = components(verified(cut(sets), similarity))
+    ranked = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("node").alias("key"))
+    tied = groups_of.join(candidates.select("id", "__id"), F.col("node") == F.col("id"))
+    stay = tied.groupBy("root").agg(F.min(ranked)["key"].alias("stays")).select("stays")
+    goes = cut(tied.join(stay, F.col("node") == F.col("stays"), "left_anti").select(F.col("node").alias("__of")))
+    kept = _matching(marked, goes, "left_anti")
+    twice = placed.filter("equals > 1").select(F.col("__key").alias("__of"))
     if twice.isEmpty():
         return kept.select(*columns)
-    # identical rows are equals in every column: any one of them may stay
-    few = F.broadcast(twice) if twice.count() <= MOST_KEYS else twice
-    on = (F.col("__tie.h") == F.col("tie.h")) & F.col("__tie").eqNullSafe(F.col("tie"))
-    rows = kept.join(few, on, "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy("__tie").orderBy(F.lit(0))))
-    return kept.join(few, on, "left_anti").select(*columns).unionByName(rows.filter("__k = 1").select(*columns))
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    rows = _matching(kept, twice, "left_semi").withColumn("__k", first).filter("__k = 1")
+    return _matching(kept, twice, "left_anti").select(*columns).unionByName(rows.select(*columns))
+
+
+def _matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """rows joined to keys by __key = __of; the keys are broadcast only if they are few."""
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, F.col("__key") == F.col("__of"), how)
