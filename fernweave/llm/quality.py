@@ -113,7 +113,7 @@ BASE_RULES = [
 ]
 FURTHER_RULES = [
     Rule("many_symbols", lambda t: n_symbols(t) * 100 > F.char_length(t) * 5),
-    Rule("many_repeated_lines", lambda t: let(lines_with_a_word(t), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 10 > F.size(x) * 3)),
+    Rule("many_repeated_lines", lambda t: let(lines_with_a_word(t), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 2 > F.size(x))),
     Rule("shouting", lambda t: _chars_of(t, r"\p{Lu}") * 10 > F.char_length(t) * 4),
     Rule("few_letters", lambda t: _chars_of(t, r"\p{L}") * 2 < F.char_length(t)),
     Rule("odd_word_length", lambda t: let(words_of(t), lambda w: ~F.char_length(F.array_join(w, "")).between(F.size(w) * 2, F.size(w) * 25))),
