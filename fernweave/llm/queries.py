@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, chat, exact, mixing, quality, shards, simhash, tokens, urls
+from fernweave.llm import bpe, chat, crf, exact, mixing, quality, shards, simhash, tokens, urls
 from fernweave.llm.common import documents
 
 
@@ -17,6 +18,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = crf.learned(docs, ~held_out)
+    return crf.identified(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = urls.judged(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
     return told.select("page_id", "host", "path", "rule", "verdict", "score")
@@ -47,5 +55,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(rows.unionByName(chat.probe(spark))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding, op8_simhash, op9_token_counts, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_language_id, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding, op8_simhash, op9_token_counts, op10_chat)}
 SQL: dict[str, str] = {}
