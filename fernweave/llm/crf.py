@@ -180,24 +180,29 @@ class Labeller:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.ones((1, len(self.model.labels)))
+        self.table = np.ones((1024, len(self.model.labels)))
 
-    def places(self, words: list[str]) -> np.ndarray:
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Exponentials of the words' scores, a row for each word; new words are scored once and remembered."""
         new = {w for w in words if w not in self.known}
         if len(self.known) + len(new) > REMEMBERED:
             self._forget()
             new = set(words)
         if new:
+            start = len(self.known)
+            if start + len(new) > len(self.table):
+                grown = np.ones((2 * (start + len(new)), self.table.shape[1]))
+                grown[:start] = self.table[:start]
+                self.table = grown
             scores = np.stack([self.model.emission(w) for w in sorted(new)])
-            scores = np.exp(scores - scores.max(axis=1, keepdims=True))
-            self.known.update(zip(sorted(new), range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, scores])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self.table[start : start + len(new)] = np.exp(scores - scores.max(axis=1, keepdims=True))
+            self.known.update(zip(sorted(new), range(start, start + len(new)), strict=True))
+        return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def posteriors(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each list of words (not empty) the labels' probabilities at each word, exact along the whole list."""
         step, n = self.step, len(self.model.labels)
-        emits = [self.table[self.places(words)] for words in texts]
+        emits = [self.emissions(words) for words in texts]
         blocks = np.array([-(-len(x) // BLOCK) for x in texts])
         first = np.cumsum(blocks) - blocks
         total = int(blocks.sum())
