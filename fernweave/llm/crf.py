@@ -23,10 +23,12 @@ with names of output columns. With equal probabilities the label first in order
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
+from uuid import uuid4
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,9 @@ PER_LANGUAGE, WINDOWS, WINDOW, MOST_LANGUAGES = 200, 3, 32, 200
 #: Words of a language's lexicon at most.
 LEXICON = 3000
 HASH_BITS = 16
-#: Words of a block in prediction, and words whose emissions a worker remembers.
-BLOCK, REMEMBERED = 48, 400_000
+MASK = (1 << HASH_BITS) - 1
+#: Words of a block in prediction, and scores of words (a word has one for each label) that a worker remembers.
+BLOCK, REMEMBERED = 48, 6_000_000
 #: Bytes of text whose probabilities are held at a time, with up to 8 languages; with more, in proportion less.
 SLICE = 2_000_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,9 +61,10 @@ def words_in(text: str) -> list[str]:
 def hashed_features(word: str) -> list[int]:
     """Places of a word's affixes and n-grams in the table of weights."""
     marked = f"^{word}$"
-    names = {f"p{word[:k]}" for k in (1, 2, 3)} | {f"s{word[-k:]}" for k in (1, 2, 3)}
-    names |= {marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)}
-    return [zlib.crc32(x.encode()) & ((1 << HASH_BITS) - 1) for x in names]
+    names = {"p" + word[:1], "p" + word[:2], "p" + word[:3], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:]}
+    names.update(map("".join, zip(marked, marked[1:])))  # noqa: B905
+    names.update(map("".join, zip(marked, marked[1:], marked[2:])))  # noqa: B905
+    return [crc32(x) & MASK for x in map(str.encode, names)]
 
 
 @dataclass
@@ -72,13 +76,21 @@ class Model:
     steps: np.ndarray
     lexicon: dict[str, list[int]]
     of_lexicon: np.ndarray
+    key: str = field(default_factory=lambda: uuid4().hex)
 
-    def emission(self, word: str) -> np.ndarray:
-        """Scores of a word's labels: the mean over its n-grams and affixes, and what its lexicons say."""
-        at = hashed_features(word)
-        out = self.weights[at].sum(axis=0) / np.sqrt(len(at))
-        for k in self.lexicon.get(word, ()):
-            out = out + self.of_lexicon[k]
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Scores of the words' labels: over a word's n-grams and affixes, scaled by their number, and its lexicons."""
+        out = np.zeros((len(words), len(self.labels)))
+        for start in range(0, len(words), 20_000):
+            part = words[start : start + 20_000]
+            places = [hashed_features(w) for w in part]
+            sizes = np.fromiter(map(len, places), np.int64, len(part))
+            flat = np.fromiter(chain.from_iterable(places), np.int64, int(sizes.sum()))
+            sums = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
+            out[start : start + len(part)] = sums / np.sqrt(sizes)[:, None]
+            for i, word in enumerate(part, start):
+                for k in self.lexicon.get(word, ()):
+                    out[i] += self.of_lexicon[k]
         return out
 
 
@@ -138,7 +150,7 @@ def trained(windows: list[tuple[str, list[str]]], epochs: int = 4, batch: int =
             chosen = [sequences[i] for i in order[start : start + batch]]
             ids, gold = np.stack([x for x, _ in chosen]), np.stack([y for _, y in chosen])
             distinct, inverse = np.unique(ids, return_inverse=True)
-            emission = np.stack([model.emission(vocabulary[i]) for i in distinct])
+            emission = model.emissions([vocabulary[i] for i in distinct])
             step = np.exp(model.steps - model.steps.max())
             emit = np.exp(emission - emission.max(axis=1, keepdims=True))[inverse.reshape(ids.shape)]
             forward, backward, _ = messages(emit, step)
@@ -185,7 +197,7 @@ class Labeller:
     def emissions(self, words: list[str]) -> np.ndarray:
         """Exponentials of the words' scores, a row for each word; new words are scored once and remembered."""
         new = {w for w in words if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > REMEMBERED // max(8, len(self.model.labels)):
             self._forget()
             new = set(words)
         if new:
@@ -194,7 +206,7 @@ class Labeller:
                 grown = np.ones((2 * (start + len(new)), self.table.shape[1]))
                 grown[:start] = self.table[:start]
                 self.table = grown
-            scores = np.stack([self.model.emission(w) for w in sorted(new)])
+            scores = self.model.emissions(sorted(new))
             self.table[start : start + len(new)] = np.exp(scores - scores.max(axis=1, keepdims=True))
             self.known.update(zip(sorted(new), range(start, start + len(new)), strict=True))
         return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
@@ -254,6 +266,17 @@ class Labeller:
         return now
 
 
+_LABELLERS: dict[str, Labeller] = {}
+
+
+def labeller_of(model: Model) -> Labeller:
+    """The labeller of a model, made once in each Python worker, which keeps one only."""
+    if model.key not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[model.key] = Labeller(model)
+    return _LABELLERS[model.key]
+
+
 def training_windows(docs: DataFrame, text: str, label: str, learn: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(label, words): windows of a bounded sample of the labelled texts. Equal texts of a label count once.
 
@@ -276,7 +299,7 @@ def training_windows(docs: DataFrame, text: str, label: str, learn: Column, per_
                 own = words_in(value)
                 spare = max(len(own) - WINDOW, 0)
                 for k in range(WINDOWS):
-                    start = (zlib.crc32(f"{h}/{k}".encode()) % (spare + 1)) if spare else 0
+                    start = (crc32(f"{h}/{k}".encode()) % (spare + 1)) if spare else 0
                     if own and (spare or not k):
                         labels.append(of)
                         words.append(own[start : start + WINDOW])
@@ -307,7 +330,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", spans: bool =
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, labels = Labeller(sent.value), np.array(sent.value.labels, dtype=object)
+        labeller, labels = labeller_of(sent.value), np.array(sent.value.labels, dtype=object)
         for part in slices(batches, "__text", SLICE * 8 // max(8, len(labels))):
             at = part.schema.get_field_index("__text")
             words = [words_in(x) if x else [] for x in part.column(at).to_pylist()]
