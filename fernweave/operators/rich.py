@@ -8,6 +8,8 @@ of the posts that it holds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,13 +138,12 @@ def card(v: Column) -> Column:
     kept = F.slice(options, F.lit(1), F.when(gap > 0, (gap - 1).cast("int")).otherwise(F.lit(POLL_OPTIONS)))
     final = _or(at(F.get(F.filter(values, lambda x: at(x, "key") == "counts_are_final"), F.lit(0)), "value.boolean_value", "boolean"), False)
     recipient = at(F.get(F.filter(values, lambda x: (at(x, "key") == "recipient") & (at(x, "value.type") == "USER")), F.lit(0)), "value.user_value.id_str")
-    none = F.lit(None).cast("string")
 
     def shaped(kind: str, **given: Column) -> Column:
         kinds = {c: "string" for c in ("title", "description", "vanityUrl", "url", "photoUrl", "cta", "recipientId")} | {"options": "array<struct<label:string,votesCount:bigint>>", "finished": "boolean", "videoUrl": "string"}
-        return F.struct(F.lit(kind).alias("type"), *[given.get(c, none).cast(k).alias(c) for c, k in kinds.items()])
+        return F.struct(F.lit(kind).alias("type"), *[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
-    has = lambda *keys: F.coalesce(*[F.lit(True)], F.lit(True)) if not keys else first(keys[0]).isNotNull() & (first(keys[1]).isNotNull() if len(keys) > 1 else F.lit(True))
+    has = lambda *keys: reduce(lambda x, y: x & y, [first(k).isNotNull() for k in keys])
     details = lambda part: _or(at(unified, f"component_objects.details_1.data.{part}.content"), "")
     docked = lambda part: _or(at(unified, f"destination_objects.browser_with_docked_media_1.data.url_data.{part}"), "")
     of_kind = lambda kind: F.when(at(entity, "type") == kind, at(entity, "media_url_https"))
