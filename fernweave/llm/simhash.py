@@ -24,13 +24,14 @@ an empty result; further columns do not reach the output of `near_components` an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb, exp, lgamma
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +45,9 @@ BLOCK = 4096
 #: Rows of a run up to which it is compared together with its neighbours in the sorted order.
 SHORT = 12
 #: Estimated seconds to file a fingerprint once, and to compare two.
-FILE_S, COMPARE_S = 2e-6, 6e-9
+FILE_S, COMPARE_S = 3e-6, 6e-9
+#: The part of all comparisons that is left where fingerprints must also be of texts of about one size.
+BANDED = 0.17
 #: Long runs, and rows to drop, up to which their keys are broadcast (24 bytes each).
 MOST_KEYS = 1_000_000
 #: Odd multipliers that mix a hash into further groups of 64 bits.
@@ -83,10 +86,10 @@ def mixed(hashes: np.ndarray, group: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, groups: int = 1) -> DataFrame:
-    """docs without the text, with f0, f1, ...: 64 bits each, as signed longs."""
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, groups: int = 1, sized: bool = False) -> DataFrame:
+    """docs without the text, with f0, f1, ...: 64 bits each, as signed longs; and size, the number of distinct shingles."""
     kept = docs.select(*[c for c in docs.columns if c != text], F.col(text).cast("string").alias("__text"))
-    names = [f"f{g}" for g in range(groups)]
+    names = columns_of(groups, sized)
     schema = kept.drop("__text").schema
     for name in names:
         schema = schema.add(name, "long")
@@ -94,17 +97,21 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, groups:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
             at = part.schema.get_field_index("__text")
-            found = np.zeros((part.num_rows, groups), dtype=np.uint64)
+            found = np.zeros((part.num_rows, len(names)), dtype=np.uint64)
             for i, value in enumerate(part.column(at)):
                 hashes = shingle_hashes(value.as_py(), shingle)
-                found[i] = [votes(mixed(hashes, g)) for g in range(groups)]
+                found[i] = [votes(mixed(hashes, g)) for g in range(groups)] + [len(np.unique(hashes))] * sized
             rest = [c for i, c in enumerate(part.columns) if i != at]
-            columns = rest + [pa.array(found[:, g].view(np.int64)) for g in range(groups)]
+            columns = rest + [pa.array(found[:, k].copy().view(np.int64)) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, [c for c in part.schema.names if c != "__text"] + names)
 
     return kept.mapInArrow(run, schema)
 
 
+def columns_of(groups: int, sized: bool) -> list[str]:
+    return [f"f{g}" for g in range(groups)] + ["size"] * sized
+
+
 def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
     """Number of rows of nodes, and how often bits b and c of f0 are set together (64 x 64), over all of them."""
 
@@ -116,15 +123,12 @@ def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
                 bits = np.unpackbits(raw[start : start + 50_000], axis=1, bitorder="little").astype(np.float32)
                 both += bits.T @ bits
                 n += len(bits)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([both.ravel().astype(np.int64)])], ["n", "both"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.append(both.ravel(), n).astype(np.int64)])], ["sums"])
 
-    told = nodes.select("f0").mapInArrow(run, "n long, both array<long>")
-    # 4,096 sums, whatever the input
-    sums = told.select("n", F.posexplode("both")).groupBy("pos").agg(F.sum("col").alias("s")).collect()
-    both = np.zeros(4096)
-    for row in sums:
-        both[row["pos"]] = row["s"]
-    return int(told.agg(F.sum("n")).first()[0] or 0), both.reshape(64, 64)
+    told = nodes.select("f0").mapInArrow(run, "sums array<long>").select(F.posexplode("sums"))
+    # 4,097 sums, whatever the input
+    sums = {row["pos"]: row["s"] for row in told.groupBy("pos").agg(F.sum("col").alias("s")).collect()}
+    return sums.get(4096, 0), np.array([sums.get(k, 0) for k in range(4096)], dtype=float).reshape(64, 64)
 
 
 def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -165,7 +169,7 @@ def chance_within(n: int, both: np.ndarray, bits: list[int], most: int) -> list[
     return out
 
 
-def allocated(n: int, both: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
+def allocated(n: int, both: np.ndarray, tau: int, compare_s: float = COMPARE_S) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition: the cheapest of all allocations of tau - m + 1 over m partitions, for any m."""
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for m in range(2, min(tau + 1, 16) + 1):
@@ -174,7 +178,7 @@ def allocated(n: int, both: np.ndarray, tau: int) -> list[tuple[list[int], int]]
         for bits in parts:
             chance = chance_within(n, both, bits, tau)
             filed = [sum(comb(len(bits), d) for d in range(t + 1)) for t in range(tau + 1)]
-            costs.append([0.0] + [n * filed[t] * FILE_S + n * n / 2 * chance[t] * COMPARE_S for t in range(tau + 1)])
+            costs.append([0.0] + [n * filed[t] * FILE_S + n * n / 2 * chance[t] * compare_s for t in range(tau + 1)])
         # least[s]: cost and thresholds of the partitions so far whose thresholds plus one add up to s
         least: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for own in costs:
@@ -208,32 +212,50 @@ def filings(partitions: list[tuple[list[int], int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _filed(nodes: DataFrame, ways: list[tuple[int, int]]) -> DataFrame:
-    """nodes once for each way: way (its number) and key (the bits that are compared)."""
-    table = F.array(*[F.struct(F.lit(i).alias("way"), F.lit(signed(keep)).alias("keep")) for i, (keep, _) in enumerate(ways)])
-    each = nodes.withColumn("w", F.explode(table))
-    return each.select(F.col("w.way").alias("way"), F.col("f0").bitwiseAND(F.col("w.keep")).alias("key"), *nodes.columns)
+@dataclass(frozen=True)
+class Limits:
+    """tau: bits of f0 that may differ. tau_all: bits of all groups. ratio: of the lesser to the greater size, at least.
 
+    Rows are arrays with a column for each group, and one more for the size if there is a ratio.
+    """
 
-def near(a: np.ndarray, b: np.ndarray, tau: int, tau_all: int | None, masked: np.ndarray | int) -> np.ndarray:
-    """Whether rows of a and b (each with a column for each group of bits) are linked."""
-    first = a[..., 0] ^ b[..., 0]
-    out = (np.bitwise_count(first) <= tau) & ((first & masked) == masked)
-    if tau_all is not None and out.any():
-        at = np.nonzero(out)
-        x, y = np.broadcast_arrays(a, b)
-        out[at] = np.bitwise_count(x[at] ^ y[at]).sum(axis=-1) <= tau_all
-    return out
-
+    tau: int
+    tau_all: int | None = None
+    ratio: float | None = None
 
-def roots_of(prints: np.ndarray, tau: int, tau_all: int | None, masked: int) -> np.ndarray:
-    """For each row of a run the place of its component's first row; compared in stripes of a million cells."""
+    def linked(self, a: np.ndarray, b: np.ndarray, masked: np.ndarray | np.uint64) -> np.ndarray:
+        """Whether rows of a and b are linked: a way's masked bits must all differ, or another way has the pair."""
+        first = a[..., 0] ^ b[..., 0]
+        out = (np.bitwise_count(first) <= self.tau) & ((first & masked) == masked)
+        if (self.tau_all is None and self.ratio is None) or not out.any():
+            return out
+        at = np.nonzero(out)
+        x, y = (z[at] for z in np.broadcast_arrays(a, b))
+        good = np.ones(len(x), dtype=bool)
+        if self.ratio is not None:
+            low, high = np.minimum(x[:, -1], y[:, -1]), np.maximum(x[:, -1], y[:, -1])
+            good &= low >= high * self.ratio - 1e-9
+            x, y = x[:, :-1], y[:, :-1]
+        if self.tau_all is not None:
+            good &= np.bitwise_count(x ^ y).sum(axis=-1) <= self.tau_all
+        out[at] = good
+        return out
+
+    def reach(self, sizes: np.ndarray, last: int) -> int:
+        """In rows in the order of their sizes: how many of them can be linked to a row up to the place `last`."""
+        return len(sizes) if self.ratio is None else int(np.searchsorted(sizes, sizes[last] / self.ratio + 1e-6, "right"))
+
+
+def roots_of(prints: np.ndarray, limits: Limits, masked: int) -> np.ndarray:
+    """For each row of a run the place of its component's first row; compared in stripes of a million cells at most."""
     n = len(prints)
     label = np.arange(n)
-    stripe = max(1, 1_000_000 // n)
+    stripe = max(1, 1_000_000 // n) if limits.ratio is None else 64
+    sizes = prints[:, -1].astype(np.float64)
     for start in range(0, n, stripe):
         rows = prints[start : start + stripe]
-        a, b = np.nonzero(near(rows[:, None, :], prints[None, start:, :], tau, tau_all, np.uint64(masked)))
+        stop = limits.reach(sizes, start + len(rows) - 1)
+        a, b = np.nonzero(limits.linked(rows[:, None, :], prints[None, start:stop, :], np.uint64(masked)))
         a, b = a + start, b + start
         a, b = a[a < b], b[a < b]
         while len(a):
@@ -252,7 +274,7 @@ def _names(prints: np.ndarray) -> np.ndarray:
     return np.array(["".join(f"{x:016x}" for x in row) for row in prints.tolist()], dtype=object)
 
 
-def _linked(rows: np.ndarray, starts: np.ndarray, ways: np.ndarray, prints: np.ndarray, tau: int, tau_all: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _linked(rows: np.ndarray, starts: np.ndarray, ways: np.ndarray, prints: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
     """Links within the runs that begin at starts: ends as rows of prints. rows: the run of each row."""
     sizes = np.diff(np.append(starts, len(rows)))
     left, right = [], []
@@ -261,40 +283,43 @@ def _linked(rows: np.ndarray, starts: np.ndarray, ways: np.ndarray, prints: np.n
         at = np.flatnonzero((rows[step:] == rows[:-step]) & brief[step:])
         if not len(at):
             break
-        hit = at[near(prints[at], prints[at + step], tau, tau_all, ways[at])]
+        hit = at[limits.linked(prints[at], prints[at + step], ways[at])]
         left.append(hit)
         right.append(hit + step)
     for run in np.flatnonzero(sizes > SHORT):
         start, size = starts[run], sizes[run]
-        label = roots_of(prints[start : start + size], tau, tau_all, int(ways[start]))
+        label = roots_of(prints[start : start + size], limits, int(ways[start]))
         tied = np.flatnonzero(label != np.arange(size))
         left.append(tied + start)
         right.append(label[tied] + start)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def links(nodes: DataFrame, tau: int = 3, tau_all: int | None = None, block: int = BLOCK, partitions: list[tuple[list[int], int]] | None = None) -> DataFrame:
-    """(u, v), named as _names does: links of which the components are those of all pairs of nodes within the thresholds.
+def links(nodes: DataFrame, limits: Limits, block: int = BLOCK, partitions: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """(u, v), named as node_name does: links of which the components are those of all pairs of nodes within the limits.
 
-    nodes: distinct fingerprints f0, f1, ... Pairs within tau bits of f0 (and, if given, tau_all bits of all) are linked.
+    nodes: distinct rows of f0, f1, ... (and size). A row is filed with its columns only; what it is filed under follows
+    from f0 and is computed after the shuffle.
     """
-    groups = len(nodes.columns)
-    prints = [f"f{g}" for g in range(groups)]
+    columns = nodes.columns
     if partitions is None:
-        partitions = allocated(*bit_counts(nodes), tau)
+        partitions = allocated(*bit_counts(nodes), limits.tau, COMPARE_S if limits.ratio is None else COMPARE_S * BANDED)
     ways = filings(partitions)
     masked = np.array([gone for _, gone in ways], dtype=np.uint64)
-    filed = _filed(nodes.select(*prints), ways)
-    long_runs = cut(filed.groupBy("way", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select(F.col("way").alias("__way"), F.col("key").alias("__key"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    keeps = F.array(*[F.lit(signed(keep)) for keep, _ in ways])
+    key = F.col("f0").bitwiseAND(F.get(keeps, F.col("way")))
+    filed = nodes.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(len(ways) - 1))))
+    counts = filed.select("way", key.alias("key")).groupBy("way", "key").agg(F.count(F.lit(1)).alias("n"))
+    long_runs = cut(counts.filter(F.col("n") > block).select(F.col("way").alias("__way"), F.col("key").alias("__key"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     if long_runs.isEmpty():
         dealt = filed.withColumn("pair", F.lit(0))
     else:
         small = F.broadcast(long_runs) if long_runs.count() <= MOST_KEYS else long_runs
-        own = F.pmod(F.xxhash64(F.lit("block"), *prints), F.col("blocks"))
+        own = F.pmod(F.xxhash64(F.lit("block"), *columns), F.col("blocks")).cast("int")
         ends = lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other)
-        pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), ends))
-        dealt = filed.join(small, (F.col("way") == F.col("__way")) & (F.col("key") == F.col("__key")), "left")
-        dealt = dealt.select("way", "key", *prints, F.explode(pairs).alias("pair"))
+        pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), ends))
+        dealt = filed.join(small, (F.col("way") == F.col("__way")) & (key == F.col("__key")), "left")
+        dealt = dealt.select(*columns, "way", F.explode(pairs).alias("pair"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -313,43 +338,43 @@ def links(nodes: DataFrame, tau: int = 3, tau_all: int | None = None, block: int
             return
         new = np.append(True, (now[1:, :3] != now[:-1, :3]).any(axis=1))
         found = np.ascontiguousarray(now[:, 3:]).view(np.uint64)
-        left, right = _linked(np.cumsum(new), np.flatnonzero(new), masked[now[:, 0]], found, tau, tau_all)
+        left, right = _linked(np.cumsum(new), np.flatnonzero(new), masked[now[:, 0]], found, limits)
         if len(left):
             yield pa.RecordBatch.from_arrays([pa.array(_names(found[left])), pa.array(_names(found[right]))], ["u", "v"])
 
-    ordered = dealt.select(F.col("way").cast("long").alias("way"), "key", F.col("pair").cast("long").alias("pair"), *prints)
-    return ordered.repartition("way", "key", "pair").sortWithinPartitions("way", "key", "pair").mapInArrow(run, "u string, v string")
+    together = dealt.repartition("way", key, "pair").select(F.col("way").cast("long").alias("way"), key.alias("key"), F.col("pair").cast("long").alias("pair"), *columns)
+    return together.sortWithinPartitions("way", "key", "pair", *columns[-1:]).mapInArrow(run, "u string, v string")
 
 
-def node_name(groups: int) -> F.Column:
-    return F.concat(*[F.lpad(F.lower(F.hex(f"f{g}")), 16, "0") for g in range(groups)])
+def node_name(columns: list[str]) -> Column:
+    return F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in columns])
 
 
-def rooted(prints: DataFrame, groups: int, tau: int, tau_all: int | None) -> DataFrame:
+def rooted(prints: DataFrame, columns: list[str], limits: Limits) -> DataFrame:
     """(node, root) of the fingerprints that are linked to another one."""
-    nodes = cut(prints.select(*[f"f{g}" for g in range(groups)]).distinct())
-    return components(links(nodes, tau, tau_all))
+    return components(links(cut(prints.select(*columns).distinct()), limits))
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, tau: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hexadecimal digits) and component_id, the least id of its component."""
     prints = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle)
     prints = cut(prints)
-    named = prints.select("doc_id", node_name(1).alias("fingerprint"))
+    named = prints.select("doc_id", node_name(["f0"]).alias("fingerprint"))
     least = named.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = rooted(prints, 1, tau, None)
-    placed = least.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least")
+    roots = rooted(prints, ["f0"], Limits(tau))
+    placed = least.join(roots.hint("merge"), F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least")
     of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = cut(placed.join(of_root, "root").select(F.col("fingerprint").alias("of"), "component_id"))
     return named.join(of_print, F.col("fingerprint") == F.col("of")).select("doc_id", "fingerprint", "component_id")
 
 
-#: near_dedup: SHINGLE words a shingle; candidates differ in TAU bits of 64 and TAU_ALL bits of 256 at most; of them, those
-#: are near copies whose sets of shingles have a Jaccard similarity of SIMILARITY at least, which is computed exactly.
-#: At a similarity s, 256 * acos(2s / (1 + s)) / pi bits differ in the mean: 38.8 of 256, or 9.7 of 64, at 0.8.
-SHINGLE, GROUPS, TAU, TAU_ALL, SIMILARITY = 5, 4, 12, 52, 0.8
+#: near_dedup: SHINGLE words a shingle; candidates differ in TAU bits of 64 and TAU_ALL bits of 128 at most, and their
+#: numbers of shingles allow the similarity. Of them, those are near copies whose sets of shingles have a Jaccard
+#: similarity of SIMILARITY at least, which is computed exactly. At a similarity s, acos(2s / (1 + s)) / pi of the bits
+#: differ in the mean: 9.7 of 64 and 19.4 of 128 at 0.8, 6.6 and 13.3 at 0.9.
+SHINGLE, GROUPS, TAU, TAU_ALL, SIMILARITY = 5, 2, 12, 28, 0.8
 #: Documents, and shingles in the mean, of a block of a candidate group.
-SET_BLOCK, SET_SHINGLES = 2000, 2_000_000
+SET_BLOCK, SET_SHINGLES = 1500, 500_000
 
 
 def alike_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -394,7 +419,7 @@ def verified(members: DataFrame, similarity: float = SIMILARITY, block: int = SE
     own = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks"))
     ends = lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other)
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), ends)).alias("pair")
-    dealt = members.join(n, F.col("root") == F.col("__root")).select("root", pairs, "id", "hashes")
+    dealt = members.join(n.hint("merge"), F.col("root") == F.col("__root")).select("root", pairs, "id", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
@@ -452,21 +477,22 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     key = F.concat_ws("/", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.hex(F.xxhash64(*columns)))
     marked = docs.withColumn("__key", key)
     of_text = marked.select("__key", F.col(doc_id).alias("__id"), F.col(text).alias("__t"))
-    prints = cut(fingerprints(of_text, "__t", shingle, groups))
-    named = prints.select("__key", "__id", node_name(groups).alias("name"))
-    roots = rooted(prints, groups, tau, tau_all)
-    placed = named.join(roots, F.col("name") == F.col("node"), "left").select("__key", "__id", F.coalesce("root", "name").alias("root"))
+    bits = columns_of(groups, True)
+    prints = cut(fingerprints(of_text, "__t", shingle, groups, sized=True))
+    named = prints.select("__key", "__id", node_name(bits).alias("name"))
+    roots = rooted(prints, bits, Limits(tau, tau_all, similarity))
+    placed = named.join(roots.hint("merge"), F.col("name") == F.col("node"), "left").select("__key", "__id", F.coalesce("root", "name").alias("root"))
     placed = placed.groupBy("root", "__key").agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("equals"))
     placed = cut(placed)
     several = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of"))
-    candidates = cut(placed.join(several, F.col("root") == F.col("of")).select(F.col("__key").alias("id"), "root", "__id"))
+    candidates = cut(placed.join(several.hint("merge"), F.col("root") == F.col("of")).select(F.col("__key").alias("id"), "root", "__id"))
     chosen = _matching(of_text, candidates.select(F.col("id").alias("__of"), "root"), "inner")
     sets = shingle_sets(chosen.select(F.col("__key").alias("id"), "root", "__t"), "__t", shingle)
     groups_of = components(verified(cut(sets), similarity))
     ranked = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("node").alias("key"))
-    tied = groups_of.join(candidates.select("id", "__id"), F.col("node") == F.col("id"))
+    tied = groups_of.join(candidates.select("id", "__id").hint("merge"), F.col("node") == F.col("id"))
     stay = tied.groupBy("root").agg(F.min(ranked)["key"].alias("stays")).select("stays")
-    goes = cut(tied.join(stay, F.col("node") == F.col("stays"), "left_anti").select(F.col("node").alias("__of")))
+    goes = cut(tied.join(stay.hint("merge"), F.col("node") == F.col("stays"), "left_anti").select(F.col("node").alias("__of")))
     kept = _matching(marked, goes, "left_anti")
     twice = placed.filter("equals > 1").select(F.col("__key").alias("__of"))
     if twice.isEmpty():
