@@ -46,7 +46,7 @@ LEXICON = 3000
 HASH_BITS = 16
 MASK = (1 << HASH_BITS) - 1
 #: Words of a block in prediction, and scores of words (a word has one for each label) that a worker remembers.
-BLOCK, REMEMBERED = 48, 6_000_000
+BLOCK, REMEMBERED = 48, 4_000_000
 #: Bytes of text whose probabilities are held at a time, with up to 8 languages; with more, in proportion less.
 SLICE = 2_000_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -187,7 +187,7 @@ class Labeller:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.step = np.exp(model.steps - model.steps.max()).astype(np.float64)
+        self.step = np.exp(model.steps - model.steps.max(initial=0.0)).astype(np.float64)
         self._forget()
 
     def _forget(self) -> None:
