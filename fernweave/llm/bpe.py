@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -35,7 +34,7 @@ LONG = 256
 #: Cells of one padded matrix.
 CELLS = 2_000_000
 #: Distinct chunks whose tokens a worker remembers; then it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 NONE = np.int32(2**30)
 #: The end of patterns that begin a match at each space before a non-space, and a space that isn't one.
 _SPACED = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -206,8 +205,8 @@ class Bpe:
             ends.append(len(chunks))
         if not chunks:
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
-        codes, distinct = pd.factorize(np.array(chunks, dtype=object))
-        place = self._encode_chunks(distinct)[codes]
+        self._learn(list(dict.fromkeys(chunks)))
+        place = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         sizes, firsts = self.sizes[place], self.firsts[place]
         chunk_ends = np.concatenate([[0], np.cumsum(sizes)])
         return self.tokens[ranges(firsts, sizes)], chunk_ends[np.concatenate([[0], ends]).astype(np.int64)]
@@ -224,8 +223,8 @@ class Bpe:
         parts[0] = " " + parts[0]
         return parts
 
-    def _encode_chunks(self, chunks: np.ndarray) -> np.ndarray:
-        """Places of the chunks in self.firsts and self.sizes, whose tokens are in self.tokens; new ones are encoded."""
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode the chunks that aren't known: known has their places in firsts and sizes, which lead to tokens."""
         if len(self.known) + len(chunks) > REMEMBERED:
             self._forget()
         known = self.known
@@ -241,8 +240,9 @@ class Bpe:
                     found = self.find(x[1:] if x[:1] == " " else " " + x)
                     pieces += found
                     counts.append(len(found))
-            codes, distinct = pd.factorize(np.array(pieces, dtype=object))
-            flat, sizes = self.encode_pieces([x.encode() for x in distinct])
+            index = {x: i for i, x in enumerate(dict.fromkeys(pieces))}
+            codes = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+            flat, sizes = self.encode_pieces([x.encode() for x in index])
             firsts = np.cumsum(sizes) - sizes
             tokens = flat[ranges(firsts[codes], sizes[codes])]
             ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(counts)])]
@@ -250,7 +250,6 @@ class Bpe:
             self.firsts = np.concatenate([self.firsts, ends[:-1] + len(self.tokens)])
             self.sizes = np.concatenate([self.sizes, np.diff(ends)])
             self.tokens = np.concatenate([self.tokens, tokens])
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
