@@ -56,4 +56,37 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_language_id, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding, op8_simhash, op9_token_counts, op10_chat)}
-SQL: dict[str, str] = {}
+_SPACE = r"[\x20\x09-\x0D]"
+
+SQL: dict[str, str] = {
+    "op1_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS w,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2) x),
+        twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM windows) x WHERE c > 1),
+        again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
+        m AS (SELECT w.doc_id, t, lines, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                     coalesce(a.n, 0) AS n_repeat_words FROM w LEFT JOIN again a ON a.doc_id = w.doc_id),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR n_symbols * 100 > length(t) * 5 OR n_dup_lines * 2 > len(lines)
+                    OR len(regexp_extract_all(t, '\p{{Lu}}')) * 10 > length(t) * 4 OR len(regexp_extract_all(t, '\p{{L}}')) * 2 < length(t)
+                    OR word_chars NOT BETWEEN n_words * 2 AND n_words * 25) AS kept
+        FROM b""",
+    "op5_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) d""",
+    "op10_chat": r"""
+        WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        s AS (SELECT *, CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 15 END
+                        + length(t) + len(regexp_extract_all(t, '\\')) + len(regexp_extract_all(t, '\[/?(INST|TOOL|ROLE)\]|\[/OTHER\]|</?s>|<</?SYS>>')) AS chars,
+                     lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn, role, t) AS before FROM r)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+               CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+               count(*) FILTER (NOT ((before IN ('', 'system') AND role = 'user') OR (before = '' AND role = 'system') OR (before IN ('user', 'tool') AND role = 'assistant') OR (before = 'assistant' AND role IN ('user', 'tool')))) AS n_faults
+        FROM s GROUP BY conv_id""",
+}
