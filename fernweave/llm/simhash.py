@@ -172,6 +172,7 @@ def chance_within(n: int, both: np.ndarray, bits: list[int], most: int) -> list[
 def allocated(n: int, both: np.ndarray, tau: int, compare_s: float = COMPARE_S) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition: the cheapest of all allocations of tau - m + 1 over m partitions, for any m."""
     best: tuple[float, list[tuple[list[int], int]]] | None = None
+    n = max(n, 2)  # without rows all allocations would cost the same
     for m in range(2, min(tau + 1, 16) + 1):
         parts = grouped_bits(n, both, m)
         costs = []
