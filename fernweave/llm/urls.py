@@ -130,18 +130,21 @@ def _times(verdict: str) -> Column:
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row: the least score at which the share of accepted URLs kept less that of rejected ones kept is greatest.
+    """One row: the score from which URLs are kept, so that the share of accepted URLs kept less that of rejected ones is greatest.
 
-    Scores are binned by 10 and clipped to +-20,000, so the table that is ordered has at most 4,001 rows.
+    Scores are binned by 10 and clipped to +-20,000, so the table that is ordered has at most 4,001 rows. The threshold
+    lies halfway between the best bin and the next lower one that has URLs, where nothing was seen.
     """
     bins = scored.groupBy(F.greatest(F.lit(-2000), F.least(F.lit(2000), F.floor(F.col("score") / 10))).cast("long").alias("bin")).agg(
         _times(ALLOW).alias("a"), _times(BLOCK).alias("b")
     )
     up = Window.partitionBy(F.lit(0)).orderBy(F.col("bin").desc())
     all_of = Window.partitionBy(F.lit(0))
-    sums = bins.select("bin", F.sum("a").over(up).alias("a"), F.sum("b").over(up).alias("b"), F.sum("a").over(all_of).alias("na"), F.sum("b").over(all_of).alias("nb"))
+    lower = F.coalesce(F.lead("bin").over(up) + 1, F.col("bin"))
+    sums = bins.select("bin", lower.alias("lower"), F.sum("a").over(up).alias("a"), F.sum("b").over(up).alias("b"), F.sum("a").over(all_of).alias("na"), F.sum("b").over(all_of).alias("nb"))
     gain = F.col("a") * F.col("nb") - F.col("b") * F.col("na")
-    return sums.agg(F.coalesce(F.max_by(F.when(F.least("na", "nb") > 0, F.col("bin") * 10).otherwise(0), F.struct(gain, -F.col("bin"))), F.lit(0)).cast("long").alias("t"))
+    between = F.floor((F.col("bin") + F.col("lower")) * 5)
+    return sums.agg(F.coalesce(F.max_by(F.when(F.least("na", "nb") > 0, between).otherwise(0), F.struct(gain, -F.col("bin"))), F.lit(0)).cast("long").alias("t"))
 
 
 def judged(pages: DataFrame, rules: list[UrlRule] | None = None, url: str = "url") -> DataFrame:
