@@ -1,7 +1,7 @@
 """Tasks and their work: progress reports, states after a move, and what work is open, as reads over the tables.
 
-The reference hands work to live workers under locks. Collection isn't done here, so what stays of that is the data
-side: which items are open and in which order, and what a table is after a batch of outcomes.
+Collection isn't done here, so nothing hands work to workers under locks. What there is, is the data side: which items
+are open and in which order, and what a table is after a batch of outcomes.
 """
 
 from __future__ import annotations
