@@ -26,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb, exp, lgamma
+from math import ceil, comb, exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -275,7 +275,7 @@ def _names(prints: np.ndarray) -> np.ndarray:
     return np.array(["".join(f"{x:016x}" for x in row) for row in prints.tolist()], dtype=object)
 
 
-def _linked(rows: np.ndarray, starts: np.ndarray, ways: np.ndarray, prints: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
+def _linked(rows: np.ndarray, starts: np.ndarray, ways: np.ndarray, prints: np.ndarray, limits: Limits, grown: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links within the runs that begin at starts: ends as rows of prints. rows: the run of each row."""
     sizes = np.diff(np.append(starts, len(rows)))
     left, right = [], []
@@ -289,7 +289,8 @@ def _linked(rows: np.ndarray, starts: np.ndarray, ways: np.ndarray, prints: np.n
         right.append(hit + step)
     for run in np.flatnonzero(sizes > SHORT):
         start, size = starts[run], sizes[run]
-        label = roots_of(prints[start : start + size], limits, int(ways[start]))
+        run_ = prints[start : start + size]
+        label = grown_roots(run_, limits) if grown else roots_of(run_, limits, int(ways[start]))
         tied = np.flatnonzero(label != np.arange(size))
         left.append(tied + start)
         right.append(label[tied] + start)
@@ -369,11 +370,14 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.join(of_print, F.col("fingerprint") == F.col("of")).select("doc_id", "fingerprint", "component_id")
 
 
-#: near_dedup: SHINGLE words a shingle; candidates differ in TAU bits of 64 and TAU_ALL bits of 128 at most, and their
-#: numbers of shingles allow the similarity. Of them, those are near copies whose sets of shingles have a Jaccard
-#: similarity of SIMILARITY at least, which is computed exactly. At a similarity s, acos(2s / (1 + s)) / pi of the bits
-#: differ in the mean: 9.7 of 64 and 19.4 of 128 at 0.8, 6.6 and 13.3 at 0.9.
-SHINGLE, GROUPS, TAU, TAU_ALL, SIMILARITY = 5, 2, 12, 28, 0.8
+#: near_dedup: SHINGLE words a shingle. Near copies are those whose sets of shingles have a Jaccard similarity of
+#: SIMILARITY at least. Candidates share a shingle of their prefixes, which all such pairs do (see signatures), and differ
+#: in DIFFER bits at most of GROUPS groups of 64. At a similarity s, acos(2s / (1 + s)) / pi of the bits differ in the
+#: mean, 39 of 256 at 0.8, and up to 48 where sets have five shingles: DIFFER is so far above that it loses one such pair
+#: in 10^7 at most, and one larger pair in 10^11.
+SHINGLE, GROUPS, DIFFER, SIMILARITY = 5, 4, 84, 0.8
+#: Documents that are counted to tell which shingles are common, and how many common ones are told apart.
+COUNTED, MOST_COMMON = 4000, 1 << 18
 #: Documents, and shingles in the mean, of a block of a candidate group.
 SET_BLOCK, SET_SHINGLES = 1500, 500_000
 
@@ -467,22 +471,131 @@ def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, groups: int = GROUPS, tau: int = TAU, tau_all: int = TAU_ALL, similarity: float = SIMILARITY) -> DataFrame:
+def common_shingles(docs: DataFrame, text: str, shingle: int, counted: int = COUNTED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several of about `counted` documents have, ascending, and in how many of those they are."""
+    share = min(1.0, counted / max(docs.count(), 1))
+    some = docs.select(text) if share == 1 else docs.select(text).sample(fraction=share, seed=SEED)
+    each = shingle_sets(some, text, shingle).select(F.explode("hashes").alias("h"))
+    told = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.col("n").desc(), "h").limit(MOST_COMMON)
+    found = told.toArrow()
+    h, n = (found.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of distinct hashes the rarest ones, so many that sets of that similarity have one of them in common."""
+    known, times = common
+    count = np.zeros(len(hashes), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        count = np.where(known[at] == hashes, times[at], 0)
+    return hashes[np.lexsort((hashes, count))][: len(hashes) - ceil(similarity * len(hashes) - 1e-6) + 1]
+
+
+def signatures(docs: DataFrame, text: str, shingle: int, groups: int, similarity: float) -> DataFrame:
+    """docs without the text, with f0, f1, ... and size, of the distinct shingles, and prefix.
+
+    All sets are put in one order, shingles that are common in a sample last, others by hash. Of n shingles the first
+    n - ceil(similarity * n) + 1 are the prefix: two sets that reach the similarity share max(n) * similarity shingles
+    at least, so the first one they share is in both prefixes, whatever the order. The sample only makes groups small.
+    """
+    kept = docs.select(*[c for c in docs.columns if c != text], F.col(text).cast("string").alias("__text"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, shingle))
+    names = columns_of(groups, True)
+    schema = kept.drop("__text").schema
+    for name in names:
+        schema = schema.add(name, "long")
+    schema = schema.add("prefix", T.ArrayType(T.LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "__text"):
+            at = part.schema.get_field_index("__text")
+            found, prefixes = np.zeros((part.num_rows, len(names)), dtype=np.uint64), []
+            for i, value in enumerate(part.column(at)):
+                hashes = np.unique(shingle_hashes(value.as_py(), shingle))
+                hashes = hashes if len(hashes) else np.zeros(1, dtype=np.uint64)
+                found[i] = [votes(mixed(hashes, g)) for g in range(groups)] + [len(hashes)]
+                prefixes.append(prefix_of(hashes.view(np.int64), common.value, similarity))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
+            rest = [c for i, c in enumerate(part.columns) if i != at]
+            columns = rest + [pa.array(found[:, k].copy().view(np.int64)) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, lists], [c for c in part.schema.names if c != "__text"] + names + ["prefix"])
+
+    return kept.mapInArrow(run, schema)
+
+
+def grown_roots(prints: np.ndarray, limits: Limits) -> np.ndarray:
+    """roots_of for rows of which most are near to each other: as in alike_roots, the smallest component grows first."""
+    n = len(prints)
+    label, waiting = np.arange(n), np.ones(n, dtype=bool)
+    while True:
+        left = np.flatnonzero(waiting)
+        members = np.bincount(label[left], minlength=n)
+        if np.count_nonzero(members) <= 1:
+            return label
+        i = left[np.argmin(members[label[left]])]
+        waiting[i] = False
+        joined = np.unique(label[limits.linked(prints[i], prints, np.uint64(0))])
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+
+
+def prefix_links(nodes: DataFrame, limits: Limits, block: int = BLOCK) -> DataFrame:
+    """(u, v): links of which the components are those of all pairs of nodes that share a shingle of their prefixes and are within the limits.
+
+    nodes: node (a long), f0, f1, ..., size and prefix. Only the shingles of several nodes meet the fingerprints.
+    """
+    columns = [c for c in nodes.columns if c not in ("node", "prefix")]
+    filed = nodes.select("node", F.explode("prefix").alias("key"))
+    shared = filed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64(F.lit("block"), "node"), blocks).cast("int")
+    ends = lambda other: F.least(own, other) * blocks + F.greatest(own, other)
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), ends)).alias("pair")
+    dealt = shared.join(nodes.select("node", *columns).hint("merge"), "node").select("key", pairs, "node", *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            now = now if held is None else np.concatenate([held, now])
+            changed = (now[1:, :2] != now[:-1, :2]).any(axis=1)
+            last = int(np.flatnonzero(changed)[-1]) + 1 if changed.any() else 0
+            held = now[last:]
+            yield from told(now[:last])
+        if held is not None:
+            yield from told(held)
+
+    def told(now: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(now) < 2:
+            return
+        new = np.append(True, (now[1:, :2] != now[:-1, :2]).any(axis=1))
+        found = np.ascontiguousarray(now[:, 3:]).view(np.uint64)
+        left, right = _linked(np.cumsum(new), np.flatnonzero(new), np.zeros(len(now), np.uint64), found, limits, grown=True)
+        if len(left):
+            yield pa.RecordBatch.from_arrays([pa.array(now[left, 2]), pa.array(now[right, 2])], ["u", "v"])
+
+    together = dealt.repartition("key", "pair").select("key", F.col("pair").cast("long").alias("pair"), "node", *columns)
+    return together.sortWithinPartitions("key", "pair").mapInArrow(run, "u long, v long")
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, groups: int = GROUPS, differ: int = DIFFER, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay, with the columns of docs: of each component of near copies the row with the least id.
 
     Null ids come last; equal ids of a component are told apart by a hash of the whole row, and identical rows, which
-    are equals in every column, count as one until one of them is taken. Texts are read three times, the last two times
-    only those of candidates and of rows that stay; they are shuffled only if over MOST_KEYS rows are candidates.
+    are equals in every column, count as one until one of them is taken. Texts are read four times, once only a sample,
+    the last two times only those of candidates and of rows that stay; they are shuffled only if over MOST_KEYS rows are
+    candidates.
     """
     columns = docs.columns
     key = F.concat_ws("/", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.hex(F.xxhash64(*columns)))
     marked = docs.withColumn("__key", key)
     of_text = marked.select("__key", F.col(doc_id).alias("__id"), F.col(text).alias("__t"))
-    bits = columns_of(groups, True)
-    prints = cut(fingerprints(of_text, "__t", shingle, groups, sized=True))
-    named = prints.select("__key", "__id", node_name(bits).alias("name"))
-    roots = rooted(prints, bits, Limits(tau, tau_all, similarity))
-    placed = named.join(roots.hint("merge"), F.col("name") == F.col("node"), "left").select("__key", "__id", F.coalesce("root", "name").alias("root"))
+    prints = cut(signatures(of_text, "__t", shingle, groups, similarity).withColumn("node", F.monotonically_increasing_id()))
+    roots = components(prefix_links(prints.drop("__key", "__id"), Limits(64, differ, similarity))).withColumnRenamed("node", "of")
+    placed = prints.select("__key", "__id", "node").join(roots.hint("merge"), F.col("node") == F.col("of"), "left").select("__key", "__id", F.coalesce("root", "node").alias("root"))
     placed = placed.groupBy("root", "__key").agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("equals"))
     placed = cut(placed)
     several = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of"))

@@ -249,6 +249,32 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert simhash.near_dedup(frame.limit(0)).count() == 0
 
 
+def test_near_dedup_finds_all_pairs_just_above_the_threshold(spark):
+    rng, rows, pairs = random.Random(8), [], 0
+    while pairs < 200:
+        n = rng.choice([12, 30, 80, 200])
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(max(1, n // 50)):
+            b[rng.choice([0, 1, n - 1, rng.randrange(n)])] = "other"
+        b += [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(max(2, n // 6)))]
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            rows += [(2 * pairs, " ".join(a), "s"), (2 * pairs + 1, " ".join(b), "s")]
+            pairs += 1
+    rows += [(1000, "line of five words here " * 90 + "x y z", "s"), (1001, "line of five words here " * 3 + "x y z", "s")]
+    kept = {r["doc_id"] for r in simhash.near_dedup(docs(spark, *rows)).collect()}
+    assert kept == {*range(0, 400, 2), 1000}
+
+
+def test_prefix_links_are_the_same_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(rng.integers(2**62)) if k % 3 else 7, 1, [int(x) for x in rng.choice(9, 2, replace=False)]) for k in range(90)]
+    nodes = spark.createDataFrame(rows, "node long, f0 long, size long, prefix array<long>")
+    told = lambda block: {frozenset(g) for g in grouped(components.components(simhash.prefix_links(nodes, simhash.Limits(64, 24), block)))}
+    assert told(4096) == told(5) != set()
+
+
 def test_alike_roots_equal_brute_force():
     rng = np.random.default_rng(2)
     base = [rng.choice(200, 40, replace=False) for _ in range(4)]
