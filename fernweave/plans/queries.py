@@ -332,7 +332,7 @@ def _greedy_sql(picks: int) -> dict[str, str]:
 )
 def approach_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = votes_model(spark, sf_dir)
-    plan = outreach.approach_plan(found, TASK, found["account_nodes"].filter("network_indegree > 0"), picks=3)
+    plan = outreach.approach_plan(found, TASK, found["account_nodes"].filter("network_indegree > 0"), picks=3, max_pool=None)
     rows = [(k, s["account_id"], s["new_reach"], s["cumulative_reach"], s["coverage_share"], s["voters"]) for k, s in enumerate(plan.steps, 1)]
     return spark.createDataFrame(rows, "place int, account_id string, new_reach bigint, cumulative_reach bigint, coverage_share double, voters bigint")
 
