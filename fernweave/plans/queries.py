@@ -9,9 +9,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fernweave.common import cut
 from fernweave.functions import rules
 from fernweave.operators import admission, chains, feeds, graph, layers, listing, metrics, outreach, parse, pool, records, tasks
 from fernweave.plans import export
@@ -575,24 +576,33 @@ def latest_version_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.latest_wins(old, orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
+#: Keys of customers or events that a page spans, so that none holds more rows, whatever its nation or user has.
+SPAN = 5000
+
+
 def _pages_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for each nation, with its customers as user objects: half of them in the nested layout, half in the flat one."""
+    """Pages (page, part) for each nation, with its customers as user objects: half of them in the nested layout, half in the flat one."""
     c = frame(spark, sf_dir, "customer")
     key, number = F.col("c_custkey"), F.col("c_custkey").cast("string")
     nested = F.struct(F.lit("User").alias("__typename"), number.alias("rest_id"), F.struct(F.col("c_name").alias("screen_name")).alias("core"), F.struct(F.floor("c_acctbal").alias("followers")).alias("relationship_counts"), F.struct((key % 3 == 0).alias("can_dm")).alias("dm_permissions"))
     flat = F.struct(F.lit("User").alias("__typename"), F.struct(number.alias("id_str"), F.col("c_name").alias("screen_name"), F.floor("c_acctbal").cast("string").alias("followers_count")).alias("legacy"))
     both = F.when(key % 2 == 0, F.to_json(nested)).otherwise(F.to_json(flat))
     listed = F.concat(F.lit('{"data":{"users":['), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, both.alias("o")))), lambda x: x["o"]), ","), F.lit("]}}"))
-    return c.groupBy(F.col("c_nationkey").cast("string").alias("page")).agg(listed.alias("payload"))
+    return c.groupBy(F.col("c_nationkey").cast("string").alias("page"), F.floor(key / SPAN).alias("part")).agg(listed.alias("payload"))
 
 
 @query("SELECT CAST(c_nationkey AS STRING) AS page, CAST(c_custkey AS STRING) AS account_id, c_name AS username, CAST(floor(c_acctbal) AS INT) AS followers_count, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3 = 0 END AS can_dm, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INT) AS position FROM {customer}")
 def parse_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.users(_pages_of_customers(spark, sf_dir), ["page"]).select("page", "account_id", "username", "followers_count", "can_dm", "position")
+    found = cut(parse.users(_pages_of_customers(spark, sf_dir), ["page", "part"]))
+    # a row for each page: places go on from the pages before
+    sizes = found.groupBy("page", "part").agg(F.max("position").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("page").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = found.join(sizes.select("page", "part", before.alias("before")), ["page", "part"])
+    return found.withColumn("position", (F.col("position") + F.col("before")).cast("int")).select("page", "account_id", "username", "followers_count", "can_dm", "position")
 
 
 def _pages_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A timeline page for each user of the events, with an advertisement in it."""
+    """Timeline pages (page, part) for each user of the events, with advertisements in them."""
     e = frame(spark, sf_dir, "events")
     n, when = F.col("event_id"), lambda k, v: F.when(F.col("event_id") % k == 0, v)
     legacy = F.struct(F.col("props").alias("full_text"), (n % 50).alias("favorite_count"), when(7, F.lit("5")).alias("retweeted_status_id_str"), when(5, F.lit("6")).alias("in_reply_to_status_id_str"))
@@ -601,17 +611,17 @@ def _pages_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.struct(F.struct(F.lit("TimelineTimelineItem").alias("entryType"), item.alias("itemContent")).alias("content"))
     entries = F.transform(F.sort_array(F.collect_list(F.struct(n.alias("n"), F.to_json(entry).alias("o")))), lambda x: x["o"])
     payload = F.concat(F.lit('{"x":[{"type":"TimelineAddEntries","entries":['), F.array_join(entries, ","), F.lit(']},{"cursorType":"Bottom","value":"next"}]}'))
-    return e.groupBy(F.col("user_id").cast("string").alias("page")).agg(payload.alias("payload"))
+    return e.groupBy(F.col("user_id").cast("string").alias("page"), F.floor(n / SPAN).alias("part")).agg(payload.alias("payload"))
 
 
 @query("SELECT CAST(user_id AS STRING) AS page, CAST(event_id AS STRING) AS post_id, CASE WHEN event_id % 7 = 0 THEN 'retweet' WHEN event_id % 5 = 0 THEN 'reply' ELSE 'original' END AS kind, CAST(event_id % 50 AS INT) AS like_count, CASE WHEN event_id % 3 = 0 THEN CAST(event_id * 10 AS INT) END AS view_count FROM {events} WHERE event_id % 11 <> 0")
 def parse_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.posts(_pages_of_events(spark, sf_dir), ["page"]).select("page", "post_id", "kind", "like_count", "view_count")
+    return parse.posts(_pages_of_events(spark, sf_dir), ["page", "part"]).select("page", "post_id", "kind", "like_count", "view_count")
 
 
 @query("SELECT DISTINCT CAST(user_id AS STRING) AS page, 'next' AS cursor FROM {events}")
 def parse_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.cursors(_pages_of_events(spark, sf_dir), ["page"])
+    return parse.cursors(_pages_of_events(spark, sf_dir), ["page", "part"]).select("page", "cursor").distinct()
 
 
 POOL = "SELECT c_custkey, c_name AS username, c_custkey % 3 <> 0 AS active, c_custkey % 4 AS used FROM {customer}"
@@ -678,10 +688,10 @@ def page_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernweave.sources.events import encoded
 
     pages = _pages_of_customers(spark, sf_dir)
-    told = {"event_id": F.concat(F.lit("p"), "page"), "schema_version": F.lit(1), "tree_id": F.lit("tree-a"), "account_id": F.concat(F.lit("n"), "page"), "depth": F.lit(1)}
+    told = {"event_id": F.concat(F.lit("p"), "page", F.lit("-"), F.col("part").cast("string")), "schema_version": F.lit(1), "tree_id": F.lit("tree-a"), "account_id": F.concat(F.lit("n"), "page"), "depth": F.lit(1)}
     told |= {"task_id": F.when(F.col("page").cast("int") % 10 == 9, "gone").otherwise("t1"), "operation": F.when(F.col("page").cast("int") % 10 == 8, "UserByScreenName").otherwise("Following")}
     told |= {c: F.lit(None).cast("string") for c in ("cursor_in", "cursor_out")} | {"status_code": F.lit(200), "requested_at": F.lit(None).cast("timestamp"), "received_at": F.lit(None).cast("timestamp"), "rate_limit": F.lit(None).cast("struct<limit:int,remaining:int,reset_at:string>")}
-    good = encoded(pages.withColumns(told)).select("value")
+    good = encoded(pages.withColumns(told).drop("part")).select("value")
     return good.unionByName(good).unionByName(spark.createDataFrame([("{broken",), (json.dumps({"event_id": "x"}),)], "value string"))
 
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fernweave.plans import queries
 from tests.conftest import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,3 +31,12 @@ def test_query_equals_its_sql(spark, name):
     place = [expected.columns.index(c) for c in columns]
     told = lambda rows: sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
     assert told([tuple(r[c] for c in columns) for r in df.collect()]) == told([tuple(r[i] for i in place) for r in expected.fetchall()])
+
+
+@pytest.mark.parametrize("name", ["parse_users", "parse_posts", "parse_cursors", "stream_apply"])
+def test_pages_are_bounded(spark, name, monkeypatch):
+    monkeypatch.setattr(queries, "SPAN", 40, raising=False)
+    parts = {"parse_posts": queries._pages_of_events, "parse_cursors": queries._pages_of_events}.get(name, queries._pages_of_customers)(spark, SMALL)
+    sizes = parts.selectExpr("regexp_count(payload, '__typename') AS n").agg({"n": "max"}).head()[0]
+    assert sizes <= 40
+    test_query_equals_its_sql(spark, name)
