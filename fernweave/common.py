@@ -1,4 +1,4 @@
-"""Checkpoints for loops, shared by the operators that iterate."""
+"""Checkpoints, shared by all operators that iterate or read a result more than once."""
 
 from __future__ import annotations
 
@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; only where it is unset (tests on one machine) take a new folder under /tmp."""
+    """Use spark.checkpoint.dir. Where it is unset a local master takes a new folder under /tmp; a cluster is refused.
+
+    Executors of a cluster don't share their temporary folders: what one of them wrote there the others couldn't read.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    if context.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+    context.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
