@@ -1,8 +1,7 @@
-"""Helpers that every training-data operator shares: words, ASCII folding, checkpoints, Arrow slices."""
+"""Helpers that the training-data operators share: words, ASCII folding, joins that no key makes hot, Arrow slices."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernweave.common import cut, ensure_checkpoint_dir
+
+__all__ = ["cut", "ensure_checkpoint_dir"]
+
+#: Keys up to which a table of keys is broadcast (some 50 bytes each).
+MOST_KEYS = 1_000_000
+#: A key is hot if it has over LEAST_HOT rows and over one in MOST_HOT of all rows, so there are MOST_HOT hot keys at most.
+LEAST_HOT, MOST_HOT = 1_000, 500_000
+#: Bits of a filter for each key, and at most (2^31 are 256 MB); bits of one of its blocks.
+BITS_A_KEY, MOST_BITS, BLOCK_BITS = 16, 1 << 31, 1 << 14
+
 # The white space that parts words, and the ASCII letters that are folded.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -38,19 +48,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; only where it is unset (tests on one machine) take a new folder under /tmp."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read back from there: its lineage ends here."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def rewritten(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared checkpoint folder and read back: like cut(), with columns that can be left out."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -59,6 +56,72 @@ def rewritten(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def hot_from(rows: int) -> int:
+    """Rows of a key above which it is hot among so many rows."""
+    return max(LEAST_HOT, rows // MOST_HOT)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows with the columns of groups, which has a row for each value of key, and in `size` how many rows have it.
+
+    Hot keys (there are MOST_HOT at most, by their definition) meet their rows by a broadcast, where the rows are; what
+    is shuffled has no hot key. Rows whose key is in no group are left out. total: number of rows.
+    """
+    limit = hot_from(total)
+    of = groups.select(F.col(key).alias("__of"), F.struct(*[c for c in groups.columns if c != key]).alias("__group"), F.col(size).alias("__rows"))
+    hot, cold = of.filter(F.col("__rows") > limit).drop("__rows"), of.filter(F.col("__rows") <= limit).drop("__rows")
+    told = [*[F.col(c) for c in rows.columns], F.col("__group.*")]
+    if hot.isEmpty():
+        return rows.join(cold, F.col(key) == F.col("__of")).select(*told)
+    flagged = rows.join(F.broadcast(hot), F.col(key) == F.col("__of"), "left")
+    met = flagged.filter(F.col("__of").isNotNull()).select(*told)
+    rest = flagged.filter(F.col("__of").isNull()).drop("__of", "__group")
+    return met.unionByName(rest.join(cold, F.col(key) == F.col("__of")).select(*told))
+
+
+def filter_of(keys: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
+    """(block, words), bits: a filter of the 64-bit hashes in the only column of keys; blocks of bits as arrays of longs.
+
+    It has BITS_A_KEY bits for each key but never more than most_bits, which bounds what is broadcast. A hash of keys
+    always passes; of other hashes a share of 1 - exp(-keys / bits) passes too.
+    """
+    h = F.col(keys.columns[0])
+    wanted = 1 << max(keys.count() * BITS_A_KEY - 1, 1).bit_length()
+    bits = max(BLOCK_BITS, min(wanted, most_bits))
+    words = BLOCK_BITS // 64
+    place = F.pmod(h, F.lit(bits))
+    held = keys.select(F.floor(place / 64).alias("word"), F.expr("1L").alias("one"), (place % 64).cast("int").alias("bit"))
+    held = held.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("mask"))
+    every = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "word").join(held, "word", "left")
+    pair = F.struct(F.col("word"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+    blocks = every.groupBy(F.floor(F.col("word") / words).alias("block")).agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+    return cut(blocks.select("block", F.transform("pairs", lambda p: p["mask"]).alias("words"))), bits
+
+
+def passing(rows: DataFrame, hashed: Column, table: tuple[DataFrame, int], name: str) -> DataFrame:
+    """rows with the boolean `name`: whether the 64-bit hash passes the filter. Nothing of rows is shuffled."""
+    blocks, bits = table
+    place = F.pmod(hashed, F.lit(bits))
+    found = rows.join(F.broadcast(blocks.select(F.col("block").alias("__block"), F.col("words").alias("__words"))), F.floor(place / BLOCK_BITS) == F.col("__block"), "left")
+    bit = F.getbit(F.get("__words", F.floor(place % BLOCK_BITS / 64).cast("int")), (place % 64).cast("int"))
+    return found.select(*rows.columns, F.coalesce(bit == 1, F.lit(False)).alias(name))
+
+
+def matching(rows: DataFrame, keys: DataFrame, key: str, how: str, most_keys: int | None = None) -> DataFrame:
+    """rows joined to keys, whose first column holds each key once; how: inner, left_semi or left_anti.
+
+    The keys are broadcast if they are few. Where they aren't, only the rows that pass a filter of them are shuffled:
+    those that have a partner, and a small share of the others.
+    """
+    of = keys.columns[0]
+    on = F.col(key) == F.col(of)
+    if keys.count() <= (MOST_KEYS if most_keys is None else most_keys):
+        return rows.join(F.broadcast(keys), on, how)
+    flagged = passing(rows, F.xxhash64(key), filter_of(keys.select(F.xxhash64(of))), "__maybe")
+    joined = flagged.filter("__maybe").drop("__maybe").join(keys, on, how)
+    return joined if how != "left_anti" else joined.unionByName(flagged.filter("not __maybe").drop("__maybe"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about most_bytes of `column`; a longer single row is a piece of its own.
 
