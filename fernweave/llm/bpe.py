@@ -6,9 +6,12 @@ minimum rank. Pairs are looked up in an open-addressed hash table of (left id, r
 compacted to the left, finished rows leave, and the matrix is narrowed. A piece longer than LONG bytes would take as many
 rounds as it has bytes; it is merged with a heap over a linked list instead, with the same result.
 
+A worker remembers the tokens of short parts of texts between white space, up to a bound in bytes.
+
 Ranks are read from a file of "base64 rank" lines, whose path is a parameter.
 
-Defined cases: a null or empty text has no tokens and decodes to no bytes; repeated rows and null ids are encoded row by
+Defined cases: a null or empty text has no tokens and decodes to no bytes; a text of any length is encoded whole, by
+itself if it is long; of pairs of the same rank the leftmost goes first; repeated rows and null ids are encoded row by
 row; an empty table gives an empty result; further columns do not reach the Python workers' output.
 """
 
@@ -33,12 +36,16 @@ from fernweave.llm.common import slices
 LONG = 256
 #: Cells of one padded matrix.
 CELLS = 2_000_000
-#: Distinct chunks whose tokens a worker remembers; then it starts afresh.
-REMEMBERED = 300_000
+#: Characters of a chunk that a worker remembers, and bytes of all that it remembers; then it starts afresh.
+REMEMBERED_CHARS, REMEMBERED_BYTES = 40, 48_000_000
+#: Bytes that a remembered chunk takes besides its characters and tokens: its string, its place and its row of arrays.
+OVERHEAD = 200
 NONE = np.int32(2**30)
-#: The end of patterns that begin a match at each space before a non-space, and a space that isn't one.
+#: The end of patterns that begin a match where white space begins; a space that isn't before a non-space;
+#: and the parts between two such places.
 _SPACED = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _OTHER_SPACE = re.compile(r" (?:\s|\Z)")
+_PARTS = regex.compile(r"\s*\S+|\s+")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -205,55 +212,83 @@ class Bpe:
             ends.append(len(chunks))
         if not chunks:
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
-        self._learn(list(dict.fromkeys(chunks)))
+        long = self._learn(list(dict.fromkeys(chunks)))
         place = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        for x in long:
+            del self.known[x]
         sizes, firsts = self.sizes[place], self.firsts[place]
         chunk_ends = np.concatenate([[0], np.cumsum(sizes)])
         return self.tokens[ranges(firsts, sizes)], chunk_ends[np.concatenate([[0], ends]).astype(np.int64)]
 
     def _chunks(self, text: str) -> list[str]:
-        """Parts of text between which every match of the pattern ends: " x" is kept as "x", a part without that space as " " + part.
+        """Parts of text between which every match of the pattern ends: " x" is kept as "x", any other part as " " + part.
 
         With a pattern of the form " ?letters| ?digits| ?others|spaces not before a non-space|spaces", a match begins
-        at each space that stands before a non-space. Texts with other spaces, or other patterns, are one chunk.
+        wherever white space begins, so a part is white space and what follows it. Where all of it are single spaces
+        before non-spaces and lines are short, that is what split gives. With other patterns a text is one chunk.
         """
-        if not self.at_spaces or _OTHER_SPACE.search(text):
+        if not self.at_spaces:
             return [" " + text]
+        if _OTHER_SPACE.search(text):
+            return [x[1:] if x[0] == " " and x[1:2] != " " and len(x) > 1 else " " + x for x in _PARTS.findall(text)]
         parts = text.split(" ")
         parts[0] = " " + parts[0]
-        return parts
+        if len(max(parts, key=len)) <= REMEMBERED_CHARS:
+            return parts
+        out: list[str] = []
+        for x in parts:
+            if len(x) <= REMEMBERED_CHARS:
+                out.append(x)
+            else:  # other white space inside, or one long part
+                first, *rest = _PARTS.findall(x[1:] if x[0] == " " else " " + x)
+                out.append(first[1:] if first[0] == " " and len(first) > 1 else " " + first)
+                out += [" " + y for y in rest]
+        return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode the chunks that aren't known: known has their places in firsts and sizes, which lead to tokens."""
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self._forget()
+    def _learn(self, chunks: list[str]) -> list[str]:
+        """Encode the chunks that aren't known: known has their places in firsts and sizes, which lead to tokens.
+
+        Gives the long ones, which the caller takes out of known when it has read them; they lie behind the others,
+        where the next call writes over them.
+        """
         known = self.known
         new = [x for x in chunks if x not in known]
-        if new:
-            pieces: list[str] = []
-            counts = []
-            for x in new:
-                if x[:1] != " " and x.isalpha():
-                    pieces.append(" " + x)
-                    counts.append(1)
-                else:
-                    found = self.find(x[1:] if x[:1] == " " else " " + x)
-                    pieces += found
-                    counts.append(len(found))
-            index = {x: i for i, x in enumerate(dict.fromkeys(pieces))}
-            codes = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-            flat, sizes = self.encode_pieces([x.encode() for x in index])
-            firsts = np.cumsum(sizes) - sizes
-            tokens = flat[ranges(firsts[codes], sizes[codes])]
-            ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(counts)])]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.firsts = np.concatenate([self.firsts, ends[:-1] + len(self.tokens)])
-            self.sizes = np.concatenate([self.sizes, np.diff(ends)])
-            self.tokens = np.concatenate([self.tokens, tokens])
+        if self.held + sum(len(x) for x in new) * 2 + OVERHEAD * len(new) > REMEMBERED_BYTES and known:
+            self._forget()
+            known, new = self.known, chunks
+        if not new:
+            return []
+        new.sort(key=lambda x: len(x) > REMEMBERED_CHARS)
+        pieces: list[str] = []
+        counts = []
+        for x in new:
+            if x[:1] != " " and x.isalpha():
+                pieces.append(" " + x)
+                counts.append(1)
+            else:
+                found = self.find(x[1:] if x[:1] == " " else " " + x)
+                pieces += found
+                counts.append(len(found))
+        index = {x: i for i, x in enumerate(dict.fromkeys(pieces))}
+        codes = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+        flat, sizes = self.encode_pieces([x.encode() for x in index])
+        firsts = np.cumsum(sizes) - sizes
+        tokens = flat[ranges(firsts[codes], sizes[codes])]
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(counts)])]
+        start = len(known)
+        self.firsts = _put(self.firsts, start, ends[:-1] + self.n_tokens)
+        self.sizes = _put(self.sizes, start, np.diff(ends))
+        self.tokens = _put(self.tokens, self.n_tokens, tokens)
+        brief = sum(len(x) <= REMEMBERED_CHARS for x in new)
+        known.update(zip(new, range(start, start + len(new)), strict=True))
+        self.n_tokens += int(ends[brief])
+        self.held += sum(map(len, new[:brief])) * 2 + int(ends[brief]) * 4 + OVERHEAD * brief
+        return new[brief:]
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.firsts, self.sizes, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.n_tokens = self.held = 0
+        self.firsts, self.sizes, self.tokens = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all rows in order, offsets of each row's first byte and the end)."""
@@ -262,6 +297,14 @@ class Bpe:
         return self.buffer[ranges(self.starts[ids], sizes)], ends[offsets]
 
 
+def _put(held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+    """held with new written at a place; it grows by doubling."""
+    if at + len(new) > len(held):
+        held = np.concatenate([held[:at], np.zeros(max(at, len(new)) + len(new), held.dtype)])
+    held[at : at + len(new)] = new
+    return held
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for size numbers, for each start and size, in one array."""
     total = int(sizes.sum())
