@@ -1,33 +1,39 @@
 """URL filters: rules by host and path, then a character language-model ratio. Built-in functions only.
 
 The longest fitting rule decides. Where none fits, two smoothed variable-order Markov models, one of URLs that the rules
-accept and one of URLs that they reject, are compared: the mean log-likelihood difference per character, in thousandths
-of a nat, must reach a threshold that is calibrated on labelled URLs held out from the models.
+accept and one of URLs that they reject, are compared over the whole URL, query and fragment included: the mean
+log-likelihood difference per character, in thousandths of a nat, must reach a threshold that is calibrated on labelled
+URLs held out from the models.
 
 A model predicts a character from the longest context of up to three characters that was seen, interpolated with all
-shorter ones (weight of the shorter context: its number of distinct followers, after Witten and Bell). Characters fall
-into 32 classes, so both models together are one table of 32^4 integers at most, whatever the size of the input: that
-bound is why it may be sent to all executors. Counts are taken over all labelled URLs.
-
-Defined cases: a null url, or one without "://", has an empty host and path and no rule; an empty host and path is
-allowed. Without labelled URLs of both verdicts every ratio and the threshold are zero: all other URLs are allowed.
-Equal URLs get equal verdicts. Null page_ids and repeated rows are judged row by row; further columns pass through.
+shorter ones (weight of the shorter context: its number of distinct followers, after Witten and Bell); below them lies
+the uniform distribution over all characters of the labelled URLs and one unknown. Characters are code points as they
+are, but for the scheme and host, whose A-Z are lower-cased. All labelled URLs are counted, and the tables of grams grow
+with what they hold: they are joined, not addressed, and broadcast only if they are few.
+
+Defined cases: a null url, or one without "://", has an empty host and path and no rule; a null or empty url is allowed,
+without a score. Unless the URLs that train the models have both verdicts every ratio is zero and all other URLs are
+allowed; unless those that are held out have both, the threshold is zero. Equal URLs get equal verdicts; a URL of any
+length is scored whole; null page_ids and repeated rows are judged row by row; an empty table gives an empty result;
+further columns pass through unless they have the name of an output column, which then replaces them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import LOWER, UPPER, cut, let
+from fernweave.llm.common import LOWER, MOST_KEYS, UPPER, cut, with_groups
 
 ALLOW, BLOCK = "allow", "block"
-#: Bits of a character class, and longest context of the models in characters.
-BITS, ORDER = 5, 3
+#: Longest context of the models in characters.
+ORDER = 3
 #: One in so many labelled URLs calibrates the threshold instead of training the models.
 HOLD_OUT = 5
+#: Control characters that stand for the start and the end of a URL.
+START, END = "\x02", "\x03"
 
 
 @dataclass(frozen=True)
@@ -67,61 +73,60 @@ def rule_of(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Column, C
     return (name.otherwise(none), verdict.otherwise(none)) if rules else (none, none)
 
 
-def grams(text: Column) -> Column:
-    """For each character of text and its end: the classes of the three before it and its own, as one integer.
-
-    Classes: a to z 1 to 26, any digit 27, "." 28, "-" 29, "/" 30, anything else 31; start and end 0.
-    """
-    other = F.regexp_replace(F.lower(text), "[^a-z0-9./-]", "_")
-    as_class = F.translate(other, "0123456789.-/_" + LOWER, "[" * 10 + "\\]^_" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    codes = F.transform(F.array_remove(F.split(as_class, ""), ""), lambda c: F.ascii(c) - 64)
-    zeros = F.array(*[F.lit(0)] * ORDER)
-
-    def of(c: Column) -> Column:
-        def gram(i: Column) -> Column:
-            out = F.get(c, i)
-            for k in range(1, ORDER + 1):
-                out = out + F.get(c, i - k) * (1 << (BITS * k))
-            return out
+def whole(url: Column) -> Column:
+    """The url with A-Z lower-cased in what is before the path."""
+    origin = F.regexp_extract(url, "^[^:]*://[^/?#]*", 0)
+    return F.concat(F.translate(origin, UPPER, LOWER), F.substring(url, F.char_length(origin) + 1, F.char_length(url)))
 
-        return F.transform(F.sequence(F.lit(ORDER), F.size(c) - 1), gram)
 
-    return let(F.concat(zeros, codes, F.array(F.lit(0))), of)
+def grams(url: Column) -> Column:
+    """For each character of url and its end: the three before it and itself, as one string."""
+    held = F.concat(F.lit(START * ORDER), whole(url), F.lit(END))
+    return F.transform(F.sequence(F.lit(1), F.char_length(held) - ORDER), lambda i: F.substring(held, i, F.lit(ORDER + 1)))
 
 
-def model(spark: SparkSession, counts: DataFrame) -> DataFrame:
-    """(code, ratio): for each context and character the log-likelihood difference in thousandths of a nat.
+def model(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, ratio) for the wanted grams: the log-likelihood difference in thousandths of a nat.
 
-    counts: (code, a, b), how often accepted and rejected URLs have the 4-gram. Every table here has at most
-    32^4 rows, by construction.
+    counts: (gram, a, b), how often accepted and rejected URLs have it. Level by level, from no context up to ORDER
+    characters, a row for each string that a wanted or a counted gram ends in: its counts, those of its context, and the
+    probabilities of the level below.
     """
-    counts = counts.repartition(8, "code")
+    both = counts.unionByName(wanted.select("gram", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+    both = cut(both.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     below = None
     for order in range(ORDER + 1):
-        width = 1 << (BITS * (order + 1))
-        n = counts.groupBy((F.col("code") % width).alias("c")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        every = spark.range(width).withColumnRenamed("id", "c").join(n, "c", "left").na.fill(0, ["a", "b"])
-        around = Window.partitionBy(F.floor(F.col("c") / (1 << BITS)))
-        every = every.withColumns({f"{k}{x}": f.over(around) for x in "ab" for k, f in (("n", F.sum(x)), ("t", F.count_if(F.col(x) > 0)))})
+        tail = F.substring("gram", ORDER + 1 - order, order + 1)
+        level = both.groupBy(tail.alias("s")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        context = F.substring("s", 1, order)
+        sums = [f(x).alias(k + x) for x in "ab" for k, f in (("n", F.sum), ("t", lambda c: F.count_if(F.col(c) > 0)))]
         if below is None:
-            chance = {f"p{x}": (F.col(x) + 0.5) / (F.col(f"n{x}") + 0.5 * width) for x in "ab"}
+            everything = level.agg(*sums, (F.count_if(F.col("a") + F.col("b") > 0) + 1).alias("letters")).first()
+            level = level.withColumns({k: F.lit(everything[k]) for k in ("na", "ta", "nb", "tb")} | {"qa": F.lit(1.0 / everything["letters"]), "qb": F.lit(1.0 / everything["letters"])})
         else:
-            every = every.withColumn("s", F.col("c") % (width >> BITS)).join(F.broadcast(below), "s")
-            seen = lambda x: (F.col(x) + F.col(f"t{x}") * F.col(f"q{x}")) / (F.col(f"n{x}") + F.col(f"t{x}"))
-            chance = {f"p{x}": F.when(F.col(f"n{x}") > 0, seen(x)).otherwise(F.col(f"q{x}")) for x in "ab"}
-        every = every.withColumns(chance)
-        below = every.select(F.col("c").alias("s"), F.col("pa").alias("qa"), F.col("pb").alias("qb"))
-    return every.select(F.col("c").alias("code"), F.round((F.log("pa") - F.log("pb")) * 1000).cast("int").alias("ratio"))
+            of = level.groupBy(context.alias("c")).agg(*sums)
+            level = level.withColumn("c", context).join(of, "c").withColumn("r", F.substring("s", 2, order)).join(below, "r")
+        seen = lambda x: (F.col(x) + F.col(f"t{x}") * F.col(f"q{x}")) / (F.col(f"n{x}") + F.col(f"t{x}"))
+        chance = {f"p{x}": F.when(F.col(f"n{x}") > 0, seen(x)).otherwise(F.col(f"q{x}")) for x in "ab"}
+        level = level.withColumns(chance)
+        below = cut(level.select(F.col("s").alias("r"), F.col("pa").alias("qa"), F.col("pb").alias("qb")))
+    return below.select(F.col("r").alias("gram"), F.round((F.log("qa") - F.log("qb")) * 1000).cast("long").alias("ratio"))
 
 
-def scored(tails: DataFrame, table: DataFrame) -> DataFrame:
-    """tails (host and path, each once) with score: mean ratio per character (and end), in thousandths of a nat, rounded down.
+def scored(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """urls (url, each once) with score: mean ratio per character (and end), in thousandths of a nat, rounded down.
 
-    table has 32^4 rows whatever the input, which is the bound on what is broadcast.
+    Grams are counted before they meet the model. Its table is broadcast if it is small; else it is joined by shuffle,
+    and grams that are in very many URLs meet it by a broadcast of their own.
     """
-    each = tails.select("host", "path", F.explode(grams(F.concat("host", "path"))).alias("code"))
-    told = each.join(F.broadcast(table), "code").groupBy("host", "path").agg(F.floor(F.sum("ratio") / F.count(F.lit(1))).cast("long").alias("score"))
-    return tails.join(told, ["host", "path"], "left")
+    each = urls.select("url", F.explode(grams(F.col("url"))).alias("gram"))
+    occurring = cut(each.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")))
+    table = cut(model(counts, occurring).join(occurring, "gram"))
+    if table.count() <= MOST_KEYS:
+        met = each.join(F.broadcast(table), "gram")
+    else:
+        met = with_groups(each, table, "gram", "rows", table.agg(F.sum("rows")).first()[0])
+    return met.groupBy("url").agg(F.floor(F.sum("ratio") / F.count(F.lit(1))).cast("long").alias("score"))
 
 
 def _times(verdict: str) -> Column:
@@ -152,19 +157,23 @@ def judged(pages: DataFrame, rules: list[UrlRule] | None = None, url: str = "url
     rules = RULES if rules is None else rules
     host, path = host_and_path(F.col(url))
     parsed = pages.drop("host", "path", "rule", "score", "verdict").withColumns({"host": host, "path": path})
-    # URLs of the same host and path share a verdict: they are counted before the shuffle and judged once.
-    tails = parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     name, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    held = F.crc32(F.concat("host", "path")) % HOLD_OUT == 0
-    tails = cut(tails.withColumns({"rule": name, "ruled": ruled, "held": held}))
-    trained = tails.filter(F.col("ruled").isNotNull() & ~F.col("held")).select("ruled", "n", F.explode(grams(F.concat("host", "path"))).alias("code"))
-    counts = trained.groupBy("code").agg(_times(ALLOW).alias("a"), _times(BLOCK).alias("b"))
-    table = cut(model(pages.sparkSession, counts))
-    told = cut(scored(tails.filter(F.col("ruled").isNull() | F.col("held")), table))
-    limit = threshold(told.filter(F.col("ruled").isNotNull())).first()["t"]
-    free = told.filter(F.col("ruled").isNull())
-    blank = (F.col("host") == "") & (F.col("path") == "")
-    method = F.when(blank | (F.col("score") >= limit), F.lit(ALLOW)).otherwise(F.lit(BLOCK))
-    verdicts = tails.filter(F.col("ruled").isNotNull()).select("host", "path", "rule", F.lit(None).cast("long").alias("score"), F.col("ruled").alias("verdict"))
-    verdicts = verdicts.unionByName(free.select("host", "path", "rule", "score", method.alias("verdict")))
-    return parsed.join(verdicts, ["host", "path"]).select(*parsed.columns, "rule", "score", "verdict")
+    parsed = parsed.withColumns({"rule": name, "__ruled": ruled})
+    # Equal URLs share a verdict: they are counted before the shuffle and judged once.
+    filled = parsed.filter((F.col(url) != "") & F.col(url).isNotNull())
+    urls = cut(filled.groupBy(F.col(url).alias("url"), F.col("__ruled").alias("ruled")).agg(F.count(F.lit(1)).alias("n")))
+    held = F.crc32(F.col("url")) % HOLD_OUT == 0
+    trained = urls.filter(F.col("ruled").isNotNull() & ~held)
+    counts = cut(trained.select("ruled", "n", F.explode(grams(F.col("url"))).alias("gram")).groupBy("gram").agg(_times(ALLOW).alias("a"), _times(BLOCK).alias("b")))
+    free = F.col("ruled").isNull()
+    both = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    rest = urls.filter(free | held)
+    told = cut(rest.join(scored(rest.select("url"), counts), "url")) if both["a"] and both["b"] else rest.withColumn("score", F.lit(0).cast("long"))
+    limit = threshold(told.filter(~free)).first()["t"]
+    verdicts = cut(told.filter(free).select(F.col("url").alias("__url"), "score", F.col("n").alias("__n")))
+    total = verdicts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    asks = F.col("__ruled").isNull() & F.col(url).isNotNull() & (F.col(url) != "")
+    given = parsed.filter(~asks).select(*parsed.columns, F.lit(None).cast("long").alias("score"), F.coalesce("__ruled", F.lit(ALLOW)).alias("verdict"))
+    found = with_groups(parsed.filter(asks), verdicts.withColumnRenamed("__url", url), url, "__n", total).drop("__n")
+    found = found.withColumn("verdict", F.when(F.col("score") >= limit, F.lit(ALLOW)).otherwise(F.lit(BLOCK)))
+    return given.unionByName(found).drop("__ruled")
