@@ -15,9 +15,11 @@ Prediction. Whole texts, in slices. A text is cut into blocks of BLOCK words onl
 a block's step matrices carries the exact messages over it, so all blocks of a slice are computed side by side, and
 then each word's probabilities are what one pass along the whole text gives.
 
-Defined cases: a null text, or one without letters, is "und" with score 0; without labelled texts all are; repeated rows
-and null ids are judged row by row; an empty table gives an empty result; further columns pass through, except those
-with names of output columns. With equal probabilities the label first in order wins.
+Defined cases: a null text, or one without letters, is "und" with score 0; without labelled texts all are; of over
+MOST_LANGUAGES labels the most frequent are learned (of equally frequent ones the first in order) and the others are
+never predicted; a text of any length is read whole; repeated rows and null ids are judged row by row; an empty table
+gives an empty result; further columns pass through, except those with names of output columns. With equal probabilities
+the label first in order wins.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ from fernweave.llm.common import cut, slices
 UNKNOWN = "und"
 #: Bounds of the training sample: texts of a language, windows of a text, words of a window; and languages at most.
 PER_LANGUAGE, WINDOWS, WINDOW, MOST_LANGUAGES = 200, 3, 32, 200
+#: Parts in which a language's texts are looked through for the sample.
+SPREAD = 16
 #: Words of a language's lexicon at most.
 LEXICON = 3000
 HASH_BITS = 16
@@ -283,12 +287,13 @@ def training_windows(docs: DataFrame, text: str, label: str, learn: Column, per_
     The least hashes of each label are found over all rows first, so texts are read again only for the sample.
     """
     labelled = docs.filter(learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
-    hashed = labelled.select("label", F.xxhash64("text").alias("h")).distinct()
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    chosen = cut(hashed.withColumn("k", rank).filter(F.col("k") <= per_language).select("label", "h"))
-    languages = chosen.select("label").distinct().limit(MOST_LANGUAGES + 1).count()
-    if languages > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages: the sample and the model would have no bound")
+    frequent = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(MOST_LANGUAGES).select("label")
+    labelled = labelled.join(F.broadcast(frequent), "label", "left_semi")
+    # the least hashes of each of SPREAD parts of a label, which hold the least ones of the label
+    hashed = labelled.select("label", F.xxhash64("text").alias("h")).distinct().withColumn("part", F.pmod(F.hash("h"), F.lit(SPREAD)))
+    rank = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy("h")) <= per_language
+    parts = hashed.withColumn("least", rank("label", "part")).filter("least")
+    chosen = cut(parts.withColumn("least", rank("label")).filter("least").select("label", "h"))
     # at most per_language * MOST_LANGUAGES rows
     found = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["label", "h"]).dropDuplicates(["label", "h"])
 
