@@ -17,8 +17,8 @@
 5. Components of the links, by contraction (see components).
 
 Defined cases: a null, empty or blank text has fingerprint zero, linked like any other; a text of fewer words than a
-shingle is one shingle; equal texts, repeated rows and null ids are rows of the same fingerprint; an empty table gives
-an empty result; further columns do not reach the output of `near_components` and pass through `near_dedup`.
+shingle is one shingle, and one of any length is read whole; a bit that is set in just half of the hashes is 0; equal
+texts, repeated rows and null ids are rows of the same fingerprint; an empty table gives an empty result; further columns do not reach the output of `near_components` and pass through `near_dedup`.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ from math import ceil, comb, exp, lgamma
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fernweave.llm.bpe import ranges
-from fernweave.llm.common import cut, slices
+from fernweave.llm.common import MOST_KEYS, cut, filter_of, matching, passing, slices, with_groups
 from fernweave.llm.components import components
 
 SEED = 42
@@ -48,8 +48,6 @@ SHORT = 12
 FILE_S, COMPARE_S = 3e-6, 6e-9
 #: The part of all comparisons that is left where fingerprints must also be of texts of about one size.
 BANDED = 0.17
-#: Long runs, and rows to drop, up to which their keys are broadcast (24 bytes each).
-MOST_KEYS = 1_000_000
 #: Odd multipliers that mix a hash into further groups of 64 bits.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -412,19 +410,16 @@ def alike_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
             label[np.isin(label, joined)] = joined[0]
 
 
-def verified(members: DataFrame, similarity: float = SIMILARITY, block: int = SET_BLOCK, shingles: int = SET_SHINGLES) -> DataFrame:
+def verified(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(u, v): links of which the components are those of all pairs in a candidate group at that similarity.
 
-    members: id (a string), root (the candidate group) and hashes (the distinct shingles). A group is dealt out as pairs
-    of blocks, by its documents and by its shingles, so that no task holds more than two blocks.
+    members: id (a string), root (the candidate group), blocks (in how many its documents fall) and hashes (the distinct
+    shingles). A group is dealt out as pairs of blocks, so that no task holds more than two.
     """
-    n = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("hashes")).alias("m"))
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("m") / shingles)).cast("int")
-    n = n.filter("n > 1").select(F.col("root").alias("__root"), blocks.alias("blocks"))
-    own = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks"))
+    own = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int")
     ends = lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other)
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), ends)).alias("pair")
-    dealt = members.join(n.hint("merge"), F.col("root") == F.col("__root")).select("root", pairs, "id", "hashes")
+    dealt = members.select("root", pairs, "id", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
@@ -549,7 +544,9 @@ def prefix_links(nodes: DataFrame, limits: Limits, block: int = BLOCK) -> DataFr
     """
     columns = [c for c in nodes.columns if c not in ("node", "prefix")]
     filed = nodes.select("node", F.explode("prefix").alias("key"))
-    shared = filed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    several = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = passing(filed, F.xxhash64("key"), filter_of(several.select(F.xxhash64("key"))), "shared").filter("shared").drop("shared")
+    shared = with_groups(shared, several, "key", "n", several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64(F.lit("block"), "node"), blocks).cast("int")
     ends = lambda other: F.least(own, other) * blocks + F.greatest(own, other)
@@ -587,7 +584,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     Null ids come last; equal ids of a component are told apart by a hash of the whole row, and identical rows, which
     are equals in every column, count as one until one of them is taken. Texts are read four times, once only a sample,
     the last two times only those of candidates and of rows that stay; they are shuffled only if over MOST_KEYS rows are
-    candidates.
+    candidates, and then only theirs.
     """
     columns = docs.columns
     key = F.concat_ws("/", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.hex(F.xxhash64(*columns)))
@@ -595,27 +592,26 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     of_text = marked.select("__key", F.col(doc_id).alias("__id"), F.col(text).alias("__t"))
     prints = cut(signatures(of_text, "__t", shingle, groups, similarity).withColumn("node", F.monotonically_increasing_id()))
     roots = components(prefix_links(prints.drop("__key", "__id"), Limits(64, differ, similarity))).withColumnRenamed("node", "of")
-    placed = prints.select("__key", "__id", "node").join(roots.hint("merge"), F.col("node") == F.col("of"), "left").select("__key", "__id", F.coalesce("root", "node").alias("root"))
-    placed = placed.groupBy("root", "__key").agg(F.min("__id").alias("__id"), F.count(F.lit(1)).alias("equals"))
-    placed = cut(placed)
-    several = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of"))
-    candidates = cut(placed.join(several.hint("merge"), F.col("root") == F.col("of")).select(F.col("__key").alias("id"), "root", "__id"))
-    chosen = _matching(of_text, candidates.select(F.col("id").alias("__of"), "root"), "inner")
-    sets = shingle_sets(chosen.select(F.col("__key").alias("id"), "root", "__t"), "__t", shingle)
-    groups_of = components(verified(cut(sets), similarity))
+    # rows that are equal in all columns are always linked, so those are among the candidates too
+    found = prints.select("__key", "__id", "size", "node").join(roots.hint("merge"), F.col("node") == F.col("of"))
+    found = cut(found.groupBy("__key").agg(F.first("root").alias("root"), F.min("__id").alias("__id"), F.first("size").alias("size"), F.count(F.lit(1)).alias("equals")))
+    held = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("m"))
+    blocks = F.greatest(F.ceil(F.col("n") / SET_BLOCK), F.ceil(F.col("m") / SET_SHINGLES)).cast("int")
+    candidates = cut(with_groups(found, cut(held.select("root", blocks.alias("blocks"), "n")), "root", "n", found.count()))
+    chosen = matching(of_text, candidates.select(F.col("__key").alias("__of"), "root", "blocks"), "__key", "inner")
+    twice = candidates.filter("equals > 1").select(F.col("__key").alias("__of"))
+    some_twice = not twice.isEmpty()
+    if some_twice:
+        chosen = chosen.groupBy("__key").agg(*[F.first(c).alias(c) for c in ("root", "blocks", "__t")])
+    sets = shingle_sets(chosen.select(F.col("__key").alias("id"), "root", "blocks", "__t"), "__t", shingle)
+    groups_of = components(verified(sets, similarity))
     ranked = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("node").alias("key"))
-    tied = groups_of.join(candidates.select("id", "__id").hint("merge"), F.col("node") == F.col("id"))
+    tied = groups_of.join(candidates.select("__key", "__id").hint("merge"), F.col("node") == F.col("__key"))
     stay = tied.groupBy("root").agg(F.min(ranked)["key"].alias("stays")).select("stays")
     goes = cut(tied.join(stay.hint("merge"), F.col("node") == F.col("stays"), "left_anti").select(F.col("node").alias("__of")))
-    kept = _matching(marked, goes, "left_anti")
-    twice = placed.filter("equals > 1").select(F.col("__key").alias("__of"))
-    if twice.isEmpty():
+    kept = matching(marked, goes, "__key", "left_anti")
+    if not some_twice:
         return kept.select(*columns)
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    rows = _matching(kept, twice, "left_semi").withColumn("__k", first).filter("__k = 1")
-    return _matching(kept, twice, "left_anti").select(*columns).unionByName(rows.select(*columns))
-
-
-def _matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """rows joined to keys by __key = __of; the keys are broadcast only if they are few."""
-    return rows.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, F.col("__key") == F.col("__of"), how)
+    one = F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("__one")
+    once = matching(kept, twice, "__key", "left_semi").groupBy("__key").agg(one).select("__one.*")
+    return matching(kept, twice, "__key", "left_anti").select(*columns).unionByName(once)
