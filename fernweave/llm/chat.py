@@ -7,6 +7,8 @@ not allowed the machine goes on from that role's own state, so every turn is for
 
 Inside texts the escape character is put before itself, and after the first character of every control string; no
 control string is left in an escaped text, so the output can be cut at them again, and `unescaped` gives the text back.
+The output of a conversation is one running text, with the spans in it that are under the loss. `digests` reads that:
+it finds the turns by the control strings, across the pieces in which the text arrives, and the loss by the spans.
 
 A conversation is never gathered: its rows are sorted together, across blocks of rows, and read once; what is held of
 one is the machine's state. That way a conversation of any length needs no more memory than a short one.
@@ -65,7 +67,7 @@ class Template:
         closes = [r.closes for r in self.roles.values()] + [self.other_middle, self.other_closes]
         if len({x.strip(self.gap) for x in opens + closes}) < len(self.roles) * 2 + 3:
             raise ValueError("every marker needs a control string of its own")
-        if not all(x.endswith(self.gap) for x in opens) or not all(x.startswith(self.gap) for x in closes):
+        if len(self.gap) != 1 or not all(x.endswith(self.gap) for x in opens) or not all(x.startswith(self.gap) for x in closes):
             raise ValueError("a gap must part every text from its markers, so that no control string begins in the one and ends in the other")
 
     def escaped(self, text: str) -> str:
@@ -101,16 +103,53 @@ def step(template: Template, state: str, role: str, text: str) -> tuple[str, boo
     return role, allowed, [(template.other_opens + name + template.other_middle, False), (body, False), (template.other_closes, False)]
 
 
-def read_turn(template: Template, text: str) -> tuple[str, str]:
-    """Role and text of one formatted turn, by its control strings."""
-    for role, shape in template.roles.items():
-        if text.startswith(shape.opens) and text.endswith(shape.closes) and len(text) >= len(shape.opens) + len(shape.closes):
-            return role, template.unescaped(text[len(shape.opens) : len(text) - len(shape.closes)])
-    name, _, body = text[len(template.other_opens) : len(text) - len(template.other_closes)].partition(template.other_middle)
-    return template.unescaped(name), template.unescaped(body)
-
-
-_SEGMENTS = "array<struct<text:string,loss:boolean>>"
+class Reader:
+    """Turns and text under the loss, read from the running text of a conversation, which may arrive in any pieces."""
+
+    def __init__(self, template: Template) -> None:
+        self.template = template
+        self.control = re.compile("|".join(map(re.escape, template.controls)))
+        self.held, self.at = "", 0  # the text that isn't read yet, and the place where it begins
+        self.spans: list[tuple[int, int]] = []
+
+    def fed(self, text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[str, str]], list[str]]:
+        """(role, text) of the turns that end in this piece, and the unescaped text of the spans that lie in them."""
+        self.held += text
+        self.spans += spans
+        turns, start = [], 0
+        while (found := self._turn(start)) is not None:
+            role, body, start = found
+            turns.append((self.template.unescaped(role), self.template.unescaped(body)))
+        end = self.at + start
+        whole = [x for x in self.spans if x[1] <= end]
+        under = [self.template.unescaped(self.held[a - self.at : b - self.at]) for a, b in whole]
+        self.spans = self.spans[len(whole) :]
+        self.held, self.at = self.held[start:], end
+        return turns, under
+
+    def _turn(self, start: int) -> tuple[str, str, int] | None:
+        """Role, body (both escaped) and end of the turn that begins at start; none if the text ends before it does."""
+        template, text = self.template, self.held
+        opened = self.control.match(text, start)
+        if opened is None:
+            return None
+        role = next((name for name, shape in template.roles.items() if shape.opens.startswith(opened[0])), None)
+        body = start + len(template.other_opens if role is None else template.roles[role].opens)
+        if role is None:
+            middle = self.control.search(text, body)
+            if middle is None:
+                return None
+            name_end = middle.start() - len(template.gap)
+            name, body = text[body:name_end], name_end + len(template.other_middle)
+        closes = template.other_closes if role is None else template.roles[role].closes
+        closing = self.control.search(text, body)
+        if closing is None or len(text) < closing.start() - len(template.gap) + len(closes):
+            return None
+        end = closing.start() - len(template.gap)
+        return (name if role is None else template.escaped(role)), text[body:end], end + len(closes)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
@@ -121,7 +160,7 @@ def _ordered(rows: DataFrame) -> DataFrame:
 def formatted(rows: DataFrame, template: Template = INSTRUCT, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each row of rows: conv_id, place (0, 1, ...), allowed, and segments (text, loss), in the order of turns.
 
-    The output of a conversation is the text of its segments, one after the other.
+    The output of a conversation is the text of its segments, one after the other: see running().
     """
     kept = rows.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = kept.schema["conv_id"].dataType
@@ -145,61 +184,82 @@ def formatted(rows: DataFrame, template: Template = INSTRUCT, conv_id: str = "co
     return _ordered(kept).mapInArrow(run, schema)
 
 
-def joined(turns: DataFrame) -> DataFrame:
-    """(conv_id, text, spans): the output of formatted() as one text for each conversation, and its loss spans in characters.
+def running(turns: DataFrame) -> DataFrame:
+    """(conv_id, place, text, spans): the output of formatted() in pieces of one turn, in the same order.
 
-    For conversations that fit a row; `formatted` itself has no such limit.
+    A conversation's text is that of its pieces one after the other; spans (start, end), in characters of that whole
+    text, are under the loss.
     """
-    of = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "segments"))).alias("t"))
-    flat = of.select("conv_id", F.flatten(F.transform("t", lambda t: t["segments"])).alias("s"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    kind = turns.schema["conv_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            texts, spans = [], []
+            for place, segments in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                at = at if place else 0
+                texts.append("".join(x["text"] for x in segments))
+                spans.append([])
+                for x in segments:
+                    if x["loss"]:
+                        spans[-1].append({"start": at, "end": at + len(x["text"])})
+                    at += len(x["text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(spans, _SPANS)], ["conv_id", "place", "text", "spans"])
 
-    def more(acc: F.Column, s: F.Column) -> F.Column:
-        end = acc["at"] + F.char_length(s["text"])
-        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(s["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    return turns.select("conv_id", "place", "segments").mapInArrow(run, f"conv_id {kind}, place bigint, text string, spans array<struct<start:bigint,end:bigint>>")
 
-    return flat.select("conv_id", F.array_join(F.transform("s", lambda s: s["text"]), "").alias("text"), F.aggregate("s", start, more, lambda acc: acc["spans"]).alias("spans"))
 
+def joined(turns: DataFrame) -> DataFrame:
+    """(conv_id, text, spans): the output of formatted() as one text for each conversation, and its loss spans in characters.
 
-def digests(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """What the output says when it is read back, for each conversation; turns: as formatted() gives them, in that order.
+    For conversations that fit a row; `running` has no such limit.
+    """
+    of = running(turns).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "text", "spans"))).alias("t"))
+    return of.select("conv_id", F.array_join(F.transform("t", lambda t: t["text"]), "").alias("text"), F.flatten(F.transform("t", lambda t: t["spans"])).alias("spans"))
+
+
+def digests(pieces: DataFrame, template: Template = INSTRUCT) -> DataFrame:
+    """What the output says when it is read back, for each conversation; pieces: as running() gives them, in that order.
 
     conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars and loss_sha256 (the
-    unescaped text under the loss mask), formatted_chars, n_faults (turns that were not allowed). Hashes are fed turn by
-    turn, so nothing of a conversation is held.
+    unescaped text under the loss spans), formatted_chars, n_faults (turns that the machine doesn't allow where they
+    are). Only the running text and the spans are read. Hashes are fed turn by turn, so what is held of a conversation
+    is a turn that hasn't ended.
     """
-    kind = turns.schema["conv_id"].dataType.simpleString()
+    kind = pieces.schema["conv_id"].dataType.simpleString()
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_faults"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = object(), None
+        held = None
         for batch in batches:
             done = []
-            for conv, place, allowed, segments in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if held is None or conv != now or place == 0:
+            for conv, place, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if place == 0:
                     done += [held] if held else []
-                    now, held = conv, {"conv_id": conv, "n_turns": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "formatted_chars": 0, "n_faults": 0}
-                whole = "".join(s["text"] for s in segments)
-                who, said = read_turn(template, whole)
-                masked = template.unescaped("".join(s["text"] for s in segments if s["loss"]))
-                held["n_turns"] += 1
-                held["turns"].update(f"{who}\n{said}\n".encode())
-                held["loss_chars"] += len(masked)
-                held["loss"].update(masked.encode())
-                held["formatted_chars"] += len(whole)
-                held["n_faults"] += not allowed
+                    held = {"conv_id": conv, "reader": Reader(template), "state": template.start, "turns": hashlib.sha256(), "loss": hashlib.sha256()} | {k: 0 for k in names if "sha" not in k}
+                turns, under = held["reader"].fed(text, [(x["start"], x["end"]) for x in spans])
+                held["formatted_chars"] += len(text)
+                for role, said in turns:
+                    held["n_turns"] += 1
+                    held["turns"].update(f"{role}\n{said}\n".encode())
+                    held["n_faults"] += role not in template.follows.get(held["state"], ())
+                    held["state"] = role
+                for said in under:
+                    held["loss_chars"] += len(said)
+                    held["loss"].update(said.encode())
             yield from told(done, batch)
         if held:
             yield from told([held], batch)
 
     def told(done: list[dict], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if done:
-            columns = [pa.array([d["conv_id"] for d in done], batch.schema.field(0).type), pa.array([d["n_turns"] for d in done], pa.int64()), pa.array([d["turns"].hexdigest() for d in done])]
-            columns += [pa.array([d["loss_chars"] for d in done], pa.int64()), pa.array([d["loss"].hexdigest() for d in done])]
-            columns += [pa.array([d[k] for d in done], pa.int64()) for k in ("formatted_chars", "n_faults")]
-            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_faults"])
+            for d in done:
+                d["turns_sha256"], d["loss_sha256"] = d["turns"].hexdigest(), d["loss"].hexdigest()
+            columns = [pa.array([d["conv_id"] for d in done], batch.schema.field(0).type)]
+            columns += [pa.array([d[k] for d in done], pa.string() if "sha" in k else pa.int64()) for k in names]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", *names])
 
-    return turns.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_faults bigint")
+    return pieces.select("conv_id", "place", "text", "spans").mapInArrow(run, f"conv_id {kind}, " + ", ".join(f"{k} string" if "sha" in k else f"{k} bigint" for k in names))
 
 
 #: The conversation that the stated query adds.

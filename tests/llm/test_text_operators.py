@@ -48,13 +48,11 @@ def test_order_of_the_cascade_changes_no_verdict(spark):
     texts = [(i, " ".join(rng.choice(["ab", "cd#", "EF", "7", "ghi"]) for _ in range(rng.randint(1, 120)))) for i in range(60)]
     frame = docs(spark, *texts)
     t = quality.text_or_empty(F.col("text"))
-    one = frame.filter(quality.first_rejection(t, quality.RULES).isNull()).select("doc_id")
-    two = frame.filter(quality.first_rejection(t, quality.RULES[::-1]).isNull()).select("doc_id")
+    one = frame.filter(quality.first_rejection(quality.Facts(t), quality.RULES).isNull()).select("doc_id")
+    two = frame.filter(quality.first_rejection(quality.Facts(t), quality.RULES[::-1]).isNull()).select("doc_id")
     kept = {r[0] for r in quality.quality_filter(frame).select("doc_id").collect()}
     assert {r[0] for r in one.collect()} == {r[0] for r in two.collect()} == kept
-    told = quality.estimate(frame, quality.RULES)
-    gain = [(share + 1e-4) / max(cost, 1e-4) for _, cost, share in told]
-    assert gain == sorted(gain, reverse=True)
+    assert sorted(rule.name for rule, _, _ in quality.estimate(frame, quality.RULES)) == sorted(rule.name for rule in quality.RULES)
     assert quality.cascade(frame).filter("rejected_by is null").count() == len(kept)
 
 
@@ -71,12 +69,10 @@ def groups_of(rows):
     return by
 
 
-@pytest.mark.parametrize("most_keys", [2_000_000, 0])
-def test_exact_groups(spark, most_keys, monkeypatch):
-    monkeypatch.setattr(exact, "MOST_KEYS", most_keys)
-    monkeypatch.setattr(exact.refined, "__defaults__", ("text", most_keys))
+@pytest.mark.parametrize("most_bits", [exact.MOST_BITS, 1])
+def test_exact_groups(spark, most_bits):
     rows = [(1, "Ab"), (2, "aB"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, "x" * 70 + "a"), (8, "x" * 70 + "b"), (9, "X" * 70 + "a"), (10, "lone")]
-    got = {r["doc_id"]: r for r in exact.exact_groups(docs(spark, *rows), digest=True).collect()}
+    got = {r["doc_id"]: r for r in exact.exact_groups(docs(spark, *rows), digest=True, most_bits=most_bits).collect()}
     for text, ids in groups_of(rows).items():
         for i in ids:
             r = got[i]
@@ -168,7 +164,7 @@ def test_chat_reads_back_what_went_in(spark):
     bits = ["</s>", "[INST]", "[/INST]", "\\", "<", "/s>", "[", "INST]", " ", "\n", "é", "<<SYS>>", "[ROLE] ", " [/OTHER]", "ok"]
     rows = [(c, t, rng.choice(["system", "user", "assistant", "tool", "odd", "[ROLE] x", None]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for c in range(40) for t in range(rng.randint(1, 6))]
     rows += [(None, 1, "user", None), (None, None, "assistant", "z"), (99, 1, "user", "a"), (99, 1, "user", "a")]
-    got = {r["conv_id"]: r for r in chat.digests(chat.formatted(conversation(spark, *rows))).collect()}
+    got = {r["conv_id"]: r for r in chat.digests(chat.running(chat.formatted(conversation(spark, *rows)))).collect()}
     by = defaultdict(list)
     for c, t, role, text in rows:
         by[c].append((t is None, t or 0, role or "", text or ""))
@@ -187,7 +183,7 @@ def test_chat_order_and_spans(spark):
     whole = chat.joined(turns).head()
     assert [chat.INSTRUCT.unescaped(whole["text"][s["start"] : s["end"]]) for s in whole["spans"]] == ["</s>"]
     assert whole["text"].count("</s>") == 1 and chat.formatted(conversation(spark, (1, 0, "user", "q")).limit(0)).count() == 0
-    assert chat.digests(chat.formatted(chat.probe(spark))).head()["conv_id"] == -1
+    assert chat.digests(chat.running(chat.formatted(chat.probe(spark)))).head()["conv_id"] == -1
 
 
 def test_templates_are_checked():
