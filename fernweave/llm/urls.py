@@ -161,7 +161,9 @@ def judged(pages: DataFrame, rules: list[UrlRule] | None = None, url: str = "url
     parsed = parsed.withColumns({"rule": name, "__ruled": ruled})
     # Equal URLs share a verdict: they are counted before the shuffle and judged once.
     filled = parsed.filter((F.col(url) != "") & F.col(url).isNotNull())
-    urls = cut(filled.groupBy(F.col(url).alias("url"), F.col("__ruled").alias("ruled")).agg(F.count(F.lit(1)).alias("n")))
+    urls = filled.groupBy(F.col(url).alias("url"), F.col("__ruled").alias("ruled")).agg(F.count(F.lit(1)).alias("n"))
+    # small rows that grow by what is made of them: a given number of partitions keeps them from being put together
+    urls = cut(urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     held = F.crc32(F.col("url")) % HOLD_OUT == 0
     trained = urls.filter(F.col("ruled").isNotNull() & ~held)
     counts = cut(trained.select("ruled", "n", F.explode(grams(F.col("url"))).alias("gram")).groupBy("gram").agg(_times(ALLOW).alias("a"), _times(BLOCK).alias("b")))
