@@ -47,6 +47,20 @@ def test_bpe_equals_tiktoken(spark, tiktoken_encoding):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_bpe_memory_is_bounded(monkeypatch, tiktoken_encoding):
+    import public_tokenizers as P
+
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 200_000)
+    own = bpe.Bpe(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = [("\t" if k % 2 else "  ").join(f"w{rng.randrange(10**5)}" for _ in range(60)) + " " + "é" * 90 for k in range(20)]
+        ids, at = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [tiktoken_encoding.encode_ordinary(t) for t in texts]
+        assert own.held <= 200_000 + 600_000 and max(map(len, own.known)) <= bpe.REMEMBERED_CHARS + 1
+        assert len(own.known) * bpe.OVERHEAD <= max(own.held, 1)
+
+
 def test_bpe_encode_then_decode(spark):
     frame = docs(spark, (1, "über uns", "s"), (None, "x", "s"), (2, None, "s"))
     back = bpe.decode(bpe.encode(frame))
@@ -88,6 +102,31 @@ def test_blocks_change_no_probability():
         assert np.allclose(got, exact / exact.sum(axis=1, keepdims=True))
 
 
+def test_probabilities_are_sums_over_all_label_sequences():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    emit, step = rng.uniform(0.1, 2, (5, 3)), rng.uniform(0.1, 2, (3, 3))
+    exact = np.zeros((5, 3))
+    for labels in product(range(3), repeat=5):
+        score = np.prod([emit[t, k] for t, k in enumerate(labels)]) * np.prod([step[a, b] for a, b in zip(labels, labels[1:], strict=False)])
+        for t, k in enumerate(labels):
+            exact[t, k] += score
+    model = crf.Model(["a", "b", "c"], np.zeros((1 << crf.HASH_BITS, 3)), np.log(step), {}, np.zeros((3, 3)))
+    labeller = crf.Labeller(model)
+    labeller.emissions = lambda words: emit
+    assert np.allclose(labeller.posteriors([list("vwxyz")])[0], exact / exact.sum(axis=1, keepdims=True))
+
+
+def test_many_labels_and_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(crf, "MOST_LANGUAGES", 2)
+    rows = [(i, text, lang) for i, (text, lang) in enumerate([("ka ko ki " * 20, "a")] * 9 + [("lu li la " * 20, "b")] * 8 + [("zu zi za " * 20, "junk")] * 3)]
+    rows = [(i, t + f" {'xyz'[i % 3] * 3}", lang) for i, t, lang in rows] + [(99, "ka ko ki " * 20_000, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = {r["doc_id"]: r["lang_pred"] for r in crf.identified(frame, crf.learned(frame, F.lit(True))).collect()}
+    assert {told[i] for i in range(9)} == {"a"} and {told[i] for i in range(9, 17)} == {"b"} and told[99] == "a" and set(told.values()) == {"a", "b"}
+
+
 def aimed(sizes, weights=(1, 2, 3), most=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {n: weights[i % len(weights)] for i, n in enumerate(names)}
@@ -129,6 +168,84 @@ def test_mix_of_odd_tables(spark):
     assert len(twins) == 5 and sum(r["taken"] for r in twins if r["size"] == 3) <= 36
 
 
+def expected_copies(sizes, target, most=3):
+    """Copies that are expected of documents of one source, by bisection of the factor."""
+    m = [len(bin(n)) - 2 if n else 0 for n in sizes]
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        f = (low + high) / 2
+        low, high = (f, high) if sum(n * min(most, f * k) for n, k in zip(sizes, m, strict=True)) < target else (low, f)
+    return [min(most, low * k) if n else 1.0 for n, k in zip(sizes, m, strict=True)]
+
+
+def test_sample_is_the_head_of_the_pareto_ranking(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * int(2 ** rng.uniform(0, 9))), "ab"[i % 2]) for i in range(600)]
+    frame = docs(spark, *rows)
+    got = {r["doc_id"]: r for r in mixing.mixed(frame).collect()}
+    u = {r["doc_id"]: r["__k"]["u"] for r in mixing._keyed(frame, "doc_id", "text", "source", 1).collect()}
+    for source in "ab":
+        own = [i for i, _, s in rows if s == source]
+        sizes = [got[i]["size"] for i in own]
+        counts = expected_copies(sizes, got[own[0]]["target"])
+        p = {i: c - int(c + 1e-9) for i, c in zip(own, counts, strict=True)}
+        assert len({round(x, 6) for x in p.values()}) > 3
+        rest = sum(p[i] * got[i]["size"] for i in own)
+        ranked = sorted((i for i in own if p[i] > 1e-9), key=lambda i: u[i] * (1 - p[i]) / ((1 - u[i]) * p[i]))
+        sums = np.concatenate([[0], np.cumsum([got[i]["size"] for i in ranked])])
+        head = set(ranked[: int(np.argmin(np.abs(sums - rest)))])
+        for i, c in zip(own, counts, strict=True):
+            assert got[i]["copies"] == int(c + 1e-9) + (i in head)
+
+
+def test_inclusion_frequencies(spark):
+    sizes, copies, times = [5, 10, 20, 40, 80], 100, 40  # the same source many times: ids differ, and so do the draws
+    rows = [(c * 1000 + k, " ".join(["w"] * n), f"s{c:03d}") for c in range(copies) for k, n in enumerate(sizes * times)]
+    found = mixing.mixed(docs(spark, *rows), weights=(1,)).groupBy(F.col("doc_id") % 1000 % len(sizes)).agg(F.avg("copies").alias("mean")).collect()
+    wanted, n = expected_copies(sizes, sum(sizes)), copies * times
+    assert len({round(x % 1, 3) for x in wanted}) == len(sizes)
+    for r in found:
+        want = wanted[r[0]]
+        p = want - int(want)
+        assert abs(r["mean"] - want) <= 3 * (p * (1 - p) / n) ** 0.5
+
+
+def test_mix_of_clashing_columns_and_equal_rows(spark):
+    names = ["p", "sure", "stop", "end_bin", "end_sub", "m", "size", "u", "target", "copies"]
+    rows = [(i % 3 or None, "a b c d", "s", *range(10)) for i in range(300)] + [(500, "x " * 41, "t", *range(10))] * 30
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    assert mixing.mixed(frame).columns == ["doc_id", "size", "source_size", "target", "copies", "taken"]
+    taken = Counter()
+    for r in mixing.mixed(frame).collect():
+        taken[r["source_size"]] += r["taken"]
+    target = {r["source_size"]: r["target"] for r in mixing.mixed(frame).collect()}
+    assert all(abs(taken[s] - target[s]) <= 40 for s in target)
+    out = mixing.mix(frame)
+    assert out.columns == frame.columns and sum(len(r["text"].split()) for r in out.collect()) == sum(taken.values())
+
+
+def test_shard_of_a_key_by_brute_force(spark):
+    from zlib import crc32
+
+    rows = [(i, t, "s") for i, t in enumerate(["a", "b", None, "", "é" * 5000] * 40)] + [(None, "x", "s")]
+    got = shards.sharded(docs(spark, *rows)).collect()
+    draw = lambda key, k: int(hashlib.md5(f"{key}/{k}".encode()).hexdigest()[:13], 16)
+    text = dict((i, t or "") for i, t, _ in rows)
+    for r in got:
+        key = "null" if r["doc_id"] is None else r["doc_id"]
+        assert r["shard"] == max(range(8), key=lambda k: (draw(key, k), -k)) and r["grown_shard"] == max(range(9), key=lambda k: (draw(key, k), -k))
+        raw = text[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 1, crc32(raw))
+
+
+def test_written_shards(spark, tmp_path):
+    frame = docs(spark, *[(i, "t", "s") for i in range(50)])
+    shards.write_shards(frame, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    told = {r["doc_id"]: r["shard"] for r in shards.sharded(frame).collect()}
+    assert {r["doc_id"]: r["shard"] for r in back.collect()} == told
+
+
 def test_shards(spark):
     rows = [(i, t, "s") for i, t in enumerate(["a", "b", None, "", "é"] * 400)] + [(None, "x", "s"), (7, "same", "s"), (7, "same", "s")]
     got = shards.sharded(docs(spark, *rows)).collect()
@@ -290,6 +407,15 @@ def test_alike_roots_equal_brute_force():
     assert {frozenset(np.flatnonzero(got == g)) for g in set(got)} == {frozenset(i for i, x in enumerate(label) if x == g) for g in set(label)}
 
 
+def test_near_dedup_of_long_texts_clashing_columns_and_string_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_BLOCK", 2)
+    long = " ".join(f"w{i}" for i in range(9000))
+    rows = [("a", long, 1, "n"), ("b", long + " end", 2, "n"), ("b", long + " end", 2, "n"), ("c", long.replace("w7 ", "v7 "), 3, "n"), (None, "other " + " ".join(f"z{i}" for i in range(50)), 4, "n")] + [("d", long, 1, "n")] * 3
+    frame = spark.createDataFrame(rows, "doc_id string, text string, root int, node string")
+    kept = simhash.near_dedup(frame)
+    assert kept.columns == frame.columns and sorted(r["doc_id"] or "" for r in kept.collect()) == ["", "a"]
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "ring", "none"])
 def test_components_of_shapes(spark, shape):
     n = 200

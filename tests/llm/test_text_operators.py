@@ -1,6 +1,7 @@
 """Quality rules, exact dedup, URL filters, token counts, chat: edge cases and brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -8,7 +9,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from fernweave.llm import chat, exact, quality, tokens, urls
+from fernweave.llm import chat, common, exact, quality, tokens, urls
+from fernweave.llm import urls as urls_module
 
 SPACE = "[\x20\x09-\x0d]+"
 DOCS = "doc_id long, text string, source string, lang string, n_words long, kept boolean"
@@ -56,6 +58,20 @@ def test_order_of_the_cascade_changes_no_verdict(spark):
     assert quality.cascade(frame).filter("rejected_by is null").count() == len(kept)
 
 
+def test_order_of_the_cascade_by_gain():
+    rules = [quality.Rule(n, lambda x: x) for n in "abc"]
+    verdicts = [((True, True, False), 60), ((False, True, True), 10), ((False, False, True), 5), ((False, False, False), 25)]
+    told = quality.ordered_by_gain(rules, [1.0, 1.0, 0.5], verdicts)
+    # b rejects most; of the rows that it leaves a rejects none, and c rejects 5 of 30
+    assert [(r.name, round(share, 3)) for r, _, share in told] == [("b", 0.7), ("c", 0.167), ("a", 0.0)]
+
+
+def test_sample_is_the_same_each_time(spark):
+    frame = docs(spark, *[(i, f"t {i}") for i in range(3000)]).repartition(3).cache()
+    draw = lambda: sorted(r[0] for r in frame.select("doc_id").sample(fraction=500 / 3000, seed=quality.SEED).collect())
+    assert draw() == draw() and 400 < len(draw()) < 600
+
+
 def test_quality_of_no_rows(spark):
     none = docs(spark, (1, "x")).limit(0)
     assert quality.judged(none).count() == 0 and quality.quality_filter(none).columns == none.columns
@@ -88,6 +104,86 @@ def test_exact_dedup_keeps_columns_and_one_of_each(spark):
     assert exact.exact_dedup(frame.limit(0)).count() == 0 and exact.exact_groups(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most_keys", [None, 0])
+def test_exact_dedup_of_clashing_columns_and_string_ids(spark, most_keys):
+    rows = [("a", "T", 1, "x"), ("b", "t", 1, "x"), ("b", "t", 1, "x"), ("b", "t", 2, "x"), (None, "q", 3, "x"), ("c", "q" * 100_000, 3, "x"), ("d", "Q" * 100_000, 3, "x")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, keep_id int, kept string")
+    kept = exact.exact_dedup(frame, most_keys=most_keys)
+    assert kept.columns == frame.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(["b", None, "d"])
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_matching_by_a_filter_is_the_same_join(spark, how):
+    rows = spark.createDataFrame([(k % 50, f"t{k}") for k in range(200)], "k int, text string")
+    keys = spark.createDataFrame([(k,) for k in range(0, 80, 3)], "key int")
+    told = lambda n: sorted(map(tuple, common.matching(rows, keys, "k", how, n).select("k", "text").collect()))
+    assert told(None) == told(0) != []
+
+
+def test_hot_groups_meet_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    rows = spark.createDataFrame([("hot" if k % 3 else f"k{k % 7}", k) for k in range(90)], "key string, k int")
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("last"))
+    got = common.with_groups(rows, groups, "key", "n", 90)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(groups, "key").select("key", "k", "n", "last").collect()))
+
+
+def ratio_of(urls, allow, block):
+    """Mean log-likelihood difference by the definition, with counts in dictionaries."""
+    pad = lambda u: urls_module.START * 3 + u + urls_module.END
+    letters = {c for u in allow + block for c in u + urls_module.END}
+
+    def chance(corpus):
+        n = defaultdict(Counter)
+        for u in corpus:
+            h = pad(u)
+            for i in range(3, len(h)):
+                for k in range(4):
+                    n[h[i - k : i]][h[i]] += 1
+
+        def p(context, c):
+            low = 1 / (len(letters) + 1) if not context else p(context[1:], c)
+            if not context:
+                followers = n[""]
+                return (followers[c] + len(followers) * low) / (sum(followers.values()) + len(followers))
+            followers = n.get(context)
+            return low if not followers else (followers[c] + len(followers) * low) / (sum(followers.values()) + len(followers))
+
+        return p
+
+    a, b = chance(allow), chance(block)
+    out = {}
+    for u in urls:
+        h = pad(u)
+        ratios = [round((math.log(a(h[i - 3 : i], h[i])) - math.log(b(h[i - 3 : i], h[i]))) * 1000) for i in range(3, len(h))]
+        out[u] = math.floor(sum(ratios) / len(ratios))
+    return out
+
+
+@pytest.mark.parametrize("most_keys", [1_000_000, 0])
+def test_url_scores_by_brute_force(spark, monkeypatch, most_keys):
+    from zlib import crc32
+
+    monkeypatch.setattr(urls, "MOST_KEYS", most_keys)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé_%7=") for _ in range(rng.randint(1, 5)))
+    given = {f"x://{word()}.ex.com/{word()}?q={word()}" for _ in range(60)} | {f"x://{word()}.net/es/{word()}#{word()}" for _ in range(60)} | {f"x://{word()}.org/{word()}?A={word()}" for _ in range(40)}
+    rows = [(k, u) for k, u in enumerate(sorted(given))]
+    rows += [(k + 1000, u) for k, u in rows[::4]]
+    got = urls.judged(spark.createDataFrame(rows, "page_id int, url string")).collect()
+    trains = lambda r: r["rule"] and crc32(r["url"].encode()) % urls.HOLD_OUT
+    by = {v: [r["url"] for r in got if trains(r) and r["verdict"] == v] for v in (urls.ALLOW, urls.BLOCK)}
+    free = {r["url"]: r["score"] for r in got if not r["rule"]}
+    exact = ratio_of(sorted(free), by[urls.ALLOW], by[urls.BLOCK])
+    assert len(free) > 30 and all(abs(free[u] - exact[u]) <= 1 for u in free)
+
+
+def test_urls_of_one_verdict_are_allowed(spark):
+    rows = [(k, f"x://ex.com/a{k}") for k in range(40)] + [(900, "y://zzz.org/q"), (901, None), (902, ""), (903, "nothing"), (904, "y://z.org/" + "p" * 20_000)]
+    got = {r["page_id"]: (r["verdict"], r["score"]) for r in urls.judged(spark.createDataFrame(rows, "page_id int, url string")).filter("page_id >= 900").collect()}
+    assert got == {900: ("allow", 0), 901: ("allow", None), 902: ("allow", None), 903: ("allow", 0), 904: ("allow", 0)}
+
+
 def test_url_parts_and_rules(spark):
     given = [
         ("http://A.Example.com/en/1?x#y", "a.example.com", "/en/1", "example.com/en/", "block"),
@@ -125,6 +221,28 @@ def test_url_model_learns_from_the_rules(spark):
     assert got == {free[0]: "allow", free[1]: "block"}
 
 
+def test_counts_equal_the_tokens_of_an_encoder(spark):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["word ", "\n", " \n", "é", "\U0001f600", "  ", "12"]) for _ in range(rng.randint(0, 40))) for _ in range(40)] + ["line of words\n" * 5000]
+    got = defaultdict(dict)
+    for r in tokens.section_tokens(docs(spark, *enumerate(texts))).collect():
+        got[r["doc_id"]][r["section"]] = r["n_tokens"]
+    for k, text in enumerate(texts):
+        raw, at, counts = text.encode(), 0, Counter()
+        for token in own.encode_ordinary(text):
+            first = raw[: at + 1].rstrip(b"")  # a token counts for the line that holds its first character
+            counts[first[:-1].count(b"\n") if len(text) < 1000 else text[:at].count("\n")] += 1
+            at += len(own.decode_single_token_bytes(token))
+        assert {i: n for i, n in got[k].items() if n} == dict(counts) and len(got[k]) == text.count("\n") + 1
+
+
 def test_sections_by_each_rule():
     import numpy as np
 
@@ -177,6 +295,23 @@ def test_chat_reads_back_what_went_in(spark):
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_reader_takes_a_text_in_any_pieces():
+    rng = random.Random(5)
+    turns = [(rng.choice(["user", "assistant", "odd [INST]", ""]), rng.choice(["", "</s>", "a [INST] \\ b", " [/OTHER]"])) for _ in range(30)]
+    text, spans = "", []
+    for role, said in turns:
+        for piece, loss in chat.step(chat.INSTRUCT, "", role, said)[2]:
+            if loss:
+                spans.append((len(text), len(text) + len(piece)))
+            text += piece
+    reader, got, under, at = chat.Reader(chat.INSTRUCT), [], [], 0
+    while at < len(text):
+        n = rng.randint(1, 25)
+        more, loss = reader.fed(text[at : at + n], [x for x in spans if at <= x[0] < at + n])
+        got, under, at = got + more, under + loss, at + n
+    assert got == turns and under == [said for role, said in turns if role == "assistant"] and not reader.held
+
+
 def test_chat_order_and_spans(spark):
     turns = chat.formatted(conversation(spark, (1, 0, "user", "q"), (1, 1, "user", "again"), (1, 2, "assistant", "</s>")))
     assert [r["allowed"] for r in turns.orderBy("place").collect()] == [True, False, True]
