@@ -99,19 +99,24 @@ def budgets_left(tasks: DataFrame, budgets: DataFrame) -> DataFrame:
     return own.join(of_task, "task_id").select("task_id", "operation", F.greatest(F.lit(0), F.least("own_left", "task_left")).alias("left"))
 
 
-def over_capacity(pages: DataFrame, tasks: DataFrame) -> DataFrame:
+def over_capacity(pages: DataFrame, tasks: DataFrame, block: int = 10_000) -> DataFrame:
     """pages (task_id, page_order, new_nodes, new_edges) with fits: false where the task's nodes or edges would overflow.
 
     Sums run over all pages of a task in order. A page that doesn't fit still counts for those after it: once a task
-    is full, nothing smaller slips in.
+    is full, nothing smaller slips in. page_order is a number; blocks of `block` of its values are summed before the
+    shuffle, their sums are added up (a row for each block), and pages are added up within their block only.
     """
     from pyspark.sql import Window
 
-    upto = Window.partitionBy("task_id").orderBy("page_order").rowsBetween(Window.unboundedPreceding, 0)
-    rows = pages.withColumns({"__n": F.sum("new_nodes").over(upto), "__e": F.sum("new_edges").over(upto)})
+    blocked = pages.withColumn("__block", F.floor(F.col("page_order") / block))
+    sums = blocked.groupBy("task_id", "__block").agg(F.sum("new_nodes").alias("n"), F.sum("new_edges").alias("e"))
+    earlier = Window.partitionBy("task_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("task_id", "__block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}0") for c in ("n", "e")])
+    upto = Window.partitionBy("task_id", "__block").orderBy("page_order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocked.withColumns({"__n": F.sum("new_nodes").over(upto), "__e": F.sum("new_edges").over(upto)}).join(starts, ["task_id", "__block"])
     room = tasks.select("task_id", (F.col("max_nodes") - F.col("nodes_created")).alias("__nodes"), (F.col("max_edges") - F.col("edges_created")).alias("__edges"))
-    fits = F.coalesce((F.col("__n") <= F.col("__nodes")) & (F.col("__e") <= F.col("__edges")), F.lit(True))
-    return rows.join(room, "task_id", "left").withColumn("fits", fits).drop("__n", "__e", "__nodes", "__edges")
+    fits = F.coalesce((F.col("__n") + F.col("__n0") <= F.col("__nodes")) & (F.col("__e") + F.col("__e0") <= F.col("__edges")), F.lit(True))
+    return rows.join(room, "task_id", "left").select(*pages.columns, fits.alias("fits"))
 
 
 def pipeline_stats(frames: dict[str, DataFrame], as_of: str) -> DataFrame:

@@ -217,7 +217,14 @@ def bfs_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).edges
 
 
-@query()
+ROOTED = "SELECT account_id, tree FROM (VALUES ('0', 'tree-a'), ('1', 'tree-b')) v(account_id, tree) UNION SELECT b.target_account_id, r.tree FROM {rooted} r JOIN {built} b ON b.source_account_id = r.account_id WHERE b.target_depth = b.source_depth + 1"
+
+
+@query(
+    "SELECT t.tree AS tree_id, b.target_account_id AS account_id, b.source_account_id AS parent_account_id, b.source_depth + 1 AS depth, NOT (b.target_depth = b.source_depth + 1 AND row_number() OVER (PARTITION BY b.target_account_id, b.target_depth = b.source_depth + 1 ORDER BY t.tree, b.source_account_id) = 1) AS is_collision FROM {built} b JOIN (SELECT account_id, min(tree) AS tree FROM {rooted} GROUP BY 1) t ON t.account_id = b.source_account_id",
+    **_BFS,
+    rooted=ROOTED,
+)
 def bfs_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).observations
 
@@ -642,9 +649,9 @@ def pool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.pool_stats(_pool(spark, sf_dir), AS_OF)
 
 
-@query("SELECT username, active, used AS total_req, 'None' AS error_msg FROM {pool} ORDER BY active DESC, used DESC, lower(username) LIMIT 50", pool=POOL)
+@query("SELECT username, active, used AS total_req, 'None' AS error_msg FROM {pool}", pool=POOL)
 def account_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool.account_info(_pool(spark, sf_dir)).select("username", "active", "total_req", "error_msg").limit(50)
+    return pool.account_info(_pool(spark, sf_dir)).select("username", "active", "total_req", "error_msg")
 
 
 @query("SELECT event_type, event_id % 3 AS third, count(*) AS n FROM {events} GROUP BY ALL")
@@ -714,3 +721,4 @@ def stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.get("listed", ingest.EDGE_ROWS).select("source", "target", "followers")
 
 
+from fernweave.plans import page_queries  # noqa: E402, F401 - registers its queries

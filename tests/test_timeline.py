@@ -1,10 +1,12 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from fernweave.operators import admission, chains, metrics, records, tasks
-from tests.graphs import T, product, table
+from fernweave.schemas import empty
+from tests.graphs import T, listed, made, table
 
 COLUMNS = ["account_id", "post_id", "kind", "is_qualifying", "posted_at", "reply_count", "retweet_count", "like_count", "quote_count", "bookmark_count", "view_count"]
 
@@ -14,9 +16,13 @@ def post(i, kind, likes=100, views=1000, age=0, account="a"):
     return (account, f"p{i:03d}", kind, kind in ("original", "quote"), datetime(2026, 1, 30) - timedelta(days=age), *([0] * 5 if quiet else [3, 7, likes, 1, 5]), None if quiet else views)
 
 
+def conformed_rows(spark, name, columns, rows):
+    return table(spark, name, [dict(zip(columns, r, strict=True)) for r in rows]) if rows else empty(spark, name)
+
+
 def measured(spark, posts, followers=1000, target=30):
-    frame = table(spark, "account_posts", COLUMNS, posts)
-    profiles = table(spark, "account_profiles", ["account_id", "followers_count"], [("a", followers)])
+    frame = conformed_rows(spark, "account_posts", COLUMNS, posts)
+    profiles = table(spark, "account_profiles", [{"account_id": "a", "followers_count": followers}])
     return {r["account_id"]: r for r in metrics.account_metrics(frame, profiles, target).collect()}
 
 
@@ -44,23 +50,39 @@ def test_account_without_sample(spark):
     assert measured(spark, []) == {}
 
 
-def test_admission(spark):
-    frames = product(spark)
-    chosen = admission.candidates(frames, T, admission.CandidatePolicy(require_can_dm=True, min_followers=10000)).collect()
-    assert [(r["account_id"], r["candidate_reasons"]) for r in chosen] == [("hub", ["can_dm", "not_protected", "follower_range"])]
-    everyone = admission.candidates(frames, T, admission.CandidatePolicy(exclude_protected=False, max_depth=1))
-    assert [r["account_id"] for r in everyone.collect()] == ["hub", "broken", "seed", "small", "seed2"]
-    after = admission.admitted(frames["account_nodes"], everyone, T)
-    assert after.filter("timeline_status = 'queued'").count() == 5 and after.count() == 6
+@pytest.mark.parametrize(
+    ("policy", "test"),
+    [
+        ({"require_can_dm": True, "min_followers": 300}, lambda r: r["can_dm"] and not r["protected"] and (r["followers_count"] or 0) >= 300),
+        ({"exclude_protected": False, "max_depth": 1}, lambda r: r["first_depth"] <= 1),
+        ({"bio_keywords": ("maps", "fan"), "max_followers": 5600}, lambda r: not r["protected"] and r["description"] and r["followers_count"] is not None and r["followers_count"] <= 5600),
+        ({"min_network_indegree": 3, "min_discovery_paths": 4}, lambda r: not r["protected"] and r["degree"] >= 3 and r["paths"] >= 4),
+    ],
+)
+def test_admission_by_brute_force(spark, policy, test):
+    frames, plain = made(spark)
+    rows = listed(plain)
+    for i, r in rows.items():
+        r |= {"degree": sum(e["target_account_id"] == i for e in plain["follow_edges"]), "paths": sum(x["account_id"] == i for x in plain["account_observations"])}
+    known = {p["account_id"] for p in plain["account_profiles"]}
+    wanted = sorted((i for i, r in rows.items() if i in known and test(r)), key=lambda i: (-rows[i]["degree"], rows[i]["followers_count"] is None, -(rows[i]["followers_count"] or 0), i))
+    chosen = admission.candidates(frames, T, admission.CandidatePolicy(**policy))
+    assert [r["account_id"] for r in chosen.collect()] == wanted != []
+    assert {tuple(r["candidate_reasons"]) for r in chosen.collect()} == {admission.CandidatePolicy(**policy).active_conditions()}
+    after = admission.admitted(frames["account_nodes"], chosen, T)
+    assert after.filter("timeline_status = 'queued'").count() == len(wanted) and after.count() == len(rows)
+    assert admission.queued(frames["crawl_frontier"], chosen, T).count() == len(wanted)
     off = frames | {"crawl_tasks": frames["crawl_tasks"].withColumn("timeline_enabled", F.lit(False))}
-    assert admission.candidates(off, T, admission.CandidatePolicy()).count() == 0
+    assert admission.candidates(off, T, admission.CandidatePolicy(**policy)).count() == 0
+
+
+def test_admission_rules(spark):
+    frames, _ = made(spark)
     with pytest.raises(LookupError):
         admission.candidates(frames, "other", admission.CandidatePolicy())
     with pytest.raises(ValueError):
         admission.CandidatePolicy(min_followers=2, max_followers=1)
-    assert admission.CandidatePolicy(bio_keywords=("ai",), min_network_indegree=1, max_depth=3).active_conditions() == ("not_protected", "network_indegree", "bio_keyword", "depth")
-    assert admission.with_timeline_state(frames["account_nodes"], T, "hub", "complete").filter("timeline_status = 'complete'").count() == 1
-    assert admission.queued(frames["crawl_frontier"], everyone, T).count() == 5
+    assert admission.with_timeline_state(frames["account_nodes"], T, "acct05", "complete").filter("timeline_status = 'complete'").count() == 1
 
 
 def outcome(spark, pages, **more):
@@ -94,6 +116,32 @@ def test_upserts(spark):
     assert {tuple(r) for r in records.latest_wins(once, more, ["k"], ["o"]).collect()} == {("a", 5), ("b", 7), (None, 1)}
 
 
+def test_spent_items_fail(spark):
+    frame = spark.createDataFrame([("a", "pending", 3, 3), ("b", "retryable", 2, 3), ("c", "complete", 5, 3), ("d", "retryable", 4, 3)], "id string, status string, attempt int, max_attempts int")
+    assert {r["id"]: r["status"] for r in tasks.exhausted(frame).collect()} == {"a": "failed", "b": "retryable", "c": "complete", "d": "failed"}
+
+
+def test_declared_numbers(spark):
+    nodes = spark.createDataFrame([(T, i, n) for i, n in (("a", 1), ("b", 2), ("c", 3), ("d", None))], "task_id string, account_id string, declared_following int")
+    told = spark.createDataFrame([(T, "a", 10), (T, "b", None), (T, "d", None)], "task_id string, account_id string, declared int")
+    profiles = spark.createDataFrame([(T, "a", 99), (T, "b", 20), (T, "c", 30)], "task_id string, account_id string, following_count int")
+    assert {r["account_id"]: r["declared_following"] for r in records.declared_following(nodes, told, profiles).collect()} == {"a": 10, "b": 20, "c": 3, "d": None}
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_capacity_by_brute_force(spark, block):
+    rng = random.Random(block)
+    pages = [(t, k, rng.randrange(6), rng.randrange(9)) for t in "xyz" for k in rng.sample(range(200), 40)]
+    room = {"x": (60, 900), "y": (900, 90)}
+    limits = spark.createDataFrame([(t, n + 7, 7, e, 0) for t, (n, e) in room.items()], "task_id string, max_nodes int, nodes_created int, max_edges int, edges_created int")
+    got = {(r["task_id"], r["page_order"]): r["fits"] for r in tasks.over_capacity(spark.createDataFrame(pages, "task_id string, page_order int, new_nodes int, new_edges int"), limits, block).collect()}
+    for t in "xyz":
+        n = e = 0
+        for _, k, nodes, edges in sorted(p for p in pages if p[0] == t):
+            n, e = n + nodes, e + edges
+            assert got[t, k] == (t not in room or (n <= room[t][0] and e <= room[t][1]))
+
+
 def test_task_moves(spark):
     frame = spark.createDataFrame([("a", "running"), ("b", "completed"), ("c", "paused")], "task_id string, status string")
     moves = spark.createDataFrame([("a", "paused"), ("b", "running")], "task_id string, target string")
