@@ -6,7 +6,9 @@ are open and in which order, and what a table is after a batch of outcomes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.functions.rules import may_move
@@ -157,3 +159,61 @@ def after_publishing(outbox: DataFrame, outcomes: DataFrame, as_of: str, backoff
         "lease_expires_at": F.when(~tried, F.col("lease_expires_at")),
     }
     return rows.withColumns(new).select(*outbox.columns)
+
+
+@dataclass(frozen=True)
+class TaskSpec:
+    """A new task: its seeds (tree -> account), limits, and requests that each operation may make."""
+
+    task_id: str
+    seeds: dict[str, str]
+    max_depth: int = 5
+    max_nodes: int = 100_000
+    max_edges: int = 1_000_000
+    max_requests: int = 10_000
+    budgets: dict[str, int] = field(default_factory=lambda: {"Following": 8_000, "UserTweets": 2_000})
+
+    def __post_init__(self) -> None:
+        if not self.task_id or not self.seeds:
+            raise ValueError("a task needs an id and seeds")
+        if not all(self.seeds) or not all(self.seeds.values()):
+            raise ValueError("trees and seeds need ids")
+        if len(set(self.seeds.values())) < len(self.seeds):
+            raise ValueError("a seed may start one tree only")
+        if not 0 <= self.max_depth <= 5:
+            raise ValueError("max_depth must be 0 to 5")
+        limits = (self.max_nodes, self.max_edges, self.max_requests, *self.budgets.values())
+        if not self.budgets or min(limits) <= 0:
+            raise ValueError("limits and budgets must be positive")
+        if len(self.seeds) > self.max_nodes:
+            raise ValueError("there are more seeds than max_nodes")
+
+
+def created(spark: SparkSession, spec: TaskSpec) -> dict[str, DataFrame]:
+    """The rows that a new task begins with: the task, its budgets, trees, seed nodes and their work. Seeds aren't observed."""
+    rows = {
+        "crawl_tasks": ([(spec.task_id, "queued", 0, spec.max_depth, spec.max_requests, spec.max_nodes, spec.max_edges, len(spec.seeds))], "task_id string, status string, current_depth int, max_depth int, max_requests bigint, max_nodes bigint, max_edges bigint, nodes_created bigint"),
+        "task_operation_budgets": ([(spec.task_id, name, n, 0) for name, n in spec.budgets.items()], "task_id string, operation string, max_requests bigint, requests_attempted bigint"),
+        "root_trees": ([(spec.task_id, *seed) for seed in spec.seeds.items()], "task_id string, tree_id string, seed_account_id string"),
+        "account_nodes": ([(spec.task_id, seed, 0, "queued") for seed in spec.seeds.values()], "task_id string, account_id string, first_depth int, expansion_status string"),
+        "crawl_frontier": ([(spec.task_id, tree, seed, "Following", 0, "pending") for tree, seed in spec.seeds.items()], "task_id string, tree_id string, account_id string, operation string, depth int, status string"),
+    }
+    return {name: spark.createDataFrame(*told) for name, told in rows.items()}
+
+
+def added(table: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """table and those rows of more whose keys it doesn't have: what is added twice is there once."""
+    fresh = more.join(table.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    return table.unionByName(fresh, allowMissingColumns=True)
+
+
+def progress(frames: dict[str, DataFrame], task_id: str, as_of: str) -> DataFrame:
+    """How a task stands, as (part, name, n): work by operation and state, errors, what waits, nodes by state, and layers."""
+    of = lambda df: df.filter(F.col("task_id") == task_id)
+    frontier = of(frames["crawl_frontier"])
+    work = frontier_counts(frontier).select(F.lit("work").alias("part"), F.concat_ws("/", "operation", "status").alias("name"), "n")
+    errors = top_errors(frontier, task_id).select(F.lit("error").alias("part"), F.col("error_class").alias("name"), "n")
+    waits = rate_limit_wait(frontier, as_of).select(F.lit("waiting").alias("part"), F.lit("rate_limit").alias("name"), "n")
+    states = of(frames["account_nodes"]).groupBy(F.col("expansion_status").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("nodes").alias("part"), "name", "n")
+    layers = of(frames["account_nodes"]).groupBy(F.col("first_depth").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("layer").alias("part"), "name", "n")
+    return work.unionByName(errors).unionByName(waits).unionByName(states).unionByName(layers)

@@ -35,7 +35,7 @@ def split(messages: DataFrame, tasks: DataFrame, ledger: DataFrame, group: str)
     """(fresh events, duplicates, dead letters) of a batch.
 
     Dead letters: what can't be read, and events of tasks that aren't there. The first delivery of an event in a batch
-    is the one that counts. Tasks and ledger are joined, not collected; both sides are cut to the batch's tasks.
+    is the one that counts, by topic, partition and offset where messages have them. Tasks and ledger are joined, not collected; both sides are cut to the batch's tasks.
     """
     rows = events.decoded(messages)
     known = tasks.select(F.col("task_id").alias("__task")).distinct()
@@ -45,7 +45,8 @@ def split(messages: DataFrame, tasks: DataFrame, ledger: DataFrame, group: str)
     dead = rows.filter(F.col("problem").isNotNull() | gone)
     dead = dead.select("task_id", "event_id", F.when(F.col("problem").isNotNull(), "undecodable_event").otherwise("unknown_task").alias("error_class"), detail.alias("detail"), F.col("value").cast("string").alias("payload"))
     good = rows.filter(F.col("problem").isNull() & ~gone).drop("problem", "__task")
-    place = F.row_number().over(Window.partitionBy("task_id", "event_id").orderBy("received_at", F.xxhash64("value")))
+    delivered = [c for c in ("topic", "partition", "offset") if c in messages.columns]
+    place = F.row_number().over(Window.partitionBy("task_id", "event_id").orderBy(*delivered, "received_at", F.xxhash64("value")))
     good = good.withColumn("__k", place)
     done = ledger.filter(F.col("group_id") == group).select("task_id", "event_id", F.lit(True).alias("__done"))
     good = good.join(done, ["task_id", "event_id"], "left")
@@ -87,6 +88,7 @@ class Store:
 
 
 EDGE_ROWS = "task_id string, tree_id string, source string, depth int, event_id string, position bigint, target string, followers int"
+PROFILES = "task_id string, event_id string, account_id string, username string, followers_count int, can_dm boolean"
 POSTS = "task_id string, account_id string, event_id string, post_id string, kind string, is_qualifying boolean, posted_at timestamp, like_count int, view_count int"
 DEAD = "task_id string, event_id string, error_class string, detail string, payload string"
 
@@ -102,6 +104,8 @@ def apply_batch(store: Store, tasks: DataFrame) -> Callable[[DataFrame, int], No
             found = parse.users(following.select("task_id", "tree_id", F.col("account_id").alias("source"), "depth", "event_id", "payload"), ["task_id", "tree_id", "source", "depth", "event_id"])
             listed = found.filter(F.col("account_id") != F.col("source"))
             store.put(listed.select("task_id", "tree_id", "source", "depth", "event_id", "position", F.col("account_id").alias("target"), F.col("followers_count").alias("followers")), "listed", batch)
+            told = found.select("task_id", "event_id", "account_id", "username", F.col("followers_count").cast("int").alias("followers_count"), "can_dm")
+            store.put(told, "profiles", batch)
             posts = parse.own_posts(parse.posts(tweets.select("task_id", "account_id", "event_id", "payload"), ["task_id", "account_id", "event_id"]))
             store.put(posts.select("task_id", "account_id", "event_id", "post_id", "kind", "is_qualifying", "posted_at", "like_count", "view_count"), "posts", batch)
             store.put(dead.unionByName(unroutable), "dead", batch)

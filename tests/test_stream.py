@@ -3,7 +3,7 @@ import json
 import pytest
 
 from fernweave.sources import events
-from fernweave.streaming import ingest
+from fernweave.streaming import ingest, tables
 
 
 def message(i, task="t", op="Following", depth=1, payload=None):
@@ -48,6 +48,26 @@ def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
     assert store.ledger().count() == 2
 
 
+def test_the_first_delivery_counts(spark):
+    rows = [(message("e1", payload={"n": k}), "raw-pages", part, offset) for k, (part, offset) in enumerate([(1, 5), (0, 9), (0, 3), (2, 0)])]
+    batch = spark.createDataFrame(rows, "value string, topic string, partition int, offset long")
+    tasks, none = spark.createDataFrame([("t",)], "task_id string"), spark.createDataFrame([], ingest.LEDGER)
+    fresh, again, _ = ingest.split(batch, tasks, none, "parser")
+    assert [json.loads(r["payload"]) for r in fresh.collect()] == [{"n": 2}] and again.count() == 3
+
+
+def test_tables_of_a_replay_are_equal(spark, tmp_path):
+    put(tmp_path, "a.txt", message("e1"), message("e2", depth=2))
+    store, _ = run(spark, tmp_path)
+    told = lambda: [sorted(map(str, f(store).collect())) for f in (tables.nodes, tables.edges, tables.profiles, tables.open_expansions)]
+    before = told()
+    put(tmp_path, "b.txt", message("e1"), message("e2", depth=2))
+    run(spark, tmp_path)
+    assert told() == before and len(before[0]) == 3 and len(before[1]) == 2
+    other, _ = run(spark, tmp_path, "again")
+    assert sorted(map(str, tables.nodes(other).collect())) == before[0]
+
+
 def test_a_new_group_reads_everything_again(spark, tmp_path):
     put(tmp_path, "a.txt", message("e1"))
     run(spark, tmp_path)

@@ -142,6 +142,22 @@ def test_capacity_by_brute_force(spark, block):
             assert got[t, k] == (t not in room or (n <= room[t][0] and e <= room[t][1]))
 
 
+@pytest.mark.parametrize(
+    "wrong",
+    [{"seeds": {}}, {"seeds": {"a": "1", "b": "1"}}, {"seeds": {"a": ""}}, {"task_id": ""}, {"max_depth": 6}, {"max_depth": -1}, {"max_nodes": 1}, {"budgets": {"Following": 0}}, {"budgets": {}}, {"max_edges": 0}],
+)
+def test_tasks_are_checked(wrong):
+    with pytest.raises(ValueError):
+        tasks.TaskSpec(**({"task_id": "new", "seeds": {"a": "1", "b": "2"}} | wrong))
+
+
+def test_a_new_task(spark):
+    new = tasks.created(spark, tasks.TaskSpec("new", {"a": "1", "b": "2"}, max_depth=0))
+    assert {name: df.count() for name, df in new.items()} == {"crawl_tasks": 1, "task_operation_budgets": 2, "root_trees": 2, "account_nodes": 2, "crawl_frontier": 2}
+    twice = tasks.added(new["root_trees"], new["root_trees"], ["task_id", "tree_id"])
+    assert twice.count() == 2
+
+
 def test_task_moves(spark):
     frame = spark.createDataFrame([("a", "running"), ("b", "completed"), ("c", "paused")], "task_id string, status string")
     moves = spark.createDataFrame([("a", "paused"), ("b", "running")], "task_id string, target string")
