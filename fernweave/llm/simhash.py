@@ -360,12 +360,13 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle)
     prints = cut(prints)
     named = prints.select("doc_id", node_name(["f0"]).alias("fingerprint"))
-    least = named.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    least = cut(named.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     roots = rooted(prints, ["f0"], Limits(tau))
-    placed = least.join(roots.hint("merge"), F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least")
-    of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = cut(placed.join(of_root, "root").select(F.col("fingerprint").alias("of"), "component_id"))
-    return named.join(of_print, F.col("fingerprint") == F.col("of")).select("doc_id", "fingerprint", "component_id")
+    placed = least.join(roots.hint("merge"), F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least", "copies")
+    placed = cut(placed)
+    of_root = cut(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints")))
+    of_print = cut(with_groups(placed, of_root, "root", "prints", placed.count()).select("fingerprint", "component_id", "copies"))
+    return with_groups(named, of_print, "fingerprint", "copies", prints.count()).select("doc_id", "fingerprint", "component_id")
 
 
 #: near_dedup: SHINGLE words a shingle. Near copies are those whose sets of shingles have a Jaccard similarity of

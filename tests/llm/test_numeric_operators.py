@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, components, crf, mixing, shards, simhash
+from fernweave.llm import bpe, common, components, crf, mixing, shards, simhash
 from tests.conftest import SMALL
 
 DOCS = "doc_id long, text string, lang string, source string, size long, tie int"
@@ -310,6 +310,14 @@ def test_components_equal_brute_force(spark, tau):
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got.collect()) == near(rows, tau)
 
 
+def test_components_of_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    rows = varied(random.Random(5), 80)
+    rows += [(1000 + k, rows[3][1]) for k in range(40)]
+    got = simhash.near_components(docs(spark, *[(i, t, "s") for i, t in rows]))
+    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got.collect()) == near(rows, 3)
+
+
 def test_every_allocation_finds_the_same(spark):
     rng = np.random.default_rng(3)
     prints = rng.integers(-(2**62), 2**62, 60)
