@@ -1,9 +1,11 @@
 """Pages from a stream into tables: each event applied once, whatever is delivered again, and nothing lost in silence.
 
-A batch is decoded and split three ways: events to apply, events that were applied before (by the ledger), and dead
-letters. Spark commits a batch after it was written; if it fails in between, the batch comes again with the same number
-and its folder is written over, so every table is a set of batches and none is applied twice. A group that starts with
-a new checkpoint and a ledger of its own reads the stream from its beginning: that is how pages are parsed anew.
+A batch is decoded and split three ways: events to apply, events that were applied before, and dead letters. Which
+events are new is the stream's own state (their keys, in RocksDB, kept in the checkpoint), so a batch looks up as many
+keys as it has, however long the stream has run; the ledger is written for reports. Spark commits a batch after it was
+written; if it fails in between, the batch comes again with the same number and the state of before, and its folder is
+written over, so every table is a set of batches and none is applied twice. A group that starts with a new checkpoint
+and a ledger of its own reads the stream from its beginning: that is how pages are parsed anew.
 """
 
 from __future__ import annotations
@@ -22,6 +24,12 @@ from fernweave.sources import events
 TOPIC, DEAD_TOPIC, PARSER = "raw-pages", "raw-pages-dlq", "parser"
 DETAIL = 2000
 LEDGER = "group_id string, task_id string, event_id string, batch bigint"
+NEW = "__new"
+#: How the keys of events are kept: on the executors' disks, with the changes of each batch in the checkpoint.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def reparse_group(name: str, run: str) -> str:
@@ -31,11 +39,24 @@ def reparse_group(name: str, run: str) -> str:
     return f"{name}-reparse-{run}"
 
 
-def split(messages: DataFrame, tasks: DataFrame, ledger: DataFrame, group: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def with_news(messages: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The stream of messages and, in rows of their own, the keys of events that it delivers for the first time (`__new`).
+
+    Only events that can be applied have keys here: one that comes before its task is there counts when it comes again.
+    The state holds keys alone, no payloads; which delivery of a new key counts is settled within its batch.
+    """
+    rows = events.decoded(messages.select("value")).filter(F.col("problem").isNull())
+    keys = rows.join(tasks.select("task_id"), "task_id", "left_semi").select("task_id", "event_id").dropDuplicates()
+    told = messages.withColumn(NEW, F.lit(None).cast("struct<task_id:string,event_id:string>"))
+    return told.unionByName(keys.select(F.struct("task_id", "event_id").alias(NEW)), allowMissingColumns=True)
+
+
+def split(messages: DataFrame, tasks: DataFrame, ledger: DataFrame, group: str, news: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fresh events, duplicates, dead letters) of a batch.
 
     Dead letters: what can't be read, and events of tasks that aren't there. The first delivery of an event in a batch
-    is the one that counts, by topic, partition and offset where messages have them. Tasks and ledger are joined, not collected; both sides are cut to the batch's tasks.
+    is the one that counts, by topic, partition and offset where messages have them. Fresh are the events whose keys are
+    in news (task_id, event_id); without news, those that the group's ledger doesn't have. All of them are joined, not collected.
     """
     rows = events.decoded(messages)
     known = tasks.select(F.col("task_id").alias("__task")).distinct()
@@ -48,10 +69,11 @@ def split(messages: DataFrame, tasks: DataFrame, ledger: DataFrame, group: str)
     delivered = [c for c in ("topic", "partition", "offset") if c in messages.columns]
     place = F.row_number().over(Window.partitionBy("task_id", "event_id").orderBy(*delivered, "received_at", F.xxhash64("value")))
     good = good.withColumn("__k", place)
-    done = ledger.filter(F.col("group_id") == group).select("task_id", "event_id", F.lit(True).alias("__done"))
-    good = good.join(done, ["task_id", "event_id"], "left")
-    again = F.col("__done").isNotNull() | (F.col("__k") > 1)
-    return good.filter(~again).drop("__k", "__done"), good.filter(again).drop("__k", "__done"), dead
+    known = ledger.filter(F.col("group_id") == group) if news is None else news
+    good = good.join(known.select("task_id", "event_id", F.lit(True).alias("__known")), ["task_id", "event_id"], "left")
+    first = F.col("__known").isNull() if news is None else F.col("__known").isNotNull()
+    again = ~first | (F.col("__k") > 1)
+    return good.filter(~again).drop("__k", "__known"), good.filter(again).drop("__k", "__known"), dead
 
 
 def routed(fresh: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,12 +116,16 @@ DEAD = "task_id string, event_id string, error_class string, detail string, payl
 
 
 def apply_batch(store: Store, tasks: DataFrame) -> Callable[[DataFrame, int], None]:
-    """The function for foreachBatch. The ledger is written last: until then the batch has not happened."""
+    """The function for foreachBatch, of messages with_news; of plain messages it asks the ledger, which it reads whole."""
 
-    def run(messages: DataFrame, batch: int) -> None:
-        messages = messages.persist()
+    def run(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
         try:
-            fresh, _, dead = split(messages, tasks, store.ledger(batch), store.group)
+            if NEW in rows.columns:
+                news = rows.filter(F.col(NEW).isNotNull()).select(f"{NEW}.*")
+                fresh, _, dead = split(rows.filter(F.col(NEW).isNull()).drop(NEW), tasks, news, store.group, news)
+            else:
+                fresh, _, dead = split(rows, tasks, store.ledger(batch), store.group)
             following, tweets, unroutable = routed(fresh)
             found = parse.users(following.select("task_id", "tree_id", F.col("account_id").alias("source"), "depth", "event_id", "payload"), ["task_id", "tree_id", "source", "depth", "event_id"])
             listed = found.filter(F.col("account_id") != F.col("source"))
@@ -111,15 +137,23 @@ def apply_batch(store: Store, tasks: DataFrame) -> Callable[[DataFrame, int], No
             store.put(dead.unionByName(unroutable), "dead", batch)
             store.put(fresh.select(F.lit(store.group).alias("group_id"), "task_id", "event_id"), "ledger", batch)
         finally:
-            messages.unpersist()
+            rows.unpersist()
 
     return run
 
 
 def start(messages: DataFrame, store: Store, tasks: DataFrame, once: bool = True) -> StreamingQuery:
     """The stream of messages (value) into a store; the checkpoint lies beside the store's tables, so both move together."""
-    writer = messages.writeStream.foreachBatch(apply_batch(store, tasks)).option("checkpointLocation", f"{store.path}/checkpoint")
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    writer = with_news(messages, tasks).writeStream.foreachBatch(apply_batch(store, tasks)).option("checkpointLocation", f"{store.path}/checkpoint")
+    conf = store.spark.conf
+    before = {name: conf.get(name, None) for name in STATE}
+    try:
+        for name, value in STATE.items():
+            conf.set(name, value)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def stream_stats(store: Store, tasks: DataFrame) -> DataFrame:
@@ -130,4 +164,4 @@ def stream_stats(store: Store, tasks: DataFrame) -> DataFrame:
     return rows.select("task_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("pages_processed", "dlq_events")])
 
 
-__all__ = ["Store", "apply_batch", "reparse_group", "routed", "split", "start", "stream_stats", "walked"]
+__all__ = ["Store", "apply_batch", "reparse_group", "routed", "split", "start", "stream_stats", "walked", "with_news"]

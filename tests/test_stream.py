@@ -48,6 +48,46 @@ def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
     assert store.ledger().count() == 2
 
 
+def test_a_batch_that_fails_before_its_ledger_is_written_comes_again(spark, tmp_path, monkeypatch):
+    put(tmp_path, "a.txt", message("e1"), message("e1"), message("e2"))
+    whole, failed = ingest.Store.put, []
+
+    def once(self, df, table, batch):
+        if table == "ledger" and not failed:
+            failed.append(batch)
+            raise OSError("no room")
+        whole(self, df, table, batch)
+
+    monkeypatch.setattr(ingest.Store, "put", once)
+    with pytest.raises(Exception, match="no room"):
+        run(spark, tmp_path)
+    store, _ = run(spark, tmp_path)
+    assert store.get("listed", ingest.EDGE_ROWS).count() == 4 and store.ledger().count() == 2
+    put(tmp_path, "b.txt", message("e2"), message("e3"))
+    run(spark, tmp_path)
+    assert sorted(r["event_id"] for r in store.ledger().collect()) == ["e1", "e2", "e3"]
+
+
+def test_the_stream_asks_its_state_and_not_the_ledger(spark, tmp_path, monkeypatch):
+    put(tmp_path, "a.txt", message("e1"))
+    run(spark, tmp_path)
+    monkeypatch.setattr(ingest.Store, "ledger", lambda self, before=None: pytest.fail("the ledger is read"))
+    put(tmp_path, "b.txt", message("e1"), message("e2"))
+    store, _ = run(spark, tmp_path)
+    assert store.get("listed", ingest.EDGE_ROWS).count() == 4
+
+
+def test_an_event_counts_once_its_task_is_there(spark, tmp_path):
+    put(tmp_path, "a.txt", message("e1", task="late"))
+    run(spark, tmp_path)
+    put(tmp_path, "b.txt", message("e1", task="late"))
+    store = ingest.Store(spark, str(tmp_path))
+    tasks = spark.createDataFrame([("t",), ("late",)], "task_id string")
+    ingest.start(events.from_files(spark, f"{tmp_path}/in", 1).select("value"), store, tasks).awaitTermination()
+    assert [r["event_id"] for r in store.ledger().collect()] == ["e1"]
+    assert store.get("dead", ingest.DEAD).count() == 1
+
+
 def test_the_first_delivery_counts(spark):
     rows = [(message("e1", payload={"n": k}), "raw-pages", part, offset) for k, (part, offset) in enumerate([(1, 5), (0, 9), (0, 3), (2, 0)])]
     batch = spark.createDataFrame(rows, "value string, topic string, partition int, offset long")
