@@ -24,6 +24,16 @@ QUALIFYING = ("original", "quote")
 # Entries of a timeline that aren't content, by how their ids begin.
 NOT_CONTENT = ("cursor-", "messageprompt-", "module-", "who-to-follow-")
 RATE_LIMIT_FALLBACK_S = 900
+# The names under which failures of a chain are counted, by what was raised.
+ERROR_CLASSES = {
+    "AccountUnavailableError": "account_unavailable",
+    "AuthenticationError": "authentication",
+    "BlockedError": "blocked",
+    "FeaturesOutdatedError": "features_outdated",
+    "PlatformOverloadedError": "platform_overloaded",
+    "RateLimitedError": "rate_limited",
+    "TransportError": "transport",
+}
 
 
 def post_kind(retweeted_id: Column, reply_to_id: Column, quoted_id: Column, is_quote: Column) -> Column:
@@ -89,6 +99,12 @@ def held_back_until(response: Column, headers: Column, received_at: Column) -> C
     return F.when(response == "rate_limited", until)
 
 
+def error_class(raised: Column) -> Column:
+    """The name under which a failure is counted; one that has no name of its own counts by what was raised."""
+    named = F.map_from_arrays(F.array(*map(F.lit, ERROR_CLASSES)), F.array(*map(F.lit, ERROR_CLASSES.values())))
+    return F.coalesce(F.element_at(named, raised), raised)
+
+
 def content_entries(entries: Column) -> Column:
     """Timeline entries (structs with entryId) without cursors, prompts, modules and suggestions."""
     return F.filter(entries, lambda e: ~e["entryId"].rlike("^(" + "|".join(NOT_CONTENT) + ")"))

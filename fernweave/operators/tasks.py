@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernweave.common import cut
 from fernweave.functions.rules import may_move
 from fernweave.operators.layers import FOLLOWING
 
@@ -161,6 +162,41 @@ def after_publishing(outbox: DataFrame, outcomes: DataFrame, as_of: str, backoff
     return rows.withColumns(new).select(*outbox.columns)
 
 
+def recorded(frames: dict[str, DataFrame], pages: DataFrame) -> dict[str, DataFrame]:
+    """raw_page_outbox, crawl_tasks, crawl_frontier and request_attempts after pages came in, and the pages `refused`.
+
+    pages: columns of the outbox, and frontier_id, next_cursor, owner, attempt_id, status_code, received_at. A page that
+    the outbox has changes nothing. One whose cursor can't be kept, since its item is gone or another owner's, is
+    refused. All tables follow from one set of pages, written once: none tells of a page that another doesn't have. An
+    item's cursor is that of its last page; of two deliveries of a page the first counts, by received_at.
+    """
+    key = ["task_id", "event_id"]
+    outbox, frontier, attempts = frames["raw_page_outbox"], frames["crawl_frontier"], frames["request_attempts"]
+    owners = frontier.select("frontier_id", F.col("owner_id").alias("__owner"), F.lit(True).alias("__there"))
+    rows = pages.join(outbox.select(*key), key, "left_anti").join(owners, "frontier_id", "left")
+    lost = F.col("__there").isNull() | ~F.coalesce(F.col("owner").isNull() | (F.col("owner") == F.col("__owner")), F.lit(False))
+    rows = rows.withColumn("__refused", F.col("frontier_id").isNotNull() & F.col("next_cursor").isNotNull() & lost)
+    rest = [c for c in pages.columns if c not in key]
+    first = F.min_by(F.struct(*rest, "__refused"), F.struct("__refused", "received_at", F.xxhash64(*rest))).alias("__page")
+    news = cut(rows.groupBy(*key).agg(first).select(*key, "__page.*"))
+    kept = news.filter(~F.col("__refused"))
+    produced = kept.groupBy("task_id").agg(F.count(F.lit(1)).alias("__n"))
+    last = F.max_by("next_cursor", F.struct("received_at", "event_id")).alias("__cursor")
+    cursors = kept.filter("frontier_id IS NOT NULL AND next_cursor IS NOT NULL").groupBy("frontier_id").agg(last)
+    done = kept.filter("attempt_id IS NOT NULL").groupBy("attempt_id").agg(F.max("status_code").alias("__status"), F.max("received_at").alias("__at"))
+    ended = (F.col("outcome") == "started") & F.col("__at").isNotNull()
+    old = lambda name: F.col(name) if name in attempts.columns else F.lit(None)
+    new = {"status_code": F.when(ended, F.col("__status")).otherwise(old("status_code")), "finished_at": F.when(ended, F.col("__at")).otherwise(old("finished_at"))}
+    new["outcome"] = F.when(ended, "succeeded").otherwise(F.col("outcome"))
+    return {
+        "raw_page_outbox": outbox.unionByName(kept.select(*[c for c in outbox.columns if c in kept.columns]), allowMissingColumns=True),
+        "crawl_tasks": frames["crawl_tasks"].join(produced, "task_id", "left").withColumn("pages_produced", F.col("pages_produced") + F.coalesce("__n", F.lit(0))).drop("__n"),
+        "crawl_frontier": frontier.join(cursors, "frontier_id", "left").withColumn("cursor_in", F.coalesce("__cursor", "cursor_in")).select(*frontier.columns),
+        "request_attempts": attempts.join(done, "attempt_id", "left").withColumns(new).drop("__status", "__at"),
+        "refused": news.filter("__refused").select(*pages.columns),
+    }
+
+
 @dataclass(frozen=True)
 class TaskSpec:
     """A new task: its seeds (tree -> account), limits, and requests that each operation may make."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,44 @@ def task_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.progress(frames(spark, sf_dir, "crawl_frontier", "account_nodes"), TASK, AS_OF)
 
 
+@query(
+    "SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'account_unavailable' WHEN 1 THEN 'authentication' WHEN 2 THEN 'blocked' WHEN 3 THEN 'features_outdated' WHEN 4 THEN 'platform_overloaded' WHEN 5 THEN 'rate_limited' WHEN 6 THEN 'transport' WHEN 7 THEN 'KeyError' END AS error_class FROM {orders}"
+)
+def error_class_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raised = F.get(F.array(*map(F.lit, [*rules.ERROR_CLASSES, "KeyError"])), (F.col("o_orderkey") % 9).cast("int"))
+    return frame(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), rules.error_class(raised).alias("error_class"))
+
+
+_CAME = (
+    "SELECT frontier_id AS k, task_id, frontier_id % 4 <> 0 AS fresh, CASE WHEN frontier_id % 3 > 0 THEN concat('c', CAST(frontier_id AS STRING)) END AS next_cursor, "
+    "frontier_id % 3 > 0 AND (frontier_id % 5 = 0 OR (frontier_id % 5 = 1 AND owner_id IS NULL)) AS refused FROM {crawl_frontier}"
+)
+_KEPT = "SELECT * FROM {came} WHERE fresh AND NOT refused"
+
+
+@query(
+    "SELECT 'page' AS part, event_id AS name, operation AS told FROM {raw_page_outbox} UNION ALL SELECT 'page', concat('p', CAST(k AS STRING)), 'Following' FROM {kept} UNION ALL SELECT 'refused', concat('p', CAST(k AS STRING)), 'Following' FROM {came} WHERE fresh AND refused "
+    "UNION ALL SELECT 'task', t.task_id, CAST(pages_produced + (SELECT count(*) FROM {kept} q WHERE q.task_id = t.task_id) AS STRING) FROM {crawl_tasks} t UNION ALL SELECT 'item', CAST(frontier_id AS STRING), coalesce(q.next_cursor, cursor_in) FROM {crawl_frontier} f LEFT JOIN {kept} q ON q.k = f.frontier_id "
+    "UNION ALL SELECT 'attempt', attempt_id, CASE WHEN outcome = 'started' AND q.k IS NOT NULL THEN 'succeeded 200' ELSE outcome END FROM {request_attempts} a LEFT JOIN {kept} q ON a.attempt_id = concat('a', CAST(q.k AS STRING), '-1')",
+    came=_CAME,
+    kept=_KEPT,
+)
+def pages_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of all work, each delivered twice and a quarter of them known: the outbox and what depends on it."""
+    found = frames(spark, sf_dir, "raw_page_outbox", "crawl_tasks", "crawl_frontier", "request_attempts")
+    k = F.col("frontier_id")
+    name = k.cast("string")
+    pages = found["crawl_frontier"].select(
+        "task_id", F.concat(F.when(k % 4 == 0, "e").otherwise("p"), name).alias("event_id"), F.lit("Following").alias("operation"), "frontier_id", F.when(k % 3 > 0, F.concat(F.lit("c"), name)).alias("next_cursor"),
+        F.when(k % 5 == 0, "other").when(k % 5 == 1, "w").alias("owner"), F.concat(F.lit("a"), name, F.lit("-1")).alias("attempt_id"), F.lit(200).alias("status_code"), F.lit(AS_OF).cast("timestamp").alias("received_at"),
+    )
+    after = tasks.recorded(found, pages.unionByName(pages))
+    told = [("page", "raw_page_outbox", "event_id", F.col("operation")), ("refused", "refused", "event_id", F.col("operation")), ("task", "crawl_tasks", "task_id", F.col("pages_produced").cast("string"))]
+    told += [("item", "crawl_frontier", "frontier_id", F.col("cursor_in")), ("attempt", "request_attempts", "attempt_id", F.concat_ws(" ", "outcome", F.col("status_code").cast("string")))]
+    parts = [after[table].select(F.lit(part).alias("part"), F.col(key).cast("string").alias("name"), value.alias("told")) for part, table, key, value in told]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> ingest.Store:
     """The stream of customers' pages, delivered twice, in a store that was started twice."""
     path = _folder(spark, "stream")

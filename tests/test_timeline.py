@@ -121,6 +121,29 @@ def test_spent_items_fail(spark):
     assert {r["id"]: r["status"] for r in tasks.exhausted(frame).collect()} == {"a": "failed", "b": "retryable", "c": "complete", "d": "failed"}
 
 
+def test_pages_are_recorded_with_what_depends_on_them(spark):
+    frames = {
+        "raw_page_outbox": spark.createDataFrame([(T, "e0", "old")], "task_id string, event_id string, payload string"),
+        "crawl_tasks": spark.createDataFrame([(T, 5)], "task_id string, pages_produced int"),
+        "crawl_frontier": spark.createDataFrame([(1, "w", "c0"), (2, None, None)], "frontier_id long, owner_id string, cursor_in string"),
+        "request_attempts": spark.createDataFrame([("a1", "started"), ("a2", "failed"), ("a3", "started")], "attempt_id string, outcome string"),
+    }
+    columns = "task_id string, event_id string, payload string, frontier_id long, next_cursor string, owner string, attempt_id string, status_code int, received_at timestamp"
+    at = [datetime(2026, 1, 1, 0, m) for m in range(5)]
+    rows = [(T, "e0", "again", 1, "c9", "other", "a3", 200, at[4])]
+    rows += [(T, "e1", "second", 1, "c8", "w", "a1", 200, at[2]), (T, "e1", "first", 1, "c1", "w", "a1", 200, at[0]), (T, "e2", "p", 1, "c2", "w", "a2", 200, at[1])]
+    rows += [(T, "e3", "p", 2, "c3", "w", "a3", 200, at[3]), (T, "e4", "p", 2, None, "w", None, 200, at[3]), (T, "e5", "p", 7, "c5", None, None, 200, at[3]), (T, "e6", "p", None, None, None, None, None, None)]
+    after = tasks.recorded(frames, spark.createDataFrame(rows, columns))
+    told = lambda table, *names: {tuple(r) for r in after[table].select(*names).collect()}
+    assert told("raw_page_outbox", "event_id", "payload") == {("e0", "old"), ("e1", "first"), ("e2", "p"), ("e4", "p"), ("e6", "p")}
+    assert told("refused", "event_id") == {("e3",), ("e5",)}
+    assert told("crawl_tasks", "pages_produced") == {(9,)}
+    assert told("crawl_frontier", "frontier_id", "cursor_in") == {(1, "c2"), (2, None)}
+    assert told("request_attempts", "attempt_id", "outcome", "status_code") == {("a1", "succeeded", 200), ("a2", "failed", None), ("a3", "started", None)}
+    unchanged = tasks.recorded({**frames, "raw_page_outbox": after["raw_page_outbox"]}, spark.createDataFrame(rows, columns))
+    assert unchanged["crawl_tasks"].head()["pages_produced"] == 5 and unchanged["refused"].count() == 2
+
+
 def test_declared_numbers(spark):
     nodes = spark.createDataFrame([(T, i, n) for i, n in (("a", 1), ("b", 2), ("c", 3), ("d", None))], "task_id string, account_id string, declared_following int")
     told = spark.createDataFrame([(T, "a", 10), (T, "b", None), (T, "d", None)], "task_id string, account_id string, declared int")
