@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +30,32 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def any_columns(*roles: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """An operator whose table may have further columns of any name, also such as it uses itself or as hold dots.
+
+    It sees the columns that its parameters `roles` name (or that are roles, where it has no such parameter); the others
+    are given names that no operator uses, and their own again in its result, unless one of its output columns has that name.
+    """
+
+    def around(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(operator)
+
+        @wraps(operator)
+        def run(docs: DataFrame, *args: object, **named: object) -> DataFrame:
+            bound = signature.bind(docs, *args, **named)
+            bound.apply_defaults()
+            own = {bound.arguments.get(role, role) for role in roles}
+            further = {name if name in own else f"further column {i}": name for i, name in enumerate(docs.columns)}
+            out = operator(docs.toDF(*further), *args, **named)
+            new = {name for name in out.columns if name not in further}
+            told = [name for name in out.columns if name in new or further[name] not in new]
+            return out.select(*[F.col(f"`{name}`") for name in told]).toDF(*[further.get(name, name) for name in told])
+
+        return run
+
+    return around
+
+
 def text_or_empty(text: Column) -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(text, F.lit(""))

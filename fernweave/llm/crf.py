@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fernweave.llm.common import cut, slices
+from fernweave.llm.common import any_columns, cut, slices
 
 UNKNOWN = "und"
 #: Bounds of the training sample: texts of a language, windows of a text, words of a window; and languages at most.
@@ -319,6 +319,7 @@ def learned(docs: DataFrame, learn: Column, text: str = "text", label: str = "la
     return trained([(row["label"], row["words"]) for row in windows])
 
 
+@any_columns("text")
 def identified(docs: DataFrame, model: Model, text: str = "text", spans: bool = False) -> DataFrame:
     """docs with lang_pred and score (mean probability of that language), and without the text.
 

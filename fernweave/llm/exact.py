@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import MOST_BITS, cut, filter_of, fold_ascii, matching, passing, text_or_empty, with_groups
+from fernweave.llm.common import MOST_BITS, any_columns, cut, filter_of, fold_ascii, matching, passing, text_or_empty, with_groups
 
 #: Code points of the prefix that is hashed in the second step.
 PREFIX = 64
@@ -55,6 +55,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()))
 
 
+@any_columns("doc_id", "text")
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS, most_keys: int | None = None) -> DataFrame:
     """The rows of docs that stay, one of each group of equal texts, with the columns of docs.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import cut, text_or_empty, words_of
+from fernweave.llm.common import any_columns, cut, text_or_empty, words_of
 
 #: Most copies of a document, and so the most a target may exceed its source's size.
 MOST = 3
@@ -176,6 +176,7 @@ def _decided(told: DataFrame) -> DataFrame:
     return told.withColumns({"__copies": (of["sure"] + drawn.cast("long")), "__shared": F.coalesce(shared, F.lit(False))})
 
 
+@any_columns("doc_id", "text", "source")
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, copies, and taken = copies * size."""
     rows = cut(_keyed(docs, doc_id, text, source, seed).select(F.col(doc_id).alias("doc_id"), "__k"))  # no texts
@@ -192,6 +193,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     return found.withColumn("taken", F.col("copies") * F.col("size"))
 
 
+@any_columns("doc_id", "text", "source")
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 1) -> DataFrame:
     """docs as the mix has them: each row as often as it is taken, none of those that are not; the columns of docs.
 

@@ -20,7 +20,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import let, text_or_empty, words_of
+from fernweave.llm.common import any_columns, let, text_or_empty, words_of
 
 #: Rows, in the mean, of the sample on which costs and selectivities are estimated; how often its rows are repeated for
 #: timing; and the seed by which it is drawn from every partition alike.
@@ -219,6 +219,7 @@ def quality_filter(docs: DataFrame, rules: list[Rule] | None = None, text: str =
     return docs.filter(first_rejection(Facts(text_or_empty(F.col(text))), ordered).isNull())
 
 
+@any_columns("text")
 def judged(docs: DataFrame) -> DataFrame:
     """docs with the five measures, base_failed, and kept: false if base_failed, else the verdict of the cascade.
 

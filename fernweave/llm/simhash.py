@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fernweave.llm.bpe import ranges
-from fernweave.llm.common import MOST_KEYS, cut, filter_of, matching, passing, slices, with_groups
+from fernweave.llm.common import MOST_KEYS, any_columns, cut, filter_of, matching, passing, slices, with_groups
 from fernweave.llm.components import components
 
 SEED = 42
@@ -579,6 +579,7 @@ def prefix_links(nodes: DataFrame, limits: Limits, block: int = BLOCK) -> DataFr
     return together.sortWithinPartitions("key", "pair").mapInArrow(run, "u long, v long")
 
 
+@any_columns("doc_id", "text")
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, groups: int = GROUPS, differ: int = DIFFER, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay, with the columns of docs: of each component of near copies the row with the least id.
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import LOWER, MOST_KEYS, UPPER, cut, with_groups
+from fernweave.llm.common import LOWER, MOST_KEYS, UPPER, any_columns, cut, with_groups
 
 ALLOW, BLOCK = "allow", "block"
 #: Longest context of the models in characters.
@@ -152,6 +152,7 @@ def threshold(scored: DataFrame) -> DataFrame:
     return sums.agg(F.coalesce(F.max_by(F.when(F.least("na", "nb") > 0, between).otherwise(0), F.struct(gain, -F.col("bin"))), F.lit(0)).cast("long").alias("t"))
 
 
+@any_columns("url")
 def judged(pages: DataFrame, rules: list[UrlRule] | None = None, url: str = "url") -> DataFrame:
     """pages with host, path, rule, score (null where a rule decides) and verdict."""
     rules = RULES if rules is None else rules

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from fernweave.llm import chat, common, exact, quality, tokens, urls
+from fernweave.llm import chat, common, crf, exact, mixing, quality, simhash, tokens, urls
 from fernweave.llm import urls as urls_module
 
 SPACE = "[\x20\x09-\x0d]+"
@@ -112,6 +112,30 @@ def test_exact_dedup_of_clashing_columns_and_string_ids(spark, most_keys):
     assert kept.columns == frame.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(["b", None, "d"])
 
 
+NASTY = ["__row", "__key", "__full", "__of", "__again", "__too", "__maybe", "__block", "__words", "__lines", "__k", "__id", "__t", "__text", "__n", "__ruled", "__url", "node", "root", "size", "n", "a.b", "a b", "kept", "score", "verdict", "lang_pred"]
+
+
+def test_further_columns_of_any_name(spark):
+    """Operators give what they give without the further columns, and the further columns as they were."""
+    words = " ".join(f"w{i % 61}x{i}" for i in range(200))
+    rows = [(1, words, "s", "a"), (2, words.upper(), "s", "a"), (3, words + " end", "t", "b"), (4, "", "t", "b"), (5, None, None, None), (6, "one two", "s", "http://x.com/a"), (6, "one two", "s", "http://x.com/a")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string, url string")
+    odd = plain.select("*", *[F.lit(k).alias(name) for k, name in enumerate(NASTY)])
+    model = crf.trained([("en", ["the", "and"]), ("de", ["der", "und"])])
+    passing = {"exact": exact.exact_dedup, "near": simhash.near_dedup, "mix": mixing.mix, "quality": quality.quality_filter}
+    told = {"mixed": mixing.mixed, "judged": quality.judged, "urls": urls.judged, "language": lambda df: crf.identified(df, model)}
+    for name, operator in (passing | told).items():
+        want, got = operator(plain), operator(odd)
+        assert name not in passing or got.columns == odd.columns, name
+        assert len(set(got.columns)) == len(got.columns) and set(want.columns) <= set(got.columns), name
+        pick = lambda df: sorted(tuple(map(str, (r[c] for c in want.columns))) for r in df.collect())  # noqa: B023, E731
+        assert pick(want) == pick(got), name
+        if name != "mixed":
+            rest = [c for c in NASTY if c not in want.columns]
+            at = [got.columns.index(c) for c in rest]
+            assert {tuple(r[i] for i in at) for r in got.collect()} <= {tuple(NASTY.index(c) for c in rest)}, name
+
+
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
 def test_matching_by_a_filter_is_the_same_join(spark, how):
     rows = spark.createDataFrame([(k % 50, f"t{k}") for k in range(200)], "k int, text string")
