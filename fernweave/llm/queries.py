@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, chat, crf, exact, mixing, quality, shards, simhash, tokens, urls
+from fernweave.llm import bpe, chat, codes, crf, exact, mixing, negatives, quality, shards, simhash, tokens, urls
 from fernweave.llm.common import documents
 
 
@@ -55,7 +55,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.running(chat.formatted(rows.unionByName(chat.probe(spark)))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_language_id, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding, op8_simhash, op9_token_counts, op10_chat)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told, books = codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return told.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return negatives.hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_language_id, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding, op8_simhash, op9_token_counts, op10_chat, op11_vector_codes, op12_hard_negatives)}
 _SPACE = r"[\x20\x09-\x0D]"
 
 SQL: dict[str, str] = {
