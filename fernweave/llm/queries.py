@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, chat, codes, crf, exact, mixing, negatives, quality, shards, simhash, tokens, urls
+from fernweave.llm import bpe, chat, codes, crf, exact, mixing, negatives, quality, shards, simhash, tokens, toxicity, urls
 from fernweave.llm.common import documents
 
 
@@ -65,7 +65,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_language_id, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding, op8_simhash, op9_token_counts, op10_chat, op11_vector_codes, op12_hard_negatives)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = toxicity.learned(docs, labels, ~held_out)
+    return toxicity.judged(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_language_id, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding, op8_simhash, op9_token_counts, op10_chat, op11_vector_codes, op12_hard_negatives, op13_toxicity)}
 _SPACE = r"[\x20\x09-\x0D]"
 
 SQL: dict[str, str] = {
