@@ -75,6 +75,28 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_language_id, op4_url_filters, op5_exact_dedup, op6_mixing, op7_sharding, op8_simhash, op9_token_counts, op10_chat, op11_vector_codes, op12_hard_negatives, op13_toxicity)}
 _SPACE = r"[\x20\x09-\x0D]"
 
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds of assignment and floored means, each a table of its own; all pairs of parts and entries, which small tables bear."""
+    assigned = """
+        d{k} AS MATERIALIZED (SELECT v.row_id, v.part, b.entry, sum((v.c - b.c) * (v.c - b.c)) AS d FROM v JOIN b{k} b ON b.part = v.part AND b.pos = v.pos GROUP BY ALL),
+        a{k} AS MATERIALIZED (SELECT row_id, part, min(entry) AS entry, any_value(d) AS d FROM (SELECT *, min(d) OVER (PARTITION BY row_id, part) AS least FROM d{k}) x WHERE d = least GROUP BY row_id, part)"""
+    refined = """
+        m{k} AS (SELECT v.part, a.entry, v.pos, sum(v.c) AS s, count(*) AS n FROM v JOIN a{k} a ON a.row_id = v.row_id AND a.part = v.part GROUP BY ALL),
+        b{next} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)"""
+    steps = [part.format(k=k, next=k + 1) for k in range(rounds) for part in (assigned, refined)] + [assigned.format(k=rounds)]
+    return f"""
+        WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS row_id, vec_id, label, embedding FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cells AS (SELECT row_id, generate_subscripts(embedding, 1) - 1 AS i, len(embedding) // 4 AS width, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS c FROM kept),
+        v AS MATERIALIZED (SELECT row_id, i // width AS part, i % width AS pos, c FROM cells),
+        b0 AS (SELECT part, row_id - 1 AS entry, pos, c FROM v WHERE row_id <= 256),{",".join(steps)},
+        told AS (SELECT row_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row_id)
+        SELECT k.vec_id, t.code, t.error, CAST(sum(t.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+        FROM kept k JOIN told t ON t.row_id = k.row_id"""
+
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -106,4 +128,15 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
                count(*) FILTER (NOT ((before IN ('', 'system') AND role = 'user') OR (before = '' AND role = 'system') OR (before IN ('user', 'tool') AND role = 'assistant') OR (before = 'assistant' AND role IN ('user', 'tool')))) AS n_faults
         FROM s GROUP BY conv_id""",
+    "op11_vector_codes": _codes_sql(),
+    "op12_hard_negatives": """
+        WITH kept AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+                      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c FROM kept),
+        s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_dot_product(a.c, r.c) AS BIGINT) AS score FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+        p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same) x WHERE place <= 5),
+        n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+              WHERE 100 * s.score BETWEEN 30 * p.score AND 90 * p.score)
+        SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS place FROM n) x WHERE place <= 10""",
 }

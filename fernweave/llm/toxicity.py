@@ -47,9 +47,9 @@ from fernweave.llm.common import MOST_KEYS, any_columns, cut, rewritten, slices
 
 #: Labelled rows whose features the regression is fitted on; terms, and misspellings that are words, at most.
 SAMPLE, MOST_TERMS, MOST_EXCEPTIONS = 20_000, 1_000, 50_000
-#: What a term needs: toxic texts that hold it, times as frequent there, likelihood ratio (twice the log), letters, and the
-#: share of its toxic texts that differ in its neighbours.
-TOXIC_TEXTS, LIFT, RATIO, LETTERS, DIVERSE = 3, 4.0, 30.0, 4, 0.3
+#: What a term needs: toxic texts that hold it, times as frequent there, letters, and the share of its toxic texts that
+#: differ in its neighbours; what its likelihood ratio (twice the log) needs above that of the best of as many chance terms.
+TOXIC_TEXTS, LIFT, LETTERS, DIVERSE, RATIO = 3, 4.0, 4, 0.3, 2.0
 #: Longest stem; letters from which one edit, and two, are allowed.
 STEM, SHORT, LONG = 8, 5, 10
 #: Words to each side that are a hit's context; of the densest window; characters of a quotation at most.
@@ -336,7 +336,9 @@ def diverse(texts: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
 def chosen_terms(texts: DataFrame, words: DataFrame, toxic: int, other: int) -> list[tuple[str, bool, float]]:
     """(letters, stem, weight) of the terms, by how well they tell toxic texts."""
     t, c = F.col("t").cast("double"), F.col("c").cast("double")
-    fits = words.filter((t >= TOXIC_TEXTS) & (t * other >= LIFT * (c + 0.5) * toxic)).withColumn("ratio", _ratio(t, c, toxic, other)).filter(F.col("ratio") >= RATIO)
+    tried = words.filter(t >= TOXIC_TEXTS)
+    least = RATIO + 2 * math.log(max(tried.count(), 1))
+    fits = tried.filter((t * other >= LIFT * (c + 0.5) * toxic)).withColumn("ratio", _ratio(t, c, toxic, other)).filter(F.col("ratio") >= least)
     order = [F.col("ratio").desc(), "stem", F.length("term").desc(), "term"]
     best = fits.orderBy(*order).limit(4 * MOST_TERMS).collect()
     if not best:
@@ -347,7 +349,7 @@ def chosen_terms(texts: DataFrame, words: DataFrame, toxic: int, other: int) ->
     terms: list[tuple[str, bool, float]] = []
     stems: set[str] = set()
     beginnings: set[str] = set()
-    for row in again.filter(F.col("ratio") >= RATIO).orderBy(*order).collect():
+    for row in again.filter(F.col("ratio") >= least).orderBy(*order).collect():
         term = row["term"]
         covered = any(term[:n] in stems for n in range(LETTERS, len(term) + 1)) or (row["stem"] and term in beginnings)
         if not covered and len(terms) < MOST_TERMS:
