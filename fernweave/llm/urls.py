@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import LOWER, MOST_KEYS, UPPER, any_columns, cut, with_groups
+from fernweave.llm.common import LOWER, MOST_KEYS, UPPER, any_columns, cut, let, with_groups
 
 ALLOW, BLOCK = "allow", "block"
 #: Longest context of the models in characters.
@@ -81,8 +81,9 @@ def whole(url: Column) -> Column:
 
 def grams(url: Column) -> Column:
     """For each character of url and its end: the three before it and itself, as one string."""
-    held = F.concat(F.lit(START * ORDER), whole(url), F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.char_length(held) - ORDER), lambda i: F.substring(held, i, F.lit(ORDER + 1)))
+    # the string is made and cut once: taking a substring for each character would cost the square of the length
+    characters = F.regexp_extract_all(F.concat(F.lit(START * ORDER), whole(url), F.lit(END)), F.lit("(?s)."), F.lit(0))
+    return let(characters, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - ORDER - 1), lambda i: F.concat(*[F.get(c, i + k) for k in range(ORDER + 1)])))
 
 
 def model(counts: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -194,11 +194,13 @@ def test_url_scores_by_brute_force(spark, monkeypatch, most_keys):
     given = {f"x://{word()}.ex.com/{word()}?q={word()}" for _ in range(60)} | {f"x://{word()}.net/es/{word()}#{word()}" for _ in range(60)} | {f"x://{word()}.org/{word()}?A={word()}" for _ in range(40)}
     rows = [(k, u) for k, u in enumerate(sorted(given))]
     rows += [(k + 1000, u) for k, u in rows[::4]]
+    rows += [(5000, "data://" + "ab=é😀%" * 20_000), (5001, "x://q.org/" + "_7" * 50_000)]  # whole, and in time in proportion to their length
     got = urls.judged(spark.createDataFrame(rows, "page_id int, url string")).collect()
     trains = lambda r: r["rule"] and crc32(r["url"].encode()) % urls.HOLD_OUT
     by = {v: [r["url"] for r in got if trains(r) and r["verdict"] == v] for v in (urls.ALLOW, urls.BLOCK)}
     free = {r["url"]: r["score"] for r in got if not r["rule"]}
     exact = ratio_of(sorted(free), by[urls.ALLOW], by[urls.BLOCK])
+    assert max(map(len, free)) > 100_000
     assert len(free) > 30 and all(abs(free[u] - exact[u]) <= 1 for u in free)
 
 
