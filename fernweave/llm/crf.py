@@ -6,7 +6,7 @@ of a feature and a label make the word's emission score, and a learned matrix sc
 the next one's. Labels are languages. Forward-backward gives each word's probabilities in its context, so a text may
 switch languages inside; the text's language is the one of greatest mean probability.
 
-Learning. A bounded sample of labelled texts (PER_LANGUAGE for each language, distinct texts, chosen by a hash of the
+Learning. A bounded sample of labelled texts (PER_LANGUAGE for each language, TEXTS in all, distinct texts, chosen by a hash of the
 text over all rows) gives windows of words; half of what is trained on is spliced from windows of two languages, from
 which steps between languages are learned. The log-likelihood is climbed by AdaGrad, gradients by forward-backward.
 Weights are hashed into 2^HASH_BITS rows, so the model is bounded and may be sent to all executors.
@@ -41,8 +41,9 @@ from pyspark.sql import types as T
 from fernweave.llm.common import any_columns, cut, slices
 
 UNKNOWN = "und"
-#: Bounds of the training sample: texts of a language, windows of a text, words of a window; and languages at most.
-PER_LANGUAGE, WINDOWS, WINDOW, MOST_LANGUAGES = 200, 3, 32, 200
+#: Bounds of the training sample: texts of a language, texts in all (with many languages each gets fewer), windows of a
+#: text, words of a window; and languages at most.
+PER_LANGUAGE, TEXTS, WINDOWS, WINDOW, MOST_LANGUAGES = 200, 1000, 3, 32, 200
 #: Parts in which a language's texts are looked through for the sample.
 SPREAD = 16
 #: Words of a language's lexicon at most.
@@ -51,6 +52,8 @@ HASH_BITS = 16
 MASK = (1 << HASH_BITS) - 1
 #: Words of a block in prediction, and scores of words (a word has one for each label) that a worker remembers.
 BLOCK, REMEMBERED = 48, 4_000_000
+#: Numbers of the blocks' step matrices (a label by label matrix for each) that are held at a time.
+STRIPE = 8_000_000
 #: Bytes of text whose probabilities are held at a time, with up to 8 languages; with more, in proportion less.
 SLICE = 2_000_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -160,8 +163,9 @@ def trained(windows: list[tuple[str, list[str]]], epochs: int = 4, batch: int =
             forward, backward, _ = messages(emit, step)
             posterior = forward * backward
             posterior /= posterior.sum(axis=2, keepdims=True)
-            pair = forward[:, :-1, :, None] * step * (emit * backward)[:, 1:, None, :]
-            pair /= pair.sum(axis=(2, 3), keepdims=True)
+            # expected steps: a sum of outer products of what leaves a word and what comes to the next, as one product
+            leaves, comes = forward[:, :-1].reshape(-1, n), (emit * backward)[:, 1:].reshape(-1, n)
+            pairs = step * ((leaves / ((leaves @ step) * comes).sum(axis=1, keepdims=True)).T @ comes)
             off = np.eye(n)[gold] - posterior  # the gradient at each word
             by_word = np.zeros((len(distinct), n))
             np.add.at(by_word, inverse.ravel(), off.reshape(-1, n))
@@ -169,8 +173,8 @@ def trained(windows: list[tuple[str, list[str]]], epochs: int = 4, batch: int =
             rows = np.concatenate([features[i] for i in distinct])
             each = np.repeat(by_word * share[distinct, None], [len(features[i]) for i in distinct], axis=0) / size
             at, back = np.unique(rows, return_inverse=True)
-            gradient = np.zeros((len(at), n))
-            np.add.at(gradient, back, each)
+            by_place = np.argsort(back, kind="stable")
+            gradient = np.add.reduceat(each[by_place], np.searchsorted(back[by_place], np.arange(len(at))), axis=0)
             squared[0][at] += gradient**2
             model.weights[at] += rate * gradient / np.sqrt(squared[0][at])
             gold_pairs = np.zeros((n, n))
@@ -179,7 +183,7 @@ def trained(windows: list[tuple[str, list[str]]], epochs: int = 4, batch: int =
             for i, word in enumerate(distinct):
                 for k in lexicon.get(vocabulary[word], ()):
                     in_lexicon[k] += by_word[i]
-            for held, total, gradient in ((model.steps, squared[1], (gold_pairs - pair.sum(axis=(0, 1))) / size), (model.of_lexicon, squared[2], in_lexicon / size)):
+            for held, total, gradient in ((model.steps, squared[1], (gold_pairs - pairs) / size), (model.of_lexicon, squared[2], in_lexicon / size)):
                 total += gradient**2
                 held += rate * 0.3 * gradient / np.sqrt(total)
     model.weights = model.weights.astype(np.float32)
@@ -228,24 +232,28 @@ class Labeller:
             real[first[i] : first[i] + blocks[i]].reshape(-1)[: len(own)] = True
         begins = np.zeros(total, dtype=bool)
         begins[first] = True
-        # the message over a block: for each label before it, the scores of the labels at its end
-        over = np.broadcast_to(np.eye(n), (total, n, n)).copy()
-        for t in range(BLOCK):
-            moved = (over.reshape(-1, n) @ step).reshape(total, n, n) * emit[:, t, None, :]
-            moved /= moved.sum(axis=(1, 2), keepdims=True)
-            over = np.where(real[:, t, None, None], moved, over)
         # what comes into each block from the left and from the right; texts side by side, block by block
         left, right = np.ones((total, n)), np.ones((total, n))
+        place = np.where(np.repeat(blocks > 1, blocks), np.arange(total) - np.repeat(first, blocks), -1)  # of a block in its text, if there are others
         order = np.argsort(-blocks, kind="stable")
-        for k in range(1, int(blocks.max())):
-            at = first[order[: np.searchsorted(-blocks[order], -k, "left")]] + k
-            before = left[at - 1][:, None, :] if k > 1 else np.ones((len(at), 1, n))
-            arrived = (before @ over[at - 1])[:, 0] if k > 1 else self._start(emit[at - 1], real[at - 1])
-            left[at] = arrived / arrived.sum(axis=1, keepdims=True)
-        for k in range(int(blocks.max()) - 2, -1, -1):
-            at = first[order[: np.searchsorted(-blocks[order], -(k + 1), "left")]] + k
-            gone = (over[at + 1] @ right[at + 1][:, :, None])[:, :, 0]
-            right[at] = gone / gone.sum(axis=1, keepdims=True)
+        longer = lambda k: first[order[: np.searchsorted(-blocks[order], -k, "left")]]  # noqa: E731  first blocks of texts of over k blocks
+        stripes = self._stripes(blocks)
+        held: tuple[np.ndarray, np.ndarray] | None = None
+        for low, high in stripes:
+            held = self._over(emit, real, np.flatnonzero((place >= low) & (place < high)))
+            for k in range(low + 1, min(high, int(blocks.max()) - 1) + 1):
+                at = longer(k) + k
+                before = left[at - 1][:, None, :] if k > 1 else np.ones((len(at), 1, n))
+                arrived = (before @ held[0][held[1][at - 1]])[:, 0] if k > 1 else self._start(emit[at - 1], real[at - 1])
+                left[at] = arrived / arrived.sum(axis=1, keepdims=True)
+        for low, high in reversed(stripes):
+            if len(stripes) > 1:
+                held = self._over(emit, real, np.flatnonzero((place >= low) & (place < high)))
+            for k in range(min(high, int(blocks.max())) - 2, low - 2, -1):
+                if k >= 0:
+                    at = longer(k + 1) + k
+                    gone = (held[0][held[1][at + 1]] @ right[at + 1][:, :, None])[:, :, 0]
+                    right[at] = gone / gone.sum(axis=1, keepdims=True)
         forward, backward = np.empty_like(emit), np.empty_like(emit)
         now = left
         for t in range(BLOCK):
@@ -261,6 +269,33 @@ class Labeller:
         both /= both.sum(axis=2, keepdims=True)
         return [both[first[i] : first[i] + blocks[i]].reshape(-1, n)[: len(words)] for i, words in enumerate(texts)]
 
+    def _stripes(self, blocks: np.ndarray) -> list[tuple[int, int]]:
+        """Places of blocks, from and to, whose step matrices in all texts are STRIPE numbers at most, or of one place each."""
+        most = max(1, STRIPE // len(self.model.labels) ** 2)
+        blocks = np.sort(blocks[blocks > 1])
+        if not len(blocks):
+            return []
+        count = len(blocks) - np.searchsorted(blocks, np.arange(int(blocks.max())), "right")
+        out, low, held = [], 0, 0
+        for k, c in enumerate(count.tolist()):
+            if held and held + c > most:
+                out.append((low, k))
+                low, held = k, 0
+            held += c
+        return [*out, (low, len(count))]
+
+    def _over(self, emit: np.ndarray, real: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The message over each chosen block (for each label before it, the scores of the labels at its end), and where a block's is."""
+        n = len(self.model.labels)
+        over = np.broadcast_to(np.eye(n), (len(chosen), n, n)).copy()
+        for t in range(BLOCK):
+            moved = (over.reshape(-1, n) @ self.step).reshape(len(chosen), n, n) * emit[chosen, t][:, None, :]
+            moved /= moved.sum(axis=(1, 2), keepdims=True)
+            over = np.where(real[chosen, t][:, None, None], moved, over)
+        where = np.zeros(len(emit), dtype=np.int64)
+        where[chosen] = np.arange(len(chosen))
+        return over, where
+
     def _start(self, emit: np.ndarray, real: np.ndarray) -> np.ndarray:
         """The message at the end of blocks that begin a text: no step leads to their first word."""
         now = emit[:, 0] / emit[:, 0].sum(axis=1, keepdims=True)
@@ -287,7 +322,10 @@ def training_windows(docs: DataFrame, text: str, label: str, learn: Column, per_
     The least hashes of each label are found over all rows first, so texts are read again only for the sample.
     """
     labelled = docs.filter(learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    # at most MOST_LANGUAGES rows
     frequent = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(MOST_LANGUAGES).select("label")
+    frequent = cut(frequent)
+    per_language = min(per_language, max(1, TEXTS // max(1, frequent.count())))
     labelled = labelled.join(F.broadcast(frequent), "label", "left_semi")
     # the least hashes of each of SPREAD parts of a label, which hold the least ones of the label
     hashed = labelled.select("label", F.xxhash64("text").alias("h")).distinct().withColumn("part", F.pmod(F.hash("h"), F.lit(SPREAD)))

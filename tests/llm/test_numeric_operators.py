@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernweave.llm import bpe, common, components, crf, mixing, shards, simhash
-from tests.conftest import SMALL
+from tests.conftest import ROOT, SMALL
 
 DOCS = "doc_id long, text string, lang string, source string, size long, tie int"
 
@@ -91,7 +93,9 @@ def test_language_without_labels(spark):
     assert [(r["lang_pred"], r["score"]) for r in crf.identified(frame, model).collect()] == [("und", 0.0)]
 
 
-def test_blocks_change_no_probability():
+@pytest.mark.parametrize("stripe", [crf.STRIPE, 1, 12])
+def test_blocks_and_stripes_change_no_probability(monkeypatch, stripe):
+    monkeypatch.setattr(crf, "STRIPE", stripe)
     rng = random.Random(8)
     windows = [(k, [rng.choice(v) for _ in range(crf.WINDOW)]) for k, v in (("a", ["ka", "ko", "ki"]), ("b", ["lu", "li", "ka"])) for _ in range(20)]
     labeller = crf.Labeller(crf.trained(windows))
@@ -127,6 +131,25 @@ def test_many_labels_and_a_long_text(spark, monkeypatch):
     assert {told[i] for i in range(9)} == {"a"} and {told[i] for i in range(9, 17)} == {"b"} and told[99] == "a" and set(told.values()) == {"a", "b"}
 
 
+def test_two_hundred_labels_train_within_memory():
+    """In a process of its own, whose peak is its own: as many labels as are allowed, as many texts as the sample holds."""
+    code = """
+import random, resource, sys
+sys.path.insert(0, "ROOT")
+from fernweave.llm import crf
+rng = random.Random(1)
+vocabulary = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for k in range(200)}
+windows = [(f"l{k:03}", [rng.choice(vocabulary[k]) for _ in range(crf.WINDOW)]) for k in range(200) for _ in range(crf.TEXTS // 200)]
+model = crf.trained(windows)
+labeller = crf.Labeller(model)
+hit = sum(model.labels[labeller.posteriors([[rng.choice(vocabulary[k]) for _ in range(40)]])[0].mean(axis=0).argmax()] == f"l{k:03}" for k in range(200))
+labeller.posteriors([[rng.choice(vocabulary[k % 200]) for k in range(20_000)]])
+print(hit, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    told = subprocess.run([sys.executable, "-c", code.replace("ROOT", ROOT)], capture_output=True, text=True, timeout=900, check=True).stdout.split()
+    assert int(told[0]) >= 190 and int(told[1]) < 1024
+
+
 def aimed(sizes, weights=(1, 2, 3), most=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {n: weights[i % len(weights)] for i, n in enumerate(names)}
