@@ -721,4 +721,4 @@ def stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.get("listed", ingest.EDGE_ROWS).select("source", "target", "followers")
 
 
-from fernweave.plans import page_queries, state_queries  # noqa: E402, F401 - they register their queries
+from fernweave.plans import page_queries, state_queries, stream_queries  # noqa: E402, F401 - they register their queries

@@ -10,7 +10,8 @@ and a ledger of its own reads the stream from its beginning: that is how pages a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,20 @@ STATE = {
 }
 
 
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """STATE holds for the stream that is started meanwhile."""
+    conf = spark.conf
+    before = {name: conf.get(name, None) for name in STATE}
+    try:
+        for name, value in STATE.items():
+            conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
 def reparse_group(name: str, run: str) -> str:
     """The name of a group that reads everything again beside the one that is running."""
     if not run or not all(c.isalnum() or c in "-_" for c in run):
@@ -145,15 +160,8 @@ def apply_batch(store: Store, tasks: DataFrame) -> Callable[[DataFrame, int], No
 def start(messages: DataFrame, store: Store, tasks: DataFrame, once: bool = True) -> StreamingQuery:
     """The stream of messages (value) into a store; the checkpoint lies beside the store's tables, so both move together."""
     writer = with_news(messages, tasks).writeStream.foreachBatch(apply_batch(store, tasks)).option("checkpointLocation", f"{store.path}/checkpoint")
-    conf = store.spark.conf
-    before = {name: conf.get(name, None) for name in STATE}
-    try:
-        for name, value in STATE.items():
-            conf.set(name, value)
+    with stateful(store.spark):
         return (writer.trigger(availableNow=True) if once else writer).start()
-    finally:
-        for name, value in before.items():
-            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def stream_stats(store: Store, tasks: DataFrame) -> DataFrame:
