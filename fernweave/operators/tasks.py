@@ -105,21 +105,41 @@ def budgets_left(tasks: DataFrame, budgets: DataFrame) -> DataFrame:
 def over_capacity(pages: DataFrame, tasks: DataFrame, block: int = 10_000) -> DataFrame:
     """pages (task_id, page_order, new_nodes, new_edges) with fits: false where the task's nodes or edges would overflow.
 
-    Sums run over all pages of a task in order. A page that doesn't fit still counts for those after it: once a task
-    is full, nothing smaller slips in. page_order is a number; blocks of `block` of its values are summed before the
-    shuffle, their sums are added up (a row for each block), and pages are added up within their block only.
+    Pages count in the order of their numbers, which differ within a task. A page that doesn't fit takes nothing, so a
+    smaller one after it may still fit; one that brings nothing new always fits, as does one of a task without limits.
+
+    Done in rounds, all tasks at once. Room only shrinks, so what exceeds what is left now will never fit and is refused;
+    of the rest, all pages before the first at which the running sums overflow fit. A round costs sums by blocks of
+    `block` numbers, added up before the shuffle, and the pages that are still open. After the first overflow less is
+    left than one page wanted, so few pages can fit after that, and the rounds are few.
     """
     from pyspark.sql import Window
 
-    blocked = pages.withColumn("__block", F.floor(F.col("page_order") / block))
-    sums = blocked.groupBy("task_id", "__block").agg(F.sum("new_nodes").alias("n"), F.sum("new_edges").alias("e"))
-    earlier = Window.partitionBy("task_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("task_id", "__block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}0") for c in ("n", "e")])
-    upto = Window.partitionBy("task_id", "__block").orderBy("page_order").rowsBetween(Window.unboundedPreceding, 0)
-    rows = blocked.withColumns({"__n": F.sum("new_nodes").over(upto), "__e": F.sum("new_edges").over(upto)}).join(starts, ["task_id", "__block"])
+    number = ["__nodes", "__edges"]
     room = tasks.select("task_id", (F.col("max_nodes") - F.col("nodes_created")).alias("__nodes"), (F.col("max_edges") - F.col("edges_created")).alias("__edges"))
-    fits = F.coalesce((F.col("__n") + F.col("__n0") <= F.col("__nodes")) & (F.col("__e") + F.col("__e0") <= F.col("__edges")), F.lit(True))
-    return rows.join(room, "task_id", "left").select(*pages.columns, fits.alias("fits"))
+    rows = pages.withColumns({"__n": F.coalesce("new_nodes", F.lit(0)).cast("bigint"), "__e": F.coalesce("new_edges", F.lit(0)).cast("bigint")})
+    known = rows.join(room, "task_id", "left").withColumn("__free", F.col("__nodes").isNull() | F.col("__edges").isNull() | ((F.col("__n") == 0) & (F.col("__e") == 0)))
+    told = known.filter("__free").select(*pages.columns, F.lit(True).alias("fits"))
+    open_pages = cut(known.filter("NOT __free").drop("__free", *number))
+    while not open_pages.isEmpty():
+        possible = open_pages.join(room, "task_id").withColumn("__can", (F.col("__n") <= F.col("__nodes")) & (F.col("__e") <= F.col("__edges")))
+        told = told.unionByName(possible.filter("NOT __can").select(*pages.columns, F.lit(False).alias("fits")))
+        left = possible.filter("__can").withColumn("__block", F.floor(F.col("page_order") / block))
+        sums = left.groupBy("task_id", "__block").agg(F.sum("__n").alias("n"), F.sum("__e").alias("e"))
+        earlier = Window.partitionBy("task_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.select("task_id", "__block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}0") for c in ("n", "e")])
+        upto = Window.partitionBy("task_id", "__block").orderBy("page_order").rowsBetween(Window.unboundedPreceding, 0)
+        summed = left.withColumns({"__sn": F.sum("__n").over(upto), "__se": F.sum("__e").over(upto)}).join(starts, ["task_id", "__block"])
+        over = (F.col("__sn") + F.col("__n0") > F.col("__nodes")) | (F.col("__se") + F.col("__e0") > F.col("__edges"))
+        summed = cut(summed.withColumn("__over", over).drop("__block", "__sn", "__se", "__n0", "__e0", *number))
+        stop = summed.filter("__over").groupBy("task_id").agg(F.min("page_order").alias("__stop"))  # a row for each task
+        placed = summed.join(stop, "task_id", "left").withColumn("__before", F.coalesce(F.col("page_order") < F.col("__stop"), F.lit(True)))
+        told = told.unionByName(placed.filter("__before").select(*pages.columns, F.lit(True).alias("fits")))
+        took = placed.filter("__before").groupBy("task_id").agg(F.sum("__n").alias("n"), F.sum("__e").alias("e"))
+        fewer = room.join(took, "task_id", "left")
+        room = cut(fewer.select("task_id", (F.col("__nodes") - F.coalesce("n", F.lit(0))).alias("__nodes"), (F.col("__edges") - F.coalesce("e", F.lit(0))).alias("__edges")))
+        open_pages = cut(placed.filter("NOT __before").select(*pages.columns, "__n", "__e"))
+    return told
 
 
 def pipeline_stats(frames: dict[str, DataFrame], as_of: str) -> DataFrame:

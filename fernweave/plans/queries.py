@@ -452,7 +452,11 @@ def budgets_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.budgets_left(found["crawl_tasks"], found["task_operation_budgets"])
 
 
-@query("SELECT f.frontier_id, coalesce(sum(attempt) OVER w <= max_nodes - nodes_created AND sum(depth) OVER w <= max_edges - edges_created, true) AS fits FROM {crawl_frontier} f JOIN {crawl_tasks} t ON t.task_id = f.task_id WINDOW w AS (PARTITION BY f.task_id ORDER BY frontier_id ROWS UNBOUNDED PRECEDING)")
+_ASKED = "SELECT f.task_id, frontier_id, CAST(attempt AS BIGINT) AS n, CAST(depth AS BIGINT) AS e, row_number() OVER (PARTITION BY f.task_id ORDER BY frontier_id) AS k, max_nodes - nodes_created AS nodes, max_edges - edges_created AS edges FROM {crawl_frontier} f JOIN {crawl_tasks} t ON t.task_id = f.task_id"
+_FOLDED = "SELECT task_id, CAST(0 AS BIGINT) AS k, nodes, edges, CAST(NULL AS BIGINT) AS frontier_id, true AS fits FROM {asked} WHERE k = 1 UNION ALL SELECT a.task_id, a.k, CASE WHEN ok THEN a.left_n - a.n ELSE a.left_n END, CASE WHEN ok THEN a.left_e - a.e ELSE a.left_e END, a.frontier_id, a.ok FROM (SELECT p.*, f.nodes AS left_n, f.edges AS left_e, (p.n = 0 AND p.e = 0) OR (p.n <= f.nodes AND p.e <= f.edges) AS ok FROM {folded} f JOIN {asked} p ON p.task_id = f.task_id AND p.k = f.k + 1) a"
+
+
+@query("SELECT frontier_id, fits FROM {folded} WHERE k > 0", asked=_ASKED, folded=_FOLDED)
 def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = frames(spark, sf_dir, "crawl_frontier", "crawl_tasks")
     pages = found["crawl_frontier"].select("task_id", "frontier_id", F.col("frontier_id").alias("page_order"), F.col("attempt").alias("new_nodes"), F.col("depth").alias("new_edges"))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from fernweave.common import cut
 from fernweave.operators.graph import MAX_DEPTH
-from fernweave.plans.queries import _BFS, MIN_FOLLOWERS, ROOTED, _built, query
+from fernweave.plans.queries import _BFS, METRICS, MIN_FOLLOWERS, ROOTED, _built, _plain, query
 from fernweave.plans.state_queries import _folder
 from fernweave.sources import events
-from fernweave.sources.adapters import TASK, frame, frames
-from fernweave.streaming import graph_state, ingest
+from fernweave.sources.adapters import MODEL, TASK, frame, frames
+from fernweave.streaming import graph_state, ingest, post_state
 
 #: Accounts whose numbers are on one page of a list.
 PAGE = 200
@@ -102,4 +102,61 @@ def stream_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("tree_id").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("target_account_id").alias("accounts"), F.count_if("is_collision").alias("collisions"), F.max("target_depth").alias("deepest"))
 
 
+#: The posts as pages tell them: to the second.
+TOLD_POSTS = {"account_posts": MODEL["account_posts"].replace("ts AS posted_at", "date_trunc('second', ts) AS posted_at")}
+#: Posts whose places on a page are together.
+POSTS_A_PAGE = 40
+
+
+def timeline_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timeline pages of all accounts; later pages hold later versions of every third post, with other numbers."""
+    posts = frame(spark, sf_dir, "account_posts")
+    number = F.col("post_id").cast("bigint")
+    when = lambda kind, value: F.when(F.col("kind") == kind, F.lit(value))
+    versions = posts.withColumn("version", F.explode(F.when(number % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    later = F.col("version") * 1000
+    counts = {"reply_count": "reply_count", "retweet_count": "retweet_count", "favorite_count": "like_count", "quote_count": "quote_count", "bookmark_count": "bookmark_count"}
+    legacy = F.struct(
+        F.col("text").alias("full_text"), F.date_format("posted_at", "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("created_at"), F.col("account_id").alias("user_id_str"), *[(F.col(c) + later).alias(name) for name, c in counts.items()],
+        when("retweet", "5").alias("retweeted_status_id_str"), when("reply", "6").alias("in_reply_to_status_id_str"), when("quote", True).alias("is_quote_status"),
+    )
+    result = F.struct(F.lit("Tweet").alias("__typename"), F.col("post_id").alias("rest_id"), legacy.alias("legacy"), F.struct((F.col("view_count") + later).cast("string").alias("count")).alias("views"))
+    item = F.struct(F.lit("TimelineTweet").alias("itemType"), F.struct(result.alias("result")).alias("tweet_results"))
+    entry = F.to_json(F.struct(F.struct(F.lit("TimelineTimelineItem").alias("entryType"), item.alias("itemContent")).alias("content")))
+    rows = versions.select("account_id", "version", F.floor(number / POSTS_A_PAGE / 50).alias("part"), number.alias("n"), entry.alias("o"))
+    pages = rows.groupBy("account_id", "version", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "o"))), lambda x: x["o"]), ",").alias("list"))
+    name = F.concat_ws("-", F.lit("t"), "account_id", F.col("part").cast("string"), F.col("version").cast("string"))
+    payload = F.concat(F.lit('{"i":[{"type":"TimelineAddEntries","entries":['), "list", F.lit("]}]}"))
+    pages = pages.select(name.alias("event_id"), "account_id", F.lit(1).alias("depth"), F.lit(None).cast("string").alias("tree_id"), F.timestamp_seconds(F.col("part") + F.col("version") * 1_000_000 + 1_700_000_000).alias("requested_at"), payload.alias("payload"))
+    return _event(pages, operation=F.lit("UserTweets"))
+
+
+@_once
+def _timelines(spark: SparkSession, sf_dir: str) -> post_state.TimelineTables:
+    """Posts and metrics of the timelines' pages, which come in no order, each twice, to a stream that is started twice."""
+    path = _folder(spark, "timeline-stream")
+    pages = cut(timeline_messages(spark, sf_dir))
+    pages.unionByName(pages).withColumn("k", F.xxhash64("value", F.monotonically_increasing_id())).repartition(3, "k").drop("k").write.text(f"{path}/in")
+    store, tasks = ingest.Store(spark, path), spark.createDataFrame([(TASK,)], "task_id string")
+    for _ in range(2):
+        post_state.start(events.from_files(spark, f"{path}/in", files_per_batch=2), store, tasks).awaitTermination()
+    return post_state.TimelineTables(store)
+
+
+_METRIC_COLUMNS = "task_id, account_id, sample_count, scanned_count, round(sample_span_days, 6) AS sample_span_days, strftime(latest_post_at, '%Y-%m-%d %H:%M:%S') AS latest_post_at, round(avg_reply, 6) AS avg_reply, round(avg_retweet, 6) AS avg_retweet, round(avg_like, 6) AS avg_like, round(avg_view, 6) AS avg_view, view_sample_count, round(median_engagement, 6) AS median_engagement, round(engagement_rate, 6) AS engagement_rate, round(reach_ratio, 6) AS reach_ratio, round(bookmark_rate, 6) AS bookmark_rate"
+
+
+@query(f"SELECT {_METRIC_COLUMNS} FROM {{metrics}}", metrics=METRICS, **TOLD_POSTS)
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(_timelines(spark, sf_dir).account_metrics(frame(spark, sf_dir, "account_profiles")))
+
+
+@query(
+    "SELECT account_id, post_id, kind, is_qualifying, text, strftime(posted_at, '%Y-%m-%d %H:%M:%S') AS posted_at, reply_count, retweet_count, like_count, quote_count, bookmark_count, view_count, CASE WHEN kind = 'reply' THEN '6' END AS in_reply_to_tweet_id, CASE WHEN kind = 'retweet' THEN '5' END AS retweeted_tweet_id FROM {account_posts}",
+    **TOLD_POSTS,
+)
+def stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(_timelines(spark, sf_dir).stored_posts()).drop("task_id", "conversation_id", "quoted_tweet_id")
+
+
 __all__ = ["frame"]

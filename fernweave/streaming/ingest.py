@@ -125,11 +125,21 @@ class Store:
 
 
 EDGE_ROWS = "task_id string, tree_id string, source string, depth int, event_id string, position bigint, target string, followers int"
-PROFILES = "task_id string, event_id string, account_id string, username string, followers_count int, can_dm boolean"
-POSTS = "task_id string, account_id string, event_id string, post_id string, kind string, is_qualifying boolean, posted_at timestamp, like_count int, view_count int"
+PROFILES = (
+    "task_id string, event_id string, at timestamp, position bigint, account_id string, username string, display_name string, description string, location string, followers_count int, following_count int, "
+    "created_at timestamp, protected boolean, verified boolean, blue_verified boolean, can_dm boolean"
+)
+POSTS = (
+    "task_id string, account_id string, event_id string, at timestamp, post_id string, kind string, is_qualifying boolean, text string, posted_at timestamp, reply_count int, retweet_count int, like_count int, quote_count int, "
+    "bookmark_count int, view_count int, conversation_id string, in_reply_to_tweet_id string, quoted_tweet_id string, retweeted_tweet_id string"
+)
 DEAD = "task_id string, event_id string, error_class string, detail string, payload string"
 
 
+def columns(schema: str) -> list[str]:
+    return [part.split(" ")[0] for part in schema.split(", ")]
+
+
 def apply_batch(store: Store, tasks: DataFrame) -> Callable[[DataFrame, int], None]:
     """The function for foreachBatch, of messages with_news; of plain messages it asks the ledger, which it reads whole."""
 
@@ -142,13 +152,14 @@ def apply_batch(store: Store, tasks: DataFrame) -> Callable[[DataFrame, int], No
             else:
                 fresh, _, dead = split(rows, tasks, store.ledger(batch), store.group)
             following, tweets, unroutable = routed(fresh)
-            found = parse.users(following.select("task_id", "tree_id", F.col("account_id").alias("source"), "depth", "event_id", "payload"), ["task_id", "tree_id", "source", "depth", "event_id"])
+            keys = ["task_id", "tree_id", "source", "depth", "event_id", "at"]
+            found = parse.users(following.withColumns({"source": F.col("account_id"), "at": F.col("requested_at")}).select(*keys, "payload"), keys)
             listed = found.filter(F.col("account_id") != F.col("source"))
             store.put(listed.select("task_id", "tree_id", "source", "depth", "event_id", "position", F.col("account_id").alias("target"), F.col("followers_count").alias("followers")), "listed", batch)
-            told = found.select("task_id", "event_id", "account_id", "username", F.col("followers_count").cast("int").alias("followers_count"), "can_dm")
-            store.put(told, "profiles", batch)
-            posts = parse.own_posts(parse.posts(tweets.select("task_id", "account_id", "event_id", "payload"), ["task_id", "account_id", "event_id"]))
-            store.put(posts.select("task_id", "account_id", "event_id", "post_id", "kind", "is_qualifying", "posted_at", "like_count", "view_count"), "posts", batch)
+            store.put(found.select(*columns(PROFILES)), "profiles", batch)
+            keys = ["task_id", "account_id", "event_id", "at"]
+            posts = parse.own_posts(parse.posts(tweets.select(*keys[:3], F.col("requested_at").alias("at"), "payload"), keys))
+            store.put(posts.select(*columns(POSTS)), "posts", batch)
             store.put(dead.unionByName(unroutable), "dead", batch)
             store.put(fresh.select(F.lit(store.group).alias("group_id"), "task_id", "event_id"), "ledger", batch)
         finally:

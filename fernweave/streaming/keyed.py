@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Runs of a level that are merged into one of the next.
@@ -28,14 +28,14 @@ class KeyedTable:
     """A table of `schema` with one row for each value of `keys`.
 
     order: columns (of the table) by which one of several rows with a key is kept, the least if keep is "first", the
-    greatest if "last"; without them the batch decides.
+    greatest if "last"; without them the batch decides. bucket_by: those of the keys whose hash deals rows into buckets.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], order: list[str] | None = None, keep: str = "last", buckets: int = BUCKETS, fan: int = FAN) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], order: list[str] | None = None, keep: str = "last", buckets: int = BUCKETS, fan: int = FAN, bucket_by: list[str] | None = None) -> None:
         if keep not in ("first", "last"):
             raise ValueError("keep is first or last")
         self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
-        self.order, self.keep, self.buckets, self.fan = order or [BATCH], keep, buckets, fan
+        self.order, self.keep, self.buckets, self.fan, self.bucket_by = order or [BATCH], keep, buckets, fan, bucket_by or keys
         self.columns = spark.createDataFrame([], schema).columns
 
     # the manifest
@@ -89,9 +89,11 @@ class KeyedTable:
         rest = [c for c in [*self.columns, BATCH] if c not in self.keys]
         return rows.groupBy(*self.keys).agg(pick(F.struct(*rest), F.struct(*self.order)).alias("__row")).select(*self.keys, "__row.*")
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
+
     def _write(self, rows: DataFrame, name: str) -> None:
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        dealt = rows.withColumn(BUCKET, bucket).repartition(BUCKET).sortWithinPartitions(BUCKET, *self.keys)
+        dealt = rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET).sortWithinPartitions(BUCKET, *self.keys)
         dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/runs/run={name}")
 
     def upsert(self, rows: DataFrame, batch: int) -> None:
@@ -119,10 +121,8 @@ class KeyedTable:
         return self._one(self._rows(self.manifest()["runs"])).select(*self.columns)
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
-        """The rows whose keys are in wanted (a part of the keys' columns will do if it is the first): only their buckets are read."""
-        rows = self._rows(self.manifest()["runs"])
-        if set(self.keys) <= set(wanted.columns):
-            found = wanted.select(F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()  # as many as there are buckets at most
-            rows = rows.filter(F.col(BUCKET).isin([r["b"] for r in found]))
+        """The rows whose keys are in wanted, which has some of the keys' columns, those of bucket_by among them: only their buckets are read."""
+        found = wanted.select(self._bucket().alias("b")).distinct().collect()  # as many as there are buckets at most
+        rows = self._rows(self.manifest()["runs"]).filter(F.col(BUCKET).isin([r["b"] for r in found]))
         on = [k for k in self.keys if k in wanted.columns]
         return self._one(rows.join(wanted.select(*on).distinct(), on, "left_semi")).select(*self.columns)

@@ -21,9 +21,10 @@ def edges(store: ingest.Store) -> DataFrame:
 
 
 def profiles(store: ingest.Store) -> DataFrame:
-    """The last profile of each account, by batch and event."""
+    """The last profile of each account, by the time and the id of its page and its place on it."""
     told = store.get("profiles", ingest.PROFILES)
-    last = told.groupBy("task_id", "account_id").agg(F.max_by(F.struct("username", "followers_count", "can_dm"), F.struct("batch", "event_id")).alias("p"))
+    rest = [c for c in ingest.columns(ingest.PROFILES) if c not in ("task_id", "account_id", "event_id", "at", "position")]
+    last = told.groupBy("task_id", "account_id").agg(F.max_by(F.struct(*rest), F.struct("at", "event_id", "position")).alias("p"))
     return last.select("task_id", "account_id", "p.*")
 
 
@@ -45,10 +46,14 @@ def open_expansions(store: ingest.Store, max_depth: int = MAX_DEPTH, min_followe
     return waiting.select("task_id", "account_id", F.lit("Following").alias("operation"), F.col("first_depth").alias("depth"), F.lit("pending").alias("status"))
 
 
+def posts(store: ingest.Store) -> DataFrame:
+    """The posts of accounts: of several versions of one the first, by the time and the id of its page."""
+    told = store.get("posts", ingest.POSTS)
+    keys = ["task_id", "account_id", "post_id"]
+    rest = [c for c in ingest.columns(ingest.POSTS) if c not in (*keys, "event_id", "at")]
+    return told.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("at", "event_id")).alias("p")).select(*keys, "p.*")
+
+
 def metrics(store: ingest.Store) -> DataFrame:
     """The metrics of accounts from the posts that are stored, a post once however often its page came."""
-    kinds = [part.split(" ") for part in "reply_count int, retweet_count int, quote_count int, bookmark_count int".split(", ")]
-    posts = store.get("posts", ingest.POSTS)
-    once = posts.groupBy("task_id", "account_id", "post_id").agg(F.max_by(F.struct("kind", "is_qualifying", "posted_at", "like_count", "view_count"), F.struct("batch", "event_id")).alias("p"))
-    rows = once.select("task_id", "account_id", "post_id", "p.*").withColumns({name: F.lit(0).cast(kind) for name, kind in kinds})
-    return account_metrics(rows, profiles(store))
+    return account_metrics(posts(store), profiles(store))
