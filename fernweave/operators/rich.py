@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernweave.common import cut
 from fernweave.functions.payload import at, boolean, integer, moment, present, text, walked
 from fernweave.functions.rules import source_label, source_url
 
@@ -50,8 +51,9 @@ def links(urls: Column) -> Column:
 
 
 def _last_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of several objects with one id the last one in the walk."""
-    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(_LAST).desc()))).filter("__k = 1").drop("__k")
+    """Of several objects with one id the last one in the walk, told before rows are shuffled."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), _LAST).alias("__last")).select(*keys, "__last.*")
 
 
 def user_record(v: Column) -> Column:
@@ -91,7 +93,11 @@ def user_record(v: Column) -> Column:
 
 def users(pages: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, user): the users of a page, of several mentions the last; those without a name are left out."""
-    rows = walked(pages.select(*keys, "payload"), ["User"]).withColumn("user", user_record(F.col("obj")))
+    return _users(walked(pages.select(*keys, "payload"), ["User"]), keys)
+
+
+def _users(objects: DataFrame, keys: list[str]) -> DataFrame:
+    rows = objects.filter("kind = 'User'").withColumn("user", user_record(F.col("obj")))
     rows = rows.filter(F.col("user.username").isNotNull() & (F.col("user.username") != "") & F.col("user.id_str").isNotNull())
     return _last_of(rows.withColumn("id_str", F.col("user.id_str")), [*keys, "id_str"]).select(*keys, "id_str", "user")
 
@@ -175,15 +181,18 @@ def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
 
     Of several mentions the last counts, and one with limited visibility before one without. Posts whose author is
     nowhere on the page are left out. A repost's text that was cut off is made whole from its original.
+
+    Pages are walked once; users and posts are read into records once each, written, and looked up by page and id.
     """
-    found = walked(pages.select(*keys, "payload"), ["Tweet", "TweetWithVisibilityResults"])
+    objects = cut(walked(pages.select(*keys, "payload"), ["Tweet", "TweetWithVisibilityResults", "User"]))
+    found = objects.filter("kind <> 'User'")
     limited = F.col("kind") == "TweetWithVisibilityResults"
     rows = found.select(*keys, F.struct(limited.alias("l"), F.col("ord").alias("o")).alias("ord"), F.when(limited, at(F.col("obj"), "tweet", "variant")).otherwise(F.col("obj")).alias("v"))
     rows = rows.filter(present(F.col("v"), "legacy")).withColumn("id_str", F.coalesce(text(F.col("v"), "rest_id"), field(F.col("v"), "id_str")))
     rows = _last_of(rows.filter(F.col("id_str").isNotNull()), [*keys, "id_str"]).drop("ord")
     v = F.col("v")
     rows = rows.withColumns({"author": field(v, "user_id_str"), "retweetedId": _referenced(v, "retweeted"), "quotedId": _referenced(v, "quoted"), "reply_user": field(v, "in_reply_to_user_id_str")})
-    known = users(pages, keys)
+    known = cut(_users(objects, keys))
     rows = rows.join(known.withColumnRenamed("id_str", "author").withColumnRenamed("user", "__mapped"), [*keys, "author"], "left")
     inner = lambda p: F.when(_or(at(v, f"{p}.__typename"), "") != "UserUnavailable", at(v, p, "variant"))
     embedded = F.coalesce(inner("core.user_results.result"), inner("author_results.result"))
@@ -245,6 +254,7 @@ def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
         _edit_control(v).alias("editControl"),
         F.coalesce(at(v, "voice_info", "variant"), at(v, "legacy.voice_info", "variant")).alias("voiceInfo"),
     ).filter(F.col("date").isNotNull())
+    told = cut(told)
     originals = told.select(*keys, F.col("id_str").alias("retweetedId"), F.col("user.username").alias("__name"), F.col("rawContent").alias("__text"), F.col("viewCount").alias("__views"))
     told = told.join(originals, [*keys, "retweetedId"], "left")
     whole = F.concat(F.lit("RT @"), "__name", F.lit(": "), "__text")

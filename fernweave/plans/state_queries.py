@@ -84,7 +84,7 @@ def cursor_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.cursors(frame(spark, sf_dir, "customer").select(k.cast("string").alias("page"), payload.alias("payload")), ["page"], fallback=True)
 
 
-@query("SELECT CAST(c_nationkey AS STRING) AS page, CASE WHEN n = 1 THEN CAST(c AS STRING) END AS account_id, CASE WHEN n <> 1 THEN concat('expected one user, found ', CAST(n AS STRING)) END AS error FROM (SELECT c_nationkey, count(*) AS n, min(c_custkey) AS c FROM {customer} WHERE c_custkey < 30 GROUP BY 1) x")
+@query("SELECT CAST(c_nationkey AS STRING) AS page, CASE WHEN n = 1 THEN CAST(c AS STRING) END AS account_id, CASE WHEN n <> 1 THEN concat('users on this page, not one: ', CAST(n AS STRING)) END AS error FROM (SELECT c_nationkey, count(*) AS n, min(c_custkey) AS c FROM {customer} WHERE c_custkey < 30 GROUP BY 1) x")
 def parse_single_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = frame(spark, sf_dir, "customer").filter("c_custkey < 30")
     obj = F.to_json(F.struct(F.lit("User").alias("__typename"), F.col("c_custkey").cast("string").alias("rest_id"), F.struct(F.col("c_name").alias("screen_name")).alias("core")))

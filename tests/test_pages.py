@@ -35,7 +35,7 @@ def test_users(spark):
     assert (one["account_id"], one["display_name"], one["followers_count"], one["can_dm"], one["protected"], one["position"]) == ("1", "L1", None, None, True, 1)
     assert (two["location"], two["blue_verified"], two["followers_count"], str(two["created_at"])) == ("here", True, None, "2013-12-14 04:35:55")
     single = {r["page"]: r["error"] for r in parse.single_user(pages(spark, {"a": user("5")}, given), ["page"]).collect()}
-    assert single == {"p0": None, "p1": "expected one user, found 2"}
+    assert single == {"p0": None, "p1": "users on this page, not one: 2"}
 
 
 def test_posts(spark):
