@@ -195,19 +195,26 @@ BUILT = "SELECT l.source AS source_account_id, l.target AS target_account_id, x.
 _BFS = {"lists": LISTS, "reach": REACH, "few": FEW, "depths": DEPTHS, "expanded": EXPANDED, "built": BUILT}
 
 
-def _built(spark: SparkSession, sf_dir: str) -> graph.Graph:
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of all accounts' lists, and the seeds."""
     found = frames(spark, sf_dir, "follow_edges", "account_profiles")
     followers = found["account_profiles"].select(F.col("account_id").alias("target"), F.col("followers_count").alias("followers"))
     rows = found["follow_edges"].select(F.col("source_account_id").alias("source"), F.col("target_account_id").alias("target")).join(followers, "target", "left")
     rows = rows.select("source", F.lit(1).alias("page_no"), F.col("target").cast("bigint").alias("position"), "target", "followers")
-    starts = spark.createDataFrame([("tree-a", "0"), ("tree-b", "1")], "tree_id string, account_id string")
+    return rows, spark.createDataFrame([("tree-a", "0"), ("tree-b", "1")], "tree_id string, account_id string")
+
+
+def _built(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    rows, starts = _lists(spark, sf_dir)
     return graph.build(starts, rows, min_followers=MIN_FOLLOWERS)
 
 
-@query(
-    "SELECT d.account_id, d.first_depth, d.first_depth > 5 AS is_l6_boundary, CASE WHEN d.first_depth > 5 THEN 'boundary' WHEN d.first_depth > 0 AND f.account_id IS NOT NULL THEN 'filtered' ELSE 'pending' END AS expansion_status, coalesce(i.n, 0) AS network_indegree, coalesce(o.n, 0) AS collected_following FROM {depths} d LEFT JOIN {few} f ON f.account_id = d.account_id LEFT JOIN (SELECT target_account_id AS id, count(*) AS n FROM {built} GROUP BY 1) i ON i.id = d.account_id LEFT JOIN (SELECT source_account_id AS id, count(*) AS n FROM {built} GROUP BY 1) o ON o.id = d.account_id",
-    **_BFS,
+_BFS_NODES_SQL = (
+    "SELECT d.account_id, d.first_depth, d.first_depth > 5 AS is_l6_boundary, CASE WHEN d.first_depth > 5 THEN 'boundary' WHEN d.first_depth > 0 AND f.account_id IS NOT NULL THEN 'filtered' ELSE 'pending' END AS expansion_status, coalesce(i.n, 0) AS network_indegree, coalesce(o.n, 0) AS collected_following FROM {depths} d LEFT JOIN {few} f ON f.account_id = d.account_id LEFT JOIN (SELECT target_account_id AS id, count(*) AS n FROM {built} GROUP BY 1) i ON i.id = d.account_id LEFT JOIN (SELECT source_account_id AS id, count(*) AS n FROM {built} GROUP BY 1) o ON o.id = d.account_id"
 )
+
+
+@query(_BFS_NODES_SQL, **_BFS)
 def bfs_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).nodes.drop("tree_id", "filter_reason")
 

@@ -67,13 +67,17 @@ def rate_limit_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(told.select("id", "r.limit", "r.remaining", "r.reset_at", "held_until"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN concat('tweet-', CAST(o_orderkey AS STRING)) ELSE '' END AS entries FROM {orders}")
+_ENTRY = "CASE o_orderpriority WHEN '1-URGENT' THEN 'cursor-bottom-' WHEN '2-HIGH' THEN 'messageprompt-' WHEN '3-MEDIUM' THEN 'tweet-' WHEN '4-NOT SPECIFIED' THEN 'who-to-follow-' ELSE 'profile-conversation-' END"
+
+
+@query(
+    f"SELECT id, coalesce(string_agg(entry, '|' ORDER BY o_orderkey) FILTER (NOT regexp_matches(entry, '^({'|'.join(rules.NOT_CONTENT)})')), '') AS entries FROM (SELECT o_custkey AS id, o_orderkey, concat({_ENTRY}, CAST(o_orderkey AS STRING)) AS entry FROM {{orders}}) e GROUP BY id"
+)
 def timeline_content_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    entry = lambda c: F.struct(c.alias("entryId"))
-    own = F.when(k % 2 == 0, F.concat(F.lit("tweet-"), k.cast("string"))).otherwise(F.concat(F.lit("module-"), k.cast("string")))
-    found = rules.content_entries(F.array(entry(F.lit("cursor-bottom-1")), entry(own), entry(F.lit("messageprompt-2")), entry(F.lit("who-to-follow-3"))))
-    return frame(spark, sf_dir, "orders").select(k.alias("id"), F.array_join(F.transform(found, lambda e: e["entryId"]), "|").alias("entries"))
+    """The entries of each customer's timeline, an order each, of kinds by their priority."""
+    entry = F.struct(F.col("o_orderkey").alias("k"), F.concat(F.expr(_ENTRY), F.col("o_orderkey").cast("string")).alias("entryId"))
+    held = frame(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return held.select("id", F.array_join(F.transform(rules.content_entries(F.col("entries")), lambda e: e["entryId"]), "|").alias("entries"))
 
 
 @query("SELECT CAST(c_custkey AS STRING) AS page, CASE WHEN c_custkey % 3 = 1 THEN 'below' WHEN c_custkey % 3 = 2 THEN 'rest' END AS cursor FROM {customer} WHERE c_custkey % 3 > 0")
@@ -84,11 +88,15 @@ def cursor_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.cursors(frame(spark, sf_dir, "customer").select(k.cast("string").alias("page"), payload.alias("payload")), ["page"], fallback=True)
 
 
-@query("SELECT CAST(c_nationkey AS STRING) AS page, CASE WHEN n = 1 THEN CAST(c AS STRING) END AS account_id, CASE WHEN n <> 1 THEN concat('users on this page, not one: ', CAST(n AS STRING)) END AS error FROM (SELECT c_nationkey, count(*) AS n, min(c_custkey) AS c FROM {customer} WHERE c_custkey < 30 GROUP BY 1) x")
+@query(
+    "SELECT page, CASE WHEN n = 1 THEN CAST(c AS STRING) END AS account_id, CASE WHEN n <> 1 THEN concat('users on this page, not one: ', CAST(n AS STRING)) END AS error FROM (SELECT CASE WHEN c_nationkey % 2 = 0 THEN concat('s', CAST(c_custkey AS STRING)) ELSE concat('m', CAST(CAST(floor(c_custkey / 4) AS BIGINT) AS STRING)) END AS page, count(*) AS n, min(c_custkey) AS c FROM {customer} GROUP BY 1) x"
+)
 def parse_single_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = frame(spark, sf_dir, "customer").filter("c_custkey < 30")
-    obj = F.to_json(F.struct(F.lit("User").alias("__typename"), F.col("c_custkey").cast("string").alias("rest_id"), F.struct(F.col("c_name").alias("screen_name")).alias("core")))
-    pages = c.groupBy(F.col("c_nationkey").cast("string").alias("page")).agg(F.concat(F.lit('{"u":['), F.array_join(F.collect_list(obj), ","), F.lit("]}")).alias("payload"))
+    """All customers, on pages of their own or with up to three others."""
+    key = F.col("c_custkey")
+    obj = F.to_json(F.struct(F.lit("User").alias("__typename"), key.cast("string").alias("rest_id"), F.struct(F.col("c_name").alias("screen_name")).alias("core")))
+    page = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("s"), key.cast("string"))).otherwise(F.concat(F.lit("m"), F.floor(key / 4).cast("string")))
+    pages = frame(spark, sf_dir, "customer").groupBy(page.alias("page")).agg(F.concat(F.lit('{"u":['), F.array_join(F.collect_list(obj), ","), F.lit("]}")).alias("payload"))
     return parse.single_user(pages, ["page"]).select("page", "account_id", "error")
 
 
@@ -110,12 +118,15 @@ def task_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.progress(frames(spark, sf_dir, "crawl_frontier", "account_nodes"), TASK, AS_OF)
 
 
-@query(
-    "SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'account_unavailable' WHEN 1 THEN 'authentication' WHEN 2 THEN 'blocked' WHEN 3 THEN 'features_outdated' WHEN 4 THEN 'platform_overloaded' WHEN 5 THEN 'rate_limited' WHEN 6 THEN 'transport' WHEN 7 THEN 'KeyError' END AS error_class FROM {orders}"
-)
+_RAISED = "CASE o_orderpriority WHEN '1-URGENT' THEN {} WHEN '2-HIGH' THEN {} WHEN '3-MEDIUM' THEN {} WHEN '4-NOT SPECIFIED' THEN {} ELSE {} END"
+
+
+@query(f"SELECT status, {_RAISED.format(*map(repr, [*list(rules.ERROR_CLASSES.values())[:4], 'KeyError']))} AS error_class, count(*) AS n FROM {{crawl_frontier}} JOIN {{orders}} ON o_orderkey = frontier_id GROUP BY ALL")
 def error_class_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raised = F.get(F.array(*map(F.lit, [*rules.ERROR_CLASSES, "KeyError"])), (F.col("o_orderkey") % 9).cast("int"))
-    return frame(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), rules.error_class(raised).alias("error_class"))
+    """What the work items failed with, by the name under which it is counted; one kind has no name of its own."""
+    rows = frame(spark, sf_dir, "crawl_frontier").join(frame(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("frontier_id"))
+    raised = F.expr(_RAISED.format(*map(repr, [*list(rules.ERROR_CLASSES)[:4], "KeyError"])))
+    return rows.groupBy("status", rules.error_class(raised).alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _CAME = (
@@ -148,7 +159,19 @@ def pages_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+_STREAMED: dict[tuple, ingest.Store] = {}
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> ingest.Store:
+    """The stream of _run_stream, run once for all queries of a session over the same tables."""
+    key = (spark.sparkContext.applicationId, spark.sparkContext.getCheckpointDir(), sf_dir)
+    if key not in _STREAMED:
+        _STREAMED.clear()
+        _STREAMED[key] = _run_stream(spark, sf_dir)
+    return _STREAMED[key]
+
+
+def _run_stream(spark: SparkSession, sf_dir: str) -> ingest.Store:
     """The stream of customers' pages, delivered twice, in a store that was started twice."""
     path = _folder(spark, "stream")
     page_messages(spark, sf_dir).repartition(3).write.text(f"{path}/in")
@@ -174,9 +197,11 @@ def stream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.edges(_streamed(spark, sf_dir)).drop("task_id")
 
 
-@query(f"SELECT CAST(c_custkey AS STRING) AS account_id, c_name AS username, CAST(floor(c_acctbal) AS INT) AS followers_count, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3 = 0 END AS can_dm {_APPLIED}")
+@query(
+    f"SELECT CAST(c_custkey AS STRING) AS account_id, c_name AS username, '' AS display_name, '' AS description, CAST(NULL AS STRING) AS location, CAST(floor(c_acctbal) AS INT) AS followers_count, CAST(NULL AS INT) AS following_count, CAST(NULL AS BOOLEAN) AS protected, CAST(NULL AS BOOLEAN) AS verified, CAST(NULL AS BOOLEAN) AS blue_verified, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3 = 0 END AS can_dm {_APPLIED}"
+)
 def stream_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.profiles(_streamed(spark, sf_dir)).drop("task_id")
+    return tables.profiles(_streamed(spark, sf_dir)).drop("task_id", "created_at")
 
 
 @query(f"SELECT CAST(c_custkey AS STRING) AS account_id, 'Following' AS operation, CAST(2 AS INT) AS depth {_APPLIED} AND floor(c_acctbal) >= 1000")
@@ -191,6 +216,14 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir).get("dead", ingest.DEAD).select("error_class", "event_id").distinct()
 
 
+@query("SELECT 'parser' AS group_id, CAST(s.k AS INT) AS source, CAST(2 AS BIGINT) AS committed, CAST(0 AS BIGINT) AS ahead, count(*) AS applied FROM (SELECT DISTINCT c_nationkey, floor(c_custkey / 5000) FROM {customer} WHERE c_nationkey % 10 <> 9) p, (VALUES (0), (1)) s(k) GROUP BY s.k")
+def stream_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the stream of the customers' pages is after two runs, and how many events it has applied."""
+    store = _streamed(spark, sf_dir)
+    applied = store.ledger().groupBy("group_id").agg(F.count(F.lit(1)).alias("applied"))
+    return ingest.offsets(store).join(applied, "group_id").select("group_id", "source", "committed", "ahead", "applied")
+
+
 @query("SELECT account_id, post_id, kind, like_count, text FROM {account_posts}")
 def export_json_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "json")

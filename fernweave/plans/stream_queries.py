@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.common import cut
-from fernweave.operators.graph import MAX_DEPTH
-from fernweave.plans.queries import _BFS, METRICS, MIN_FOLLOWERS, ROOTED, _built, _plain, query
+from fernweave.operators import late
+from fernweave.operators.graph import MAX_DEPTH, Graph
+from fernweave.plans.queries import _BFS, _BFS_NODES_SQL, METRICS, MIN_FOLLOWERS, ROOTED, _built, _lists, _plain, query
 from fernweave.plans.state_queries import _folder
 from fernweave.sources import events
 from fernweave.sources.adapters import MODEL, TASK, frame, frames
@@ -159,4 +160,22 @@ def stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_timelines(spark, sf_dir).stored_posts()).drop("task_id", "conversation_id", "quoted_tweet_id")
 
 
-__all__ = ["frame"]
+@_once
+def _late(spark: SparkSession, sf_dir: str) -> Graph:
+    """The layered graph of all lists, of which a third of the accounts' come when its layers were closed."""
+    rows, starts = _lists(spark, sf_dir)
+    own = late.LateGraph(spark, _folder(spark, "late"), starts, MAX_DEPTH, MIN_FOLLOWERS)
+    comes_late = F.pmod(F.xxhash64("source"), F.lit(3)) == 0
+    for batch, part in enumerate((~comes_late, comes_late)):
+        own.add(rows.filter(part), batch)
+    return own.graph()
+
+
+@query(_BFS_NODES_SQL, **_BFS)
+def late_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _late(spark, sf_dir).nodes.drop("tree_id", "filter_reason")
+
+
+@query("SELECT tree_id, target_account_id AS account_id, source_account_id AS parent_account_id, source_depth + 1 AS depth, is_collision FROM {observed}", **_BFS, rooted=ROOTED, observed=_OBSERVED)
+def late_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _late(spark, sf_dir).observations

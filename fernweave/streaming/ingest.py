@@ -183,4 +183,33 @@ def stream_stats(store: Store, tasks: DataFrame) -> DataFrame:
     return rows.select("task_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("pages_processed", "dlq_events")])
 
 
-__all__ = ["Store", "apply_batch", "reparse_group", "routed", "split", "start", "stream_stats", "walked", "with_news"]
+def offsets(store: Store, checkpoint: str = "checkpoint") -> DataFrame:
+    """How far a stream is: for each source, topic and partition the offset that is committed, and what is planned beyond it.
+
+    Read from the stream's own log: a batch's offsets are written before it runs, and it is committed when it has run. A
+    source without topics (files) has its own counter as its only offset. No row where the stream has planned nothing yet.
+    """
+    names = "group_id string, batch bigint, source int, topic string, partition int, committed bigint, planned bigint, ahead bigint"
+    spark = store.spark
+    try:
+        told = spark.read.text(f"{store.path}/{checkpoint}/offsets", wholetext=True).select("value", F.col("_metadata.file_name").cast("bigint").alias("batch"))
+        done = spark.read.text(f"{store.path}/{checkpoint}/commits", wholetext=True).select(F.max(F.col("_metadata.file_name").cast("bigint")).alias("done"))
+        last = done.first()["done"]
+    except Exception as error:  # noqa: BLE001 - only a stream that hasn't begun is expected
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], names)
+    # a version, a line about the batch, a line for each source
+    lines = told.select("batch", F.posexplode(F.split("value", "\n")).alias("line", "value")).filter((F.col("line") >= 2) & F.col("value").startswith("{"))
+    topics = F.from_json("value", "map<string,map<string,bigint>>")
+    by_topic = F.flatten(F.transform(F.map_entries(topics), lambda t: F.transform(F.map_entries(t["value"]), lambda p: F.struct(t["key"].alias("topic"), p["key"].cast("int").alias("partition"), p["value"].alias("offset")))))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("topic"), F.lit(None).cast("int").alias("partition"), F.get_json_object("value", "$.logOffset").cast("bigint").alias("offset")))
+    counter = F.get_json_object("value", "$.logOffset").isNotNull()
+    rows = lines.select("batch", (F.col("line") - 2).alias("source"), F.explode(F.when(counter, own).otherwise(by_topic)).alias("o")).select("batch", "source", "o.*")
+    at = lambda on: F.max_by(F.when(on, F.col("offset")), F.when(on, F.col("batch")))
+    newest = rows.groupBy("source", "topic", "partition").agg(at(F.col("batch") <= F.lit(last)).alias("committed"), at(F.lit(True)).alias("planned"))
+    batch = F.lit(last).cast("bigint").alias("batch")
+    return newest.select(F.lit(store.group).alias("group_id"), batch, "source", "topic", "partition", "committed", "planned", (F.col("planned") - F.coalesce("committed", F.lit(0))).alias("ahead"))
+
+
+__all__ = ["Store", "apply_batch", "offsets", "reparse_group", "routed", "split", "start", "stream_stats", "walked", "with_news"]

@@ -203,3 +203,16 @@ def test_medians():
         assert post_state.median(values) == exact
 
 
+
+
+def test_offsets_by_topic_and_partition(spark, tmp_path):
+    store = ingest.Store(spark, str(tmp_path))
+    assert ingest.offsets(store).count() == 0
+    for folder in ("offsets", "commits"):
+        (tmp_path / "parser/checkpoint" / folder).mkdir(parents=True)
+    for batch, (a, b) in enumerate([(5, 0), (9, 4), (12, 4)]):
+        (tmp_path / f"parser/checkpoint/offsets/{batch}").write_text(f'v1\n{{"batchWatermarkMs":0}}\n{{"raw":{{"0":{a},"1":{b}}}}}\n{{"logOffset":{batch}}}')
+    for batch in range(2):
+        (tmp_path / f"parser/checkpoint/commits/{batch}").write_text('v1\n{"nextBatchWatermarkMs":0}')
+    got = {(r["source"], r["topic"], r["partition"]): (r["batch"], r["committed"], r["planned"], r["ahead"]) for r in ingest.offsets(store).collect()}
+    assert got == {(0, "raw", 0): (1, 9, 12, 3), (0, "raw", 1): (1, 4, 4, 0), (1, None, None): (1, 1, 2, 1)}
