@@ -329,6 +329,10 @@ def introductions_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outreach.introductions_total(found, TASK, _top(found))
 
 
+#: Picks of the plan.
+PICKS = 20
+
+
 def _greedy_sql(picks: int) -> dict[str, str]:
     """Greedy cover spelled out pick by pick: each takes the account with the most voters that earlier picks lack."""
     parts = {"pick0": "SELECT CAST(NULL AS STRING) AS account_id, CAST(0 AS BIGINT) AS gain WHERE false", "done0": "SELECT source_account_id AS v FROM {votes} WHERE false"}
@@ -340,14 +344,14 @@ def _greedy_sql(picks: int) -> dict[str, str]:
 
 @query(
     "SELECT CAST(k AS INT) AS place, p.account_id, gain AS new_reach, CAST(sum(gain) OVER (ORDER BY k) AS BIGINT) AS cumulative_reach, round(sum(gain) OVER (ORDER BY k) / (SELECT count(DISTINCT source_account_id) FROM {votes}), 4) AS coverage_share, n.network_indegree AS voters FROM ("
-    + " UNION ALL ".join(f"SELECT {k} AS k, * FROM {{pick{k}}}" for k in range(1, 4))
+    + " UNION ALL ".join(f"SELECT {k} AS k, * FROM {{pick{k}}}" for k in range(1, PICKS + 1))
     + ") p JOIN {voted} n ON n.account_id = p.account_id",
     voted=VOTED,
-    **_greedy_sql(3),
+    **_greedy_sql(PICKS),
 )
 def approach_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = votes_model(spark, sf_dir)
-    plan = outreach.approach_plan(found, TASK, found["account_nodes"].filter("network_indegree > 0"), picks=3, max_pool=None)
+    plan = outreach.approach_plan(found, TASK, found["account_nodes"].filter("network_indegree > 0"), picks=PICKS, max_pool=None)
     rows = [(k, s["account_id"], s["new_reach"], s["cumulative_reach"], s["coverage_share"], s["voters"]) for k, s in enumerate(plan.steps, 1)]
     return spark.createDataFrame(rows, "place int, account_id string, new_reach bigint, cumulative_reach bigint, coverage_share double, voters bigint")
 
