@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.common import cut
-from fernweave.operators import late
+from fernweave.operators import late, listing, ranks
 from fernweave.operators.graph import MAX_DEPTH, Graph
-from fernweave.plans.queries import _BFS, _BFS_NODES_SQL, METRICS, MIN_FOLLOWERS, ROOTED, _built, _lists, _plain, query
+from fernweave.plans.queries import _BFS, _BFS_NODES_SQL, EDGES, LISTED, METRICS, MIN_FOLLOWERS, ROOTED, _built, _lists, _plain, model, query
 from fernweave.plans.state_queries import _folder
 from fernweave.sources import events
 from fernweave.sources.adapters import MODEL, TASK, frame, frames
@@ -179,3 +179,27 @@ def late_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT tree_id, target_account_id AS account_id, source_account_id AS parent_account_id, source_depth + 1 AS depth, is_collision FROM {observed}", **_BFS, rooted=ROOTED, observed=_OBSERVED)
 def late_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _late(spark, sf_dir).observations
+
+
+_DEEP = "FROM {listed}) x WHERE place >= total // 2 AND place < total // 2 + 50"
+
+
+@query(f"SELECT place, account_id, network_indegree, total, total // 2 + 50 < total AS truncated FROM (SELECT row_number() OVER (ORDER BY network_indegree DESC NULLS LAST, account_id) - 1 AS place, count(*) OVER () AS total, account_id, network_indegree {_DEEP}", listed=LISTED, metrics=METRICS)
+def account_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of the account list that begins in its middle, with the list's total and whether rows follow it."""
+    rows = listing.account_rows(model(spark, sf_dir), TASK, listing.AccountFilter()).select("account_id", "network_indegree")
+    index = ranks.RankIndex.build(rows, [F.col("network_indegree").desc_nulls_last(), F.col("account_id")], _folder(spark, "ranks"), range_rows=1000)
+    page = index.page(50, index.total // 2)
+    return page.rows.select("place", "account_id", "network_indegree", F.lit(page.total).cast("long").alias("total"), F.lit(page.truncated).alias("truncated"))
+
+
+@query(
+    "SELECT place, source_account_id, target_account_id, total, total // 3 + 100 < total AS truncated FROM (SELECT row_number() OVER (ORDER BY source_account_id, target_account_id) - 1 AS place, count(*) OVER () AS total, source_account_id, target_account_id FROM {edges}) x WHERE place >= total // 3 AND place < total // 3 + 100",
+    edges=EDGES,
+)
+def relationships_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of the edge list that begins after its first third."""
+    rows = listing.relationship_rows(model(spark, sf_dir), TASK, listing.EdgeFilter()).select("source_account_id", "target_account_id")
+    index = ranks.RankIndex.build(rows, [F.col("source_account_id"), F.col("target_account_id")], _folder(spark, "ranks"), range_rows=5000)
+    page = index.page(100, index.total // 3)
+    return page.rows.select("place", "source_account_id", "target_account_id", F.lit(page.total).cast("long").alias("total"), F.lit(page.truncated).alias("truncated"))
