@@ -8,10 +8,12 @@ way to the driver.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that a range holds in the mean.
 RANGE_ROWS = 100_000
@@ -36,10 +38,10 @@ class RankIndex:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.path = path
-        self.stored = spark.read.parquet(f"{path}/rows")
-        counts = spark.read.parquet(f"{path}/ranges").orderBy("range").collect()  # a row for each range
+        told = spark.read.parquet(f"{path}/ranges").orderBy("range").collect()  # a row for each range, and one that tells the schema
+        self.stored = spark.read.schema(T.StructType.fromJson(json.loads(told[0]["told"]))).parquet(f"{path}/rows")
         self.before, total = {}, 0
-        for r in counts:
+        for r in told[1:]:
             self.before[r["range"]] = (total, r["n"])
             total += r["n"]
         self.total = total
@@ -52,8 +54,10 @@ class RankIndex:
         dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
         placed = dealt.withColumns({"range": F.shiftright("__id", 33).cast("int"), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id")
         placed.write.partitionBy("range").parquet(f"{path}/rows")
-        stored = spark.read.parquet(f"{path}/rows")
-        stored.groupBy("range").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(f"{path}/ranges")
+        stored = spark.read.schema(placed.schema).parquet(f"{path}/rows")
+        counts = stored.groupBy("range").agg(F.count(F.lit(1)).alias("n")).withColumn("told", F.lit(None).cast("string"))
+        schema = spark.createDataFrame([(-1, 0, json.dumps(placed.schema.jsonValue()))], "range int, n long, told string")
+        counts.unionByName(schema).coalesce(1).write.parquet(f"{path}/ranges")
         return cls(spark, path)
 
     def page(self, limit: int, offset: int = 0) -> Page:
