@@ -29,6 +29,8 @@ from fernweave.llm.common import any_columns, cut, text_or_empty, words_of
 MOST = 3
 #: Rows of a table with a row for each source and measure (of which there are 32) up to which it is broadcast.
 MOST_SOURCES = 100_000
+#: A source is heavy if it has over one in so many rows.
+MOST_HEAVY = 3_000
 #: Bits of a bin of one level. Weights repeat in this order over the sources.
 BIN_BITS = 12
 WEIGHTS = (1, 2, 3)
@@ -108,10 +110,22 @@ def _end(sums: DataFrame, place: str) -> DataFrame:
 
 
 def _by_source(df: DataFrame, table: DataFrame, source: Column, m: Column | None = None) -> DataFrame:
-    """df with `__of`, the row of table for the source (and the measure m); broadcast only if the table is small."""
+    """df with `__of`, the row of table for the source (and the measure m); broadcast only if the table is small.
+
+    Where it isn't, the rows of sources with over one in MOST_HEAVY of df's rows, which are MOST_HEAVY at most, meet the
+    few rows of the table that are theirs by a broadcast, so no source is a hot key of the join for the others.
+    """
     held = table.select(F.struct(*table.columns).alias("__of"))
     on = source.eqNullSafe(F.col("__of.source")) if m is None else source.eqNullSafe(F.col("__of.source")) & (m == F.col("__of.m"))
-    return df.join(F.broadcast(held) if table.count() <= MOST_SOURCES else held, on, "left")
+    if table.count() <= MOST_SOURCES:
+        return df.join(F.broadcast(held), on, "left")
+    counts = cut(df.groupBy(source.alias("__h")).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.broadcast(cut(counts.filter(F.col("n") * MOST_HEAVY > total).select("__h", F.lit(True).alias("__heavy"))))
+    flagged = df.join(heavy, source.eqNullSafe(F.col("__h")), "left").drop("__h")
+    theirs = lambda how: held.join(heavy, F.col("__of.source").eqNullSafe(F.col("__h")), how).select("__of")
+    met = flagged.filter("__heavy").drop("__heavy").join(F.broadcast(theirs("left_semi")), on, "left")
+    return met.unionByName(flagged.filter("__heavy IS NULL").drop("__heavy").join(theirs("left_anti"), on, "left"))
 
 
 def expected(sized: DataFrame, aimed: DataFrame, most: int) -> DataFrame:

@@ -183,6 +183,16 @@ def test_mix_meets_its_targets(spark):
     assert all(copies[r["doc_id"]] == r["copies"] for r in got) and mixing.mix(frame).columns == frame.columns
 
 
+def test_mix_of_many_sources_one_of_them_heavy(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "ab cd " * (1 + k % 9), None if k % 11 == 0 else "big" if k % 3 else f"s{k % 40:02}") for k in range(600)], "doc_id long, text string, source string")
+    told = lambda: sorted(map(tuple, mixing.mixed(rows).collect()))
+    few = told()
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    assert told() == few  # big is heavy, met by a broadcast
+    monkeypatch.setattr(mixing, "MOST_HEAVY", 1)
+    assert told() == few  # none is
+
+
 def test_mix_of_odd_tables(spark):
     assert mixing.mixed(docs(spark, (1, "a", "s")).limit(0)).count() == 0 and mixing.mix(docs(spark, (1, "a", "s")).limit(0)).count() == 0
     none = mixing.mixed(docs(spark, (1, None, None), (2, "", "s"))).collect()
