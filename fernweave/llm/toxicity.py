@@ -3,7 +3,10 @@
 The lexicon. Over all labelled texts that may be learned from (equal texts with one label count once) it is counted in how
 many toxic and how many other ones each word, and each beginning of a word, occurs. Terms are those whose rates differ
 most (likelihood ratio), if they are at least LIFT times as frequent in toxic texts: whole words, and stems, which any
-ending may follow. A term that a better one covers is left out. A term weighs its log odds.
+ending may follow. What stands between the same two words again and again is the text of near copies and no term, so a term
+counts once for each pair of neighbours, DIVERSE of its texts must differ in them, and words on either side must differ:
+next to a word in which copies differ, one neighbour changes with it. A term that a better one covers is left out. A term
+weighs its log odds.
 
 The search. Terms form a trie; a Levenshtein automaton for one edit (terms of SHORT letters or more) or two (LONG or
 more), transpositions of neighbours included, is intersected with it. The states of the product are sets of (place in the
@@ -50,6 +53,8 @@ SAMPLE, MOST_TERMS, MOST_EXCEPTIONS = 20_000, 1_000, 50_000
 #: What a term needs: toxic texts that hold it, times as frequent there, letters, and the share of its toxic texts that
 #: differ in its neighbours; what its likelihood ratio (twice the log) needs above that of the best of as many chance terms.
 TOXIC_TEXTS, LIFT, LETTERS, DIVERSE, RATIO = 3, 4.0, 4, 0.3, 2.0
+#: Words on each side that are enough, however many texts there are.
+SIDES = 30
 #: Longest stem; letters from which one edit, and two, are allowed.
 STEM, SHORT, LONG = 8, 5, 10
 #: Words to each side that are a hit's context; of the densest window; characters of a quotation at most.
@@ -314,7 +319,7 @@ def _ratio(t: Column, c: Column, toxic: int, other: int) -> Column:
 
 
 def diverse(texts: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
-    """(of, contexts): between how many pairs of neighbours each of the terms stands in toxic texts."""
+    """(of, contexts, sides): between how many pairs of neighbours each of the terms stands in toxic texts, and after or before how many words at least."""
     place = {term: i for i, term in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,12 +330,13 @@ def diverse(texts: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
                 for i, w in enumerate(words):
                     at = [place[k] for k in ((w, False), *((w[:n], True) for n in range(LETTERS, min(STEM, len(w)) + 1))) if k in place]
                     if at:
-                        around = " ".join(words[max(0, i - 1) : i] + ["_"] + words[i + 1 : i + 2])
-                        found.update((k, around) for k in at)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.string())], ["of", "around"])
+                        sides = words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""
+                        found.update((k, *sides) for k in at)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), *(pa.array([x[k] for x in found], pa.string()) for k in (1, 2))], ["of", "left", "right"])
 
-    pairs = texts.filter("toxic").select("text").mapInArrow(run, "of int, around string")
-    return pairs.select("of", F.xxhash64("around").alias("h")).distinct().groupBy("of").agg(F.count(F.lit(1)).alias("contexts"))
+    pairs = texts.filter("toxic").select("text").mapInArrow(run, "of int, left string, right string")
+    hashed = pairs.select("of", F.xxhash64("left").alias("left"), F.xxhash64("right").alias("right")).distinct()
+    return hashed.groupBy("of").agg(F.count(F.lit(1)).alias("contexts"), F.least(F.count_distinct("left"), F.count_distinct("right")).alias("sides"))
 
 
 def chosen_terms(texts: DataFrame, words: DataFrame, toxic: int, other: int) -> list[tuple[str, bool, float]]:
@@ -343,8 +349,12 @@ def chosen_terms(texts: DataFrame, words: DataFrame, toxic: int, other: int) ->
     best = fits.orderBy(*order).limit(4 * MOST_TERMS).collect()
     if not best:
         return []
-    contexts = {r["of"]: r["contexts"] for r in diverse(texts, [(r["term"], r["stem"]) for r in best]).collect()}  # a row for each of them at most
-    rows = [(r["term"], r["stem"], min(r["t"], contexts.get(i, 0)), r["c"]) for i, r in enumerate(best) if contexts.get(i, 0) >= max(TOXIC_TEXTS, DIVERSE * r["t"])]
+    around = {r["of"]: (r["contexts"], r["sides"]) for r in diverse(texts, [(r["term"], r["stem"]) for r in best]).collect()}  # a row for each of them at most
+    rows = []
+    for i, r in enumerate(best):
+        contexts, sides = around.get(i, (0, 0))
+        if contexts >= max(TOXIC_TEXTS, DIVERSE * r["t"]) and sides >= max(TOXIC_TEXTS, min(SIDES, DIVERSE * r["t"])):
+            rows.append((r["term"], r["stem"], min(r["t"], contexts), r["c"]))
     again = words.sparkSession.createDataFrame(rows, "term string, stem boolean, t long, c long").withColumn("ratio", _ratio(t, c, toxic, other))
     terms: list[tuple[str, bool, float]] = []
     stems: set[str] = set()
