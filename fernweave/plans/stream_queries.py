@@ -144,12 +144,14 @@ def _timelines(spark: SparkSession, sf_dir: str) -> post_state.TimelineTables:
     return post_state.TimelineTables(store)
 
 
-_METRIC_COLUMNS = "task_id, account_id, sample_count, scanned_count, round(sample_span_days, 6) AS sample_span_days, strftime(latest_post_at, '%Y-%m-%d %H:%M:%S') AS latest_post_at, round(avg_reply, 6) AS avg_reply, round(avg_retweet, 6) AS avg_retweet, round(avg_like, 6) AS avg_like, round(avg_view, 6) AS avg_view, view_sample_count, round(median_engagement, 6) AS median_engagement, round(engagement_rate, 6) AS engagement_rate, round(reach_ratio, 6) AS reach_ratio, round(bookmark_rate, 6) AS bookmark_rate"
+_METRIC_COLUMNS = "task_id, account_id, sample_count, scanned_count, CAST(round(sample_span_days * 86400) AS BIGINT) AS sample_span_seconds, strftime(latest_post_at, '%Y-%m-%d %H:%M:%S') AS latest_post_at, round(avg_reply, 6) AS avg_reply, round(avg_retweet, 6) AS avg_retweet, round(avg_like, 6) AS avg_like, round(avg_view, 6) AS avg_view, view_sample_count, round(median_engagement, 6) AS median_engagement, round(engagement_rate, 6) AS engagement_rate, round(reach_ratio, 6) AS reach_ratio, round(bookmark_rate, 6) AS bookmark_rate"
 
 
 @query(f"SELECT {_METRIC_COLUMNS} FROM {{metrics}}", metrics=METRICS, **TOLD_POSTS)
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_timelines(spark, sf_dir).account_metrics(frame(spark, sf_dir, "account_profiles")))
+    told = _timelines(spark, sf_dir).account_metrics(frame(spark, sf_dir, "account_profiles"))
+    # posts are told to the second: in seconds a span is whole, in days it may end in a half that is rounded either way
+    return _plain(told.withColumn("sample_span_seconds", F.round(F.col("sample_span_days") * 86400).cast("bigint")).drop("sample_span_days"))
 
 
 @query(
