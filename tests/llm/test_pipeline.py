@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,11 +36,17 @@ def test_run(spark):
     assert "token_ids" in corpus_pipeline.run(spark, SMALL).columns
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_each_operator_has_a_query(n):
     assert len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) == 1
 
 
+def numbers(spark):
+    """Vectors without nulls and without components that are no numbers."""
+    kept = F.size("embedding") > 0
+    return spark.read.parquet(f"{SMALL}/embeddings.parquet").filter(kept & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_keeps_every_row(spark, name):
     rows = queries.QUERIES[name](spark, SMALL)
@@ -48,5 +56,14 @@ def test_query_keeps_every_row(spark, name):
         assert rows.count() == spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id").distinct().count() + 1
     elif name == "op9_token_counts":
         assert rows.select("doc_id").distinct().count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    elif name == "op11_vector_codes":
+        assert rows.count() == numbers(spark).count()
+    elif name == "op12_hard_negatives":
+        labelled = numbers(spark).filter("label IS NOT NULL AND vec_id IS NOT NULL").selectExpr("vec_id", "IF(vec_id % 7 = 0, (label + 1) % 10, label) AS label")
+        most = labelled.filter("vec_id % 100 = 0").join(labelled.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("others")), "label")
+        anchors = {r["vec_id"]: min(5, r["others"]) for r in most.collect()}
+        pairs = {(r["anchor_id"], r["positive_id"]): r["n"] for r in rows.groupBy("anchor_id", "positive_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+        found = Counter(anchor for anchor, _ in pairs)
+        assert set(found) <= set(anchors) and all(n <= anchors[a] for a, n in found.items()) and all(1 <= n <= 10 for n in pairs.values())
     else:
         assert rows.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
