@@ -162,6 +162,26 @@ def stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_timelines(spark, sf_dir).stored_posts()).drop("task_id", "conversation_id", "quoted_tweet_id")
 
 
+#: Batches in which posts are put into a store, and how many of them a merge takes.
+FACT_BATCHES, FACT_FAN = 11, 3
+
+
+@query(
+    f"SELECT CAST(CAST(post_id AS BIGINT) % {FACT_BATCHES} AS BIGINT) AS batch, kind, count(*) AS posts, count(DISTINCT account_id) AS accounts, CAST(sum(like_count) AS BIGINT) AS likes FROM {{account_posts}} GROUP BY ALL",
+    account_posts=MODEL["account_posts"],
+)
+def merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All posts, stored batch by batch and merged as batches are committed, by the batch that they came in."""
+    schema = "post_id string, account_id string, kind string, like_count int"
+    rows = cut(frame(spark, sf_dir, "account_posts").select("post_id", "account_id", "kind", F.col("like_count").cast("int")))
+    store = ingest.Store(spark, _folder(spark, "facts"), fan=FACT_FAN)
+    for batch in range(FACT_BATCHES):
+        store.put(rows.filter(F.col("post_id").cast("bigint") % FACT_BATCHES == batch), "posts", batch)
+        store.merge("posts", schema, batch)
+    told = store.get("posts", schema).groupBy("batch", "kind")
+    return told.agg(F.count(F.lit(1)).alias("posts"), F.count_distinct("account_id").alias("accounts"), F.sum("like_count").alias("likes"))
+
+
 @_once
 def _late(spark: SparkSession, sf_dir: str) -> Graph:
     """The layered graph of all lists, of which a third of the accounts' come when its layers were closed."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,12 +21,15 @@ from pyspark.sql.streaming import StreamingQuery
 from fernweave.functions.payload import walked
 from fernweave.operators import parse
 from fernweave.sources import events
+from fernweave.streaming.manifest import Manifest
 
 #: Names of groups and topics.
 TOPIC, DEAD_TOPIC, PARSER = "raw-pages", "raw-pages-dlq", "parser"
 DETAIL = 2000
 LEDGER = "group_id string, task_id string, event_id string, batch bigint"
 NEW = "__new"
+#: Bytes of a file that a merge writes, as Parquet.
+MERGED_FILE = 128 << 20
 #: How the keys of events are kept: on the executors' disks, with the changes of each batch in the checkpoint.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -101,25 +105,80 @@ def routed(fresh: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 class Store:
-    """Tables under a folder, each a set of batches; a batch that comes again is written over."""
+    """Tables under a folder, each a set of batches; a batch that comes again is written over.
 
-    def __init__(self, spark: SparkSession, path: str, group: str = PARSER) -> None:
-        self.spark, self.path, self.group = spark, f"{path}/{group}", group
+    Batches that the stream has committed never come again, so their folders are merged: `fan` of a level into one of the
+    next, so a table of n batches is read from fan * log(n) folders at most and a row is rewritten once a level. Merged
+    rows carry the number of their batch. A manifest names the merged folders and the last batch in them; it is swapped
+    when a merge is complete, and folders that only the manifest before it names are deleted by the merge after.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, group: str = PARSER, fan: int = 8) -> None:
+        if fan < 2:
+            raise ValueError("fan is 2 or more")
+        self.spark, self.path, self.group, self.fan = spark, f"{path}/{group}", group, fan
 
     def put(self, df: DataFrame, table: str, batch: int) -> None:
+        """Write a batch of a table; one that was merged is refused, since no reader would see it."""
+        if batch <= self.manifest(table).read()["last"]:
+            raise ValueError(f"batch {batch} of {table} was committed and merged before")
         df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
 
+    def manifest(self, table: str) -> Manifest:
+        """merged: folders (name, level, first and last batch); last: the last batch that is in one of them."""
+        return Manifest(self.spark, f"{self.path}/{table}", {"merged": [], "last": -1})
+
+    def folders(self, table: str) -> tuple[list[str], list[int]]:
+        """The merged folders of a table and the batches that are in none of them."""
+        manifest = self.manifest(table)
+        told = manifest.read()
+        loose = sorted(int(n.removeprefix("batch=")) for n in manifest.names("") if n.startswith("batch="))
+        return [m["name"] for m in told["merged"]], [b for b in loose if b > told["last"]]
+
+    def _rows(self, table: str, schema: str, merged: list[str], loose: list[int]) -> DataFrame:
+        names = f"{schema}, batch bigint" if "batch bigint" not in schema else schema
+        place, read = f"{self.path}/{table}", lambda: self.spark.read.schema(names)
+        parts = [read().parquet(*[f"{place}/{name}" for name in merged])] if merged else []
+        parts += [read().option("basePath", place).parquet(*[f"{place}/batch={b}" for b in loose])] if loose else []
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], names)
+
     def get(self, table: str, schema: str, before: int | None = None) -> DataFrame:
         """Rows of a table, of batches before a number if one is given; none if nothing was written yet."""
-        names = f"{schema}, batch bigint" if "batch bigint" not in schema else schema
-        try:
-            rows = self.spark.read.schema(names).option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}")
-        except Exception as error:  # noqa: BLE001 - only a table that isn't there yet is expected
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], names)
+        merged, loose = self.folders(table)
+        rows = self._rows(table, schema, merged, loose if before is None else [b for b in loose if b < before])
         return rows if before is None else rows.filter(F.col("batch") < before)
 
+    def merge(self, table: str, schema: str, before: int) -> None:
+        """Merge what is due of a table, of batches before a number: those that the stream has committed."""
+        manifest = self.manifest(table)
+        told = manifest.read()
+        loose = [b for b in self.folders(table)[1] if b < before]
+        if len(loose) < self.fan:
+            return
+        merged, last, kept = list(told["merged"]), told["last"], {m["name"] for m in told["merged"]}
+        while len(loose) >= self.fan:
+            # a step at once takes what its levels will take: merging by levels one after the other would write rows twice
+            take, loose, level, joined = loose[: self.fan], loose[self.fan :], 1, []
+            while len(full := [m for m in merged if m["level"] == level]) == self.fan - 1:
+                joined, level = full + joined, level + 1
+                merged = [m for m in merged if m not in full]
+            first, last = joined[0]["first"] if joined else take[0], take[-1]
+            into = {"name": f"merged{level}x{first}x{last}", "level": level, "first": first, "last": last}
+            rows = self._rows(table, schema, [m["name"] for m in joined], take)
+            size = sum(manifest.files().getContentSummary(manifest.at(n)).getLength() for n in [*[m["name"] for m in joined], *[f"batch={b}" for b in take]])
+            rows.coalesce(max(1, size // MERGED_FILE)).write.mode("overwrite").parquet(f"{self.path}/{table}/{into['name']}")
+            merged.append(into)
+        manifest.swap({"version": told["version"] + 1, "merged": merged, "last": last})
+        kept |= {m["name"] for m in merged}
+        for name in manifest.names(""):
+            old = name.startswith("batch=") and int(name.removeprefix("batch=")) <= told["last"]
+            if old or (name.startswith("merged") and name not in kept):
+                manifest.delete(name)
+
+    def merge_all(self, before: int) -> None:
+        for table, schema in STORED.items():
+            self.merge(table, schema, before)
+
     def ledger(self, before: int | None = None) -> DataFrame:
         return self.get("ledger", LEDGER, before)
 
@@ -134,6 +193,7 @@ POSTS = (
     "bookmark_count int, view_count int, conversation_id string, in_reply_to_tweet_id string, quoted_tweet_id string, retweeted_tweet_id string"
 )
 DEAD = "task_id string, event_id string, error_class string, detail string, payload string"
+STORED = {"listed": EDGE_ROWS, "profiles": PROFILES, "posts": POSTS, "dead": DEAD, "ledger": LEDGER}
 
 
 def columns(schema: str) -> list[str]:
@@ -162,6 +222,7 @@ def apply_batch(store: Store, tasks: DataFrame) -> Callable[[DataFrame, int], No
             store.put(posts.select(*columns(POSTS)), "posts", batch)
             store.put(dead.unionByName(unroutable), "dead", batch)
             store.put(fresh.select(F.lit(store.group).alias("group_id"), "task_id", "event_id"), "ledger", batch)
+            store.merge_all(batch)
         finally:
             rows.unpersist()
 

@@ -13,11 +13,11 @@ readers of the one before aren't disturbed.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernweave.streaming.manifest import Manifest
+
 #: Runs of a level that are merged into one of the next.
 FAN = 8
 BUCKETS = 16
@@ -37,43 +37,15 @@ class KeyedTable:
         self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
         self.order, self.keep, self.buckets, self.fan, self.bucket_by = order or [BATCH], keep, buckets, fan, bucket_by or keys
         self.columns = spark.createDataFrame([], schema).columns
+        self._manifest = Manifest(spark, path, {"applied": -1, "runs": [], "gone": []})
 
     # the manifest
 
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")  # noqa: SLF001
-
-    def _files(self):
-        return self._at("").getFileSystem(self.spark._jsc.hadoopConfiguration())  # noqa: SLF001
-
-    def _version(self) -> int:
-        """The number of the newest manifest, 0 if there is none."""
-        files = self._files()
-        if not files.exists(self._at("manifest")):
-            return 0
-        names = [s.getPath().getName() for s in files.listStatus(self._at("manifest"))]
-        return max((int(n.split(".")[0]) for n in names if n.endswith(".json")), default=0)
-
     def manifest(self) -> dict:
-        version = self._version()
-        if not version:
-            return {"version": 0, "applied": -1, "runs": [], "gone": []}
-        opened = self._files().open(self._at(f"manifest/{version}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8"))  # noqa: SLF001
-        finally:
-            opened.close()
+        return self._manifest.read()
 
     def _swap(self, told: dict) -> None:
-        files, version = self._files(), told["version"]
-        draft = self._at(f"manifest/{version}.draft")
-        out = files.create(draft, True)
-        out.write(bytearray(json.dumps(told).encode()))
-        out.close()
-        if not files.rename(draft, self._at(f"manifest/{version}.json")):
-            raise RuntimeError(f"manifest {version} of {self.path} is there already: two writers")
-        if version > 2:
-            files.delete(self._at(f"manifest/{version - 2}.json"), False)
+        self._manifest.swap(told)
 
     # runs
 
@@ -114,7 +86,7 @@ class KeyedTable:
             level += 1
         self._swap({"version": told["version"] + 1, "applied": batch, "runs": runs, "gone": gone})
         for name in told["gone"]:
-            self._files().delete(self._at(f"runs/run={name}"), True)
+            self._manifest.delete(f"runs/run={name}")
 
     def read(self) -> DataFrame:
         """The table as of its newest manifest."""

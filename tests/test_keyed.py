@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fernweave.operators import graph, late, metrics
 from fernweave.sources import events
-from fernweave.streaming import graph_state, ingest, keyed, post_state, tables
+from fernweave.streaming import graph_state, ingest, keyed, manifest, post_state, tables
 
 ROWS = "source string, page_no int, position bigint, target string, followers int"
 
@@ -53,6 +53,79 @@ def test_a_batch_without_its_manifest_is_not_there(spark, tmp_path, monkeypatch)
     assert told(table.read()) == ["Row(k=1, v=5)", "Row(k=2, v=2)"]
 
 
+FACT = "k int, v string"
+
+
+def facts(spark, *rows):
+    return spark.createDataFrame(list(rows), FACT)
+
+
+def test_merged_batches_are_what_was_put(spark, tmp_path):
+    store, own = ingest.Store(spark, str(tmp_path), fan=3), []
+    assert store.get("t", FACT).count() == 0
+    most = 0
+    for batch in range(32):
+        rows = [(batch, f"{batch}-{i}") for i in range(batch % 4)]  # every fourth batch is empty
+        store.put(facts(spark, (0, "lost")), "t", batch)  # comes again before it is committed
+        store.put(facts(spark, *rows), "t", batch)
+        store.merge("t", FACT, batch)
+        own += [(k, v, batch) for k, v in rows]
+        merged, loose = store.folders("t")
+        most = max(most, len(merged) + len(loose))
+    assert sorted(map(tuple, store.get("t", FACT).collect())) == sorted(own)
+    for before in (0, 1, 9, 26, 31, 99):
+        assert sorted(map(tuple, store.get("t", FACT, before).collect())) == sorted(r for r in own if r[2] < before), before
+    # 32 batches: two of each level at most, and the loose ones
+    assert most <= 2 * 3 + 4 and {m["level"] for m in store.manifest("t").read()["merged"]} == {1, 3}
+    with pytest.raises(ValueError, match="merged before"):
+        store.put(facts(spark, (1, "x")), "t", 5)
+    with pytest.raises(ValueError):
+        ingest.Store(spark, str(tmp_path), fan=1)
+
+
+def test_many_batches_are_merged_at_once(spark, tmp_path):
+    store = ingest.Store(spark, str(tmp_path), fan=2)
+    for batch in range(9):
+        store.put(facts(spark, (batch, "x")), "t", batch)
+    store.merge("t", FACT, 9)
+    merged, loose = store.folders("t")
+    assert len(merged) == 1 and loose == [8]
+    assert sorted((r["k"], r["batch"]) for r in store.get("t", FACT).collect()) == [(b, b) for b in range(9)]
+
+
+def test_a_merge_without_its_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    store = ingest.Store(spark, str(tmp_path), fan=2)
+    for batch in range(4):
+        store.put(facts(spark, (batch, "x")), "t", batch)
+    read = lambda: sorted(r["k"] for r in store.get("t", FACT).collect())
+    monkeypatch.setattr(manifest.Manifest, "swap", lambda *_: (_ for _ in ()).throw(OSError("no room")))
+    with pytest.raises(OSError):
+        store.merge("t", FACT, 4)
+    monkeypatch.undo()
+    assert read() == [0, 1, 2, 3] and store.folders("t") == ([], [0, 1, 2, 3])
+    begun = store.get("t", FACT)
+    store.merge("t", FACT, 4)
+    # who began to read before the merge still finds the folders, and who reads now the merged ones
+    assert sorted(r["k"] for r in begun.collect()) == read() == [0, 1, 2, 3]
+    assert len(store.folders("t")[0]) == 1 and store.folders("t")[1] == []
+
+
+def test_a_stream_merges_what_it_has_committed(spark, tmp_path):
+    users = [{"__typename": "User", "rest_id": "1", "core": {"screen_name": "u1"}}]
+    tell = lambda i: json.dumps({"event_id": f"e{i}", "task_id": "t", "account_id": "a", "operation": "Following", "depth": 1, "tree_id": "tree-a", "payload": {"x": users}})
+    (tmp_path / "in").mkdir()
+    for i in range(6):
+        (tmp_path / "in" / f"{i}.txt").write_text(tell(i) + "\n" + tell(0) + "\n")
+    store, tasks_known = ingest.Store(spark, str(tmp_path), fan=2), spark.createDataFrame([("t",)], "task_id string")
+    ingest.start(events.from_files(spark, f"{tmp_path}/in", 1).select("value"), store, tasks_known).awaitTermination()
+    for table in ingest.STORED:
+        merged, loose = store.folders(table)
+        assert merged and loose[-1] == 5, table
+    assert store.get("listed", ingest.EDGE_ROWS).count() == 6
+    assert sorted((r["event_id"], r["batch"]) for r in store.ledger().collect()) == [(f"e{i}", i) for i in range(6)]
+    assert tables.edges(store).count() == 1
+
+
 def random_lists(rng, accounts=40, hot="7"):
     """Rows of lists, some on two pages; every third account follows one; some accounts have few followers."""
     followers = {str(i): rng.choice([None, 10, 900, 900, 900]) for i in range(accounts)}
