@@ -29,7 +29,7 @@ from fernweave.common import with_groups
 from fernweave.functions.payload import user_profile, walked
 from fernweave.operators.graph import MAX_DEPTH, Graph
 from fernweave.sources import events
-from fernweave.streaming.ingest import Store, stateful
+from fernweave.streaming.ingest import Store, delivered_once, stateful, task_ids
 from fernweave.streaming.keyed import KeyedTable
 
 #: Roles of rows: found on a list, names an account on its own list, its list was asked for.
@@ -43,8 +43,8 @@ _COLUMNS = [part.split(" ")[0] for part in CHANGES.split(", ")]
 
 def discoveries(messages: DataFrame, tasks: DataFrame) -> DataFrame:
     """(task_id, account_id, role, other, followers, following, and the columns of a place) of the Following pages among messages (value)."""
-    pages = events.decoded(messages.select("value")).filter(F.col("problem").isNull() & (F.col("operation") == "Following") & F.col("depth").isNotNull())
-    pages = pages.join(tasks.select("task_id"), "task_id", "left_semi")
+    pages = events.decoded(delivered_once(messages)).filter(F.col("problem").isNull() & (F.col("operation") == "Following") & F.col("depth").isNotNull())
+    pages = pages.join(task_ids(tasks), "task_id", "left_semi")
     place = F.struct("depth", F.coalesce("tree_id", F.lit("")).alias("tree"), F.col("source").alias("owner"), F.coalesce(F.col("requested_at").cast("string"), F.lit("")).alias("at"), F.col("event_id").alias("event"))
     pages = pages.select("task_id", F.col("account_id").alias("source"), "depth", "tree_id", "requested_at", "event_id", "payload").withColumn("place", place)
     none = F.lit(None)

@@ -28,6 +28,8 @@ TOPIC, DEAD_TOPIC, PARSER = "raw-pages", "raw-pages-dlq", "parser"
 DETAIL = 2000
 LEDGER = "group_id string, task_id string, event_id string, batch bigint"
 NEW = "__new"
+#: Tasks that a stream may know for them to meet its messages by a broadcast.
+MOST_TASKS = 1_000_000
 #: Bytes of a file that a merge writes, as Parquet.
 MERGED_FILE = 128 << 20
 #: How the keys of events are kept: on the executors' disks, with the changes of each batch in the checkpoint.
@@ -58,6 +60,18 @@ def reparse_group(name: str, run: str) -> str:
     return f"{name}-reparse-{run}"
 
 
+def task_ids(tasks: DataFrame) -> DataFrame:
+    """The ids of tasks, each once, broadcast: streams have no adaptive plans, and by a shuffle all messages of a task, payloads and all, would go to one task of Spark's."""
+    ids = tasks.select("task_id").distinct()
+    return F.broadcast(ids) if ids.limit(MOST_TASKS + 1).count() <= MOST_TASKS else ids
+
+
+def delivered_once(messages: DataFrame) -> DataFrame:
+    """messages (value) without those that came before, byte for byte: they say nothing new, and walking a page costs more than asking for its digest."""
+    digest = F.unhex(F.sha2(F.col("value").cast("binary"), 256))
+    return messages.select("value").withColumn("__digest", digest).dropDuplicates(["__digest"]).drop("__digest")
+
+
 def with_news(messages: DataFrame, tasks: DataFrame) -> DataFrame:
     """The stream of messages and, in rows of their own, the keys of events that it delivers for the first time (`__new`).
 
@@ -65,7 +79,7 @@ def with_news(messages: DataFrame, tasks: DataFrame) -> DataFrame:
     The state holds keys alone, no payloads; which delivery of a new key counts is settled within its batch.
     """
     rows = events.decoded(messages.select("value")).filter(F.col("problem").isNull())
-    keys = rows.join(tasks.select("task_id"), "task_id", "left_semi").select("task_id", "event_id").dropDuplicates()
+    keys = rows.join(task_ids(tasks), "task_id", "left_semi").select("task_id", "event_id").dropDuplicates()
     told = messages.withColumn(NEW, F.lit(None).cast("struct<task_id:string,event_id:string>"))
     return told.unionByName(keys.select(F.struct("task_id", "event_id").alias(NEW)), allowMissingColumns=True)
 
@@ -78,7 +92,7 @@ def split(messages: DataFrame, tasks: DataFrame, ledger: DataFrame, group: str,
     in news (task_id, event_id); without news, those that the group's ledger doesn't have. All of them are joined, not collected.
     """
     rows = events.decoded(messages)
-    known = tasks.select(F.col("task_id").alias("__task")).distinct()
+    known = task_ids(tasks).select(F.col("task_id").alias("__task"))
     rows = rows.join(known, F.col("task_id") == F.col("__task"), "left")
     gone = F.col("problem").isNull() & F.col("__task").isNull()
     detail = F.left(F.coalesce("problem", F.concat(F.lit("task "), F.col("task_id"), F.lit(" is gone"))), F.lit(DETAIL))

@@ -11,6 +11,8 @@ What is emitted are changes, upserted by key: posts that are new or were replace
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -21,12 +23,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from fernweave.operators import parse
 from fernweave.operators.metrics import TARGET_POSTS
 from fernweave.sources import events
-from fernweave.streaming.ingest import Store, columns, stateful
+from fernweave.streaming.ingest import Store, columns, delivered_once, stateful, task_ids
 from fernweave.streaming.keyed import KeyedTable
 
 COUNTS = ("reply_count", "retweet_count", "like_count", "quote_count", "bookmark_count", "view_count")
 _NUMBERS = ", ".join(f"{c} int" for c in COUNTS)
 PLACE = "at string, event string, ord long, item int"
+#: Posts of an account that are kept together in its state: each question to the state costs more than such a part.
+PART = 64
 #: What the sample needs of a post; posted in microseconds.
 SHORT = f"post_id string, is_qualifying boolean, posted bigint, {_NUMBERS}"
 POSTS = f"task_id string, account_id string, post_id string, kind string, is_qualifying boolean, text string, posted_at timestamp, {_NUMBERS}, conversation_id string, in_reply_to_tweet_id string, quoted_tweet_id string, retweeted_tweet_id string"
@@ -37,7 +41,7 @@ CHANGES = f"row string, {_KEPT}, {METRICS}"
 
 def own_mentions(messages: DataFrame, tasks: DataFrame) -> DataFrame:
     """Every mention of an account's own posts on the timeline pages among messages (value)."""
-    pages = events.decoded(messages.select("value")).filter(F.col("problem").isNull() & (F.col("operation") == "UserTweets")).join(tasks.select("task_id"), "task_id", "left_semi")
+    pages = events.decoded(delivered_once(messages)).filter(F.col("problem").isNull() & (F.col("operation") == "UserTweets")).join(task_ids(tasks), "task_id", "left_semi")
     keys = ["task_id", "account_id", "at", "event"]
     pages = pages.select("task_id", "account_id", F.coalesce(F.col("requested_at").cast("string"), F.lit("")).alias("at"), F.col("event_id").alias("event"), "payload")
     found = parse.own_posts(parse.mentions(pages, keys)).withColumns({"ord": F.col("o.ord"), "item": F.col("o.place"), "posted": F.unix_micros("posted_at")})
@@ -76,16 +80,33 @@ def metrics_of(sample: list[tuple], scanned: int) -> dict:
     return told | {"engagement_rate": sum(engaged[i] for i in seen) / views if views else None, "bookmark_rate": sum(bookmark[i] for i in seen) / views if views else None}
 
 
+def part_of(post_id: str, parts: int) -> int:
+    return zlib.crc32(post_id.encode()) % parts
+
+
 class Timelines(StatefulProcessor):
-    """The state of (task, account): its posts, its sample, their number."""
+    """The state of (task, account): its posts by parts of some PART, dealt by a hash of the id, its sample, the number of posts."""
 
     def __init__(self, target_posts: int = TARGET_POSTS) -> None:
         self.most = target_posts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.posts = handle.getMapState("posts", "post_id string", f"{PLACE}, {SHORT}")
-        self.sample = handle.getListState("sample", SHORT)
-        self.scanned = handle.getValueState("scanned", "n bigint")
+        self.account = handle.getValueState("account", "scanned bigint, parts int, sample string")
+        self.held = handle.getMapState("held", "part int", "posts string")
+
+    def _part(self, part: int) -> dict[str, list]:
+        found = self.held.getValue((part,))
+        return json.loads(found[0]) if found else {}
+
+    def _deal(self, parts: int) -> None:
+        """The posts into so many parts: as posts double each time, a post is dealt anew once or twice in the mean."""
+        every = [post for posts in self.held.values() for post in json.loads(posts[0]).items()]
+        dealt: dict[int, dict] = {}
+        for post_id, told in every:
+            dealt.setdefault(part_of(post_id, parts), {})[post_id] = told
+        self.held.clear()
+        for part, posts in dealt.items():
+            self.held.updateValue((part,), (json.dumps(posts),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:  # noqa: N802
         best: dict[str, tuple] = {}
@@ -93,33 +114,41 @@ class Timelines(StatefulProcessor):
             place = (row.at, row.event, row.ord, row.item)
             if row.post_id not in best or place < best[row.post_id][0]:
                 best[row.post_id] = (place, row)
-        scanned = self.scanned.get()[0] if self.scanned.exists() else 0
-        sample = [tuple(p) for p in self.sample.get()] if self.sample.exists() else []
+        before = self.account.get()
+        scanned, parts = before[:2] if before else (0, 1)
+        sample = [tuple(p) for p in json.loads(before[2])] if before else []
         full, held = len(sample) >= self.most, {p[0] for p in sample}
+        wanted: dict[int, list[str]] = {}
+        for post_id in best:
+            wanted.setdefault(part_of(post_id, parts), []).append(post_id)
         changed, anew = [], False
-        for post_id, (place, row) in best.items():
-            known = tuple(self.posts.getValue((post_id,)))[:4] if self.posts.containsKey((post_id,)) else None
-            if known is not None and known <= place:
-                continue
-            short = (post_id, row.is_qualifying, row.posted, *(getattr(row, c) for c in COUNTS))
-            self.posts.updateValue((post_id,), (*place, *short))
-            changed.append(row)
-            scanned += known is None
-            if post_id in held:
-                anew = anew or full
-                sample = [p for p in sample if p[0] != post_id]
-            if row.is_qualifying:
-                sample.append(short)
+        for part, ids in wanted.items():
+            posts, so_far = self._part(part) if before else {}, len(changed)
+            for post_id in ids:
+                place, row = best[post_id]
+                known = posts.get(post_id)
+                if known is not None and tuple(known[:4]) <= place:
+                    continue
+                short = (post_id, row.is_qualifying, row.posted, *(getattr(row, c) for c in COUNTS))
+                posts[post_id] = [*place, *short[1:]]
+                changed.append(row)
+                scanned += known is None
+                if post_id in held:
+                    anew = anew or full
+                    sample = [p for p in sample if p[0] != post_id]
+                if row.is_qualifying:
+                    sample.append(short)
+            if len(changed) > so_far:
+                self.held.updateValue((part,), (json.dumps(posts),))
         if not changed:
             return
         if anew:
-            sample = [p for p in (tuple(v)[4:] for v in self.posts.values()) if p[1]]
+            sample = [p for p in ((i, *v[4:]) for posts in self.held.values() for i, v in json.loads(posts[0]).items()) if p[1]]
         sample = sorted(sample, key=newest_first)[: self.most]
-        self.scanned.update((scanned,))
-        if sample:
-            self.sample.put(sample)
-        elif held:
-            self.sample.clear()
+        if scanned > 2 * PART * parts:
+            parts = scanned // PART
+            self._deal(parts)
+        self.account.update((scanned, parts, json.dumps(sample)))
         empty = dict.fromkeys(columns(CHANGES)) | {"task_id": key[0], "account_id": key[1]}
         for row in changed:
             yield Row(**(empty | {c: getattr(row, c) for c in columns(_KEPT)} | {"row": "post"}))
@@ -133,8 +162,8 @@ class TimelineTables:
     """The stored posts and metrics of a stream."""
 
     def __init__(self, store: Store) -> None:
-        self.posts = KeyedTable(store.spark, f"{store.path}/timeline/posts", _KEPT, ["task_id", "account_id", "post_id"], columns(PLACE), "first")
-        self.metrics = KeyedTable(store.spark, f"{store.path}/timeline/metrics", f"task_id string, account_id string, {METRICS}", ["task_id", "account_id"])
+        self.posts = KeyedTable(store.spark, f"{store.path}/timelines/posts", _KEPT, ["task_id", "account_id", "post_id"], columns(PLACE), "first")
+        self.metrics = KeyedTable(store.spark, f"{store.path}/timelines/metrics", f"task_id string, account_id string, {METRICS}", ["task_id", "account_id"])
 
     def apply(self) -> Callable[[DataFrame, int], None]:
         def run(changes: DataFrame, batch: int) -> None:
@@ -163,6 +192,6 @@ def start(messages: DataFrame, store: Store, tasks: DataFrame, once: bool = True
     """The stream of messages (value) into the store's posts and metrics."""
     rows = own_mentions(messages, tasks).groupBy("task_id", "account_id")
     changes = rows.transformWithState(Timelines(target_posts), CHANGES, "Append", "None")
-    writer = changes.writeStream.foreachBatch(TimelineTables(store).apply()).outputMode("append").option("checkpointLocation", f"{store.path}/timeline/checkpoint")
+    writer = changes.writeStream.foreachBatch(TimelineTables(store).apply()).outputMode("append").option("checkpointLocation", f"{store.path}/timelines/checkpoint")
     with stateful(store.spark):
         return (writer.trigger(availableNow=True) if once else writer).start()
