@@ -244,6 +244,6 @@ def captured_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "captured")
     pages = _pages_of_customers(spark, sf_dir)
     named = pages.select(F.concat(F.lit('{"page":"'), "page", F.lit('","body":'), "payload", F.lit("}")).alias("value"))
-    named.repartition(named.count()).write.text(path)
+    events.write_captured(named, path)
     found = events.captured(spark, path).withColumn("page", F.get_json_object("payload", "$.page")).filter("page IS NOT NULL")
     return parse.users(found, ["file", "page"]).groupBy(F.col("page").alias("nation")).agg(F.count(F.lit(1)).alias("n"))

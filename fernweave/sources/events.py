@@ -52,6 +52,11 @@ def from_files(spark: SparkSession, path: str, files_per_batch: int = 100) -> Da
     return lines.select("value", F.col("_metadata.file_name").alias("topic"))
 
 
+def write_captured(payloads: DataFrame, path: str) -> None:
+    """payloads (value), each into a file of its own, as `captured` reads them: dealing rows into as many partitions puts two into some of them."""
+    payloads.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def captured(spark: SparkSession, path: str) -> DataFrame:
     """(file, payload) of captured payload files, each one JSON document."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("payload"))
