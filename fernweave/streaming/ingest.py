@@ -218,16 +218,25 @@ def apply_batch(store: Store, tasks: DataFrame) -> Callable[[DataFrame, int], No
     """The function for foreachBatch, of messages with_news; of plain messages it asks the ledger, which it reads whole."""
 
     def run(rows: DataFrame, batch: int) -> None:
-        rows = rows.persist()
+        kept: list[DataFrame] = []
+
+        def held(df: DataFrame) -> DataFrame:
+            kept.append(df.persist())
+            return kept[-1]
+
+        rows = held(rows)
         try:
             if NEW in rows.columns:
                 news = rows.filter(F.col(NEW).isNotNull()).select(f"{NEW}.*")
                 fresh, _, dead = split(rows.filter(F.col(NEW).isNull()).drop(NEW), tasks, news, store.group, news)
             else:
                 fresh, _, dead = split(rows, tasks, store.ledger(batch), store.group)
+            # five tables follow from the fresh events and two from their users: neither is worked out for each of them
+            fresh = held(fresh)
             following, tweets, unroutable = routed(fresh)
             keys = ["task_id", "tree_id", "source", "depth", "event_id", "at"]
             found = parse.users(following.withColumns({"source": F.col("account_id"), "at": F.col("requested_at")}).select(*keys, "payload"), keys)
+            found = held(found.select("tree_id", "source", "depth", *columns(PROFILES)))
             listed = found.filter(F.col("account_id") != F.col("source"))
             store.put(listed.select("task_id", "tree_id", "source", "depth", "event_id", "position", F.col("account_id").alias("target"), F.col("followers_count").alias("followers")), "listed", batch)
             store.put(found.select(*columns(PROFILES)), "profiles", batch)
@@ -238,7 +247,8 @@ def apply_batch(store: Store, tasks: DataFrame) -> Callable[[DataFrame, int], No
             store.put(fresh.select(F.lit(store.group).alias("group_id"), "task_id", "event_id"), "ledger", batch)
             store.merge_all(batch)
         finally:
-            rows.unpersist()
+            for df in reversed(kept):
+                df.unpersist()
 
     return run
 
