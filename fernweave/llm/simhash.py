@@ -374,7 +374,9 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 #: in DIFFER bits at most of GROUPS groups of 64. At a similarity s, acos(2s / (1 + s)) / pi of the bits differ in the
 #: mean, 39 of 256 at 0.8, and up to 48 where sets have five shingles: DIFFER is so far above that it loses one such pair
 #: in 10^7 at most, and one larger pair in 10^11.
-SHINGLE, GROUPS, DIFFER, SIMILARITY = 5, 4, 84, 0.8
+#: The pigeonhole search finds those within TAU bits of the first group; pairs beyond, which no TAU that can be searched
+#: holds, come from the prefixes, so that none is lost.
+SHINGLE, GROUPS, DIFFER, SIMILARITY, TAU = 5, 4, 84, 0.8, 3
 #: Documents that are counted to tell which shingles are common, and how many common ones are told apart.
 COUNTED, MOST_COMMON = 4000, 1 << 18
 #: Documents, and shingles in the mean, of a block of a candidate group.
@@ -579,10 +581,22 @@ def prefix_links(nodes: DataFrame, limits: Limits, block: int = BLOCK) -> DataFr
     return together.sortWithinPartitions("key", "pair").mapInArrow(run, "u long, v long")
 
 
+def near_links(prints: DataFrame, limits: Limits) -> DataFrame:
+    """(u, v): links by the pigeonhole search, between the nodes of prints (node, f0, f1, ..., size), those of equal fingerprints included."""
+    columns = [c for c in prints.columns if c != "node"]
+    named = prints.select("node", node_name(columns).alias("print"))
+    least = cut(named.groupBy("print").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("copies")))
+    of = lambda end: least.select(F.col("print").alias(end), F.col("least").alias(f"{end}_node")).hint("merge")
+    apart = links(cut(prints.select(*columns).distinct()), limits).join(of("u"), "u").join(of("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    alike = with_groups(named, least.filter("copies > 1"), "print", "copies", named.count()).filter(F.col("node") != F.col("least"))
+    return apart.unionByName(alike.select(F.col("node").alias("u"), F.col("least").alias("v")))
+
+
 @any_columns("doc_id", "text")
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, groups: int = GROUPS, differ: int = DIFFER, similarity: float = SIMILARITY) -> DataFrame:
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, groups: int = GROUPS, differ: int = DIFFER, similarity: float = SIMILARITY, tau: int = TAU) -> DataFrame:
     """The rows of docs that stay, with the columns of docs: of each component of near copies the row with the least id.
 
+    Candidates come from the fingerprints' pigeonhole search and, exactly for the rest, from shared prefixes; all are verified.
     Null ids come last; equal ids of a component are told apart by a hash of the whole row, and identical rows, which
     are equals in every column, count as one until one of them is taken. Texts are read four times, once only a sample,
     the last two times only those of candidates and of rows that stay; they are shuffled only if over MOST_KEYS rows are
@@ -593,7 +607,9 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     marked = docs.withColumn("__key", key)
     of_text = marked.select("__key", F.col(doc_id).alias("__id"), F.col(text).alias("__t"))
     prints = cut(signatures(of_text, "__t", shingle, groups, similarity).withColumn("node", F.monotonically_increasing_id()))
-    roots = components(prefix_links(prints.drop("__key", "__id"), Limits(64, differ, similarity))).withColumnRenamed("node", "of")
+    near = near_links(prints.drop("__key", "__id", "prefix"), Limits(tau, differ, similarity))
+    rest = prefix_links(prints.drop("__key", "__id"), Limits(64, differ, similarity))
+    roots = components(near.unionByName(rest)).withColumnRenamed("node", "of")
     # rows that are equal in all columns are always linked, so those are among the candidates too
     found = prints.select("__key", "__id", "size", "node").join(roots.hint("merge"), F.col("node") == F.col("of"))
     found = cut(found.groupBy("__key").agg(F.first("root").alias("root"), F.min("__id").alias("__id"), F.first("size").alias("size"), F.count(F.lit(1)).alias("equals")))

@@ -67,3 +67,23 @@ def test_query_keeps_every_row(spark, name):
         assert set(found) <= set(anchors) and all(n <= anchors[a] for a, n in found.items()) and all(1 <= n <= 10 for n in pairs.values())
     else:
         assert rows.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_near_copies_are_found_by_fingerprints_and_the_rest_by_prefixes(spark):
+    """Nodes within three bits are linked by the pigeonhole search alone, equal fingerprints too; texts of sets alike at 0.8 are not all."""
+    from fernweave.llm import simhash
+    from fernweave.llm.components import components
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "node bigint, t string")
+    prints = simhash.signatures(docs, "t", simhash.SHINGLE, simhash.GROUPS, simhash.SIMILARITY)
+    limits = simhash.Limits(simhash.TAU, simhash.DIFFER, simhash.SIMILARITY)
+    roots = {}
+    for r in components(simhash.near_links(prints.drop("prefix"), limits)).collect():
+        roots.setdefault(r["root"], set()).add(r["node"])
+    bits = {r["node"]: r["f0"] for r in prints.collect()}
+    near = (bits[0] ^ bits[2]) & (2**64 - 1)
+    assert list(roots.values()) == [{0, 1, 2} if near.bit_count() <= simhash.TAU else {0, 1}]
+    rest = components(simhash.prefix_links(prints, simhash.Limits(64, simhash.DIFFER, simhash.SIMILARITY))).collect()
+    assert {r["node"] for r in rest} == {0, 1, 2}
