@@ -37,7 +37,9 @@ LONG = 256
 #: Cells of one padded matrix.
 CELLS = 2_000_000
 #: Characters of a chunk that a worker remembers, and bytes of all that it remembers; then it starts afresh.
-REMEMBERED_CHARS, REMEMBERED_BYTES = 40, 48_000_000
+REMEMBERED_CHARS, REMEMBERED_BYTES = 40, 24_000_000
+#: Bytes of text that are encoded at a time; their parts are Python strings, which take many times as much.
+SLICE = 1_000_000
 #: Bytes that a remembered chunk takes besides its characters and tokens: its string, its place and its row of arrays.
 OVERHEAD = 200
 NONE = np.int32(2**30)
@@ -334,7 +336,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             ids, offsets = bpe.encode(part.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "token_ids"])
@@ -363,6 +365,26 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "token_ids", p
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
+def both_ways(batches: Iterator[pa.RecordBatch], bpe: Bpe, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """round_trip of batches of doc_id and text; what it holds at a time is bounded by SLICE and REMEMBERED_BYTES."""
+    for part in slices(batches, "text", SLICE):
+        ids, offsets = bpe.encode(part.column(1).to_pylist())
+        data, ends = bpe.decode(ids, offsets)
+        raw, names = data.tobytes(), bpe.names
+        told = [",".join([names[i] for i in ids[a:b].tolist()]) for a, b in zip(offsets, offsets[1:], strict=False)]
+        columns = [
+            part.column(0),
+            pa.array(np.diff(offsets), pa.int64()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in told]),
+            pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]),
+        ]
+        named = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
+            named.append("token_ids")
+        yield pa.RecordBatch.from_arrays(columns, named)
+
+
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row (and token_ids): encoded, then decoded from the ids.
 
@@ -371,23 +393,7 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     path, pattern = default_files(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern)
-        for part in slices(batches, "text"):
-            ids, offsets = bpe.encode(part.column(1).to_pylist())
-            data, ends = bpe.decode(ids, offsets)
-            raw, names = data.tobytes(), bpe.names
-            told = [",".join([names[i] for i in ids[a:b].tolist()]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            columns = [
-                part.column(0),
-                pa.array(np.diff(offsets), pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in told]),
-                pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]),
-            ]
-            named = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
-                named.append("token_ids")
-            yield pa.RecordBatch.from_arrays(columns, named)
+        return both_ways(batches, load(path, pattern), with_ids)
 
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = kept.schema["doc_id"].dataType.simpleString()

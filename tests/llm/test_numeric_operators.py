@@ -6,9 +6,11 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,24 @@ def test_bpe_memory_is_bounded(monkeypatch, tiktoken_encoding):
         assert len(own.known) * bpe.OVERHEAD <= max(own.held, 1)
 
 
+def test_bpe_holds_a_small_part_of_a_batch(tiktoken_encoding):
+    """Workers of the pipeline's last stage took some 300 MB each, which with the heap was more than an executor has."""
+    import public_tokenizers as P
+
+    own = bpe.Bpe(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**3)}" for _ in range(500)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        ids = [x for part in bpe.both_ways(iter([batch]), own, True) for x in part.column(4).to_pylist()[:1]]
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert ids[0] == tiktoken_encoding.encode_ordinary(texts[0])
+    assert most < 60
+
+
 def test_bpe_encode_then_decode(spark):
     frame = docs(spark, (1, "über uns", "s"), (None, "x", "s"), (2, None, "s"))
     back = bpe.decode(bpe.encode(frame))
