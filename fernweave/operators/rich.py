@@ -97,9 +97,16 @@ def users(pages: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _users(objects: DataFrame, keys: list[str]) -> DataFrame:
-    rows = objects.filter("kind = 'User'").withColumn("user", user_record(F.col("obj")))
-    rows = rows.filter(F.col("user.username").isNotNull() & (F.col("user.username") != "") & F.col("user.id_str").isNotNull())
-    return _last_of(rows.withColumn("id_str", F.col("user.id_str")), [*keys, "id_str"]).select(*keys, "id_str", "user")
+    rows = _last_users(objects, keys)
+    return rows.select(*keys, "id_str", user_record(F.col("obj")).alias("user"))
+
+
+def _last_users(objects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id_str, obj): users as they are on a page, which are read into records where they are asked for."""
+    user = user_record(F.col("obj"))
+    rows = objects.filter("kind = 'User'").select(*keys, "ord", "obj", user["id_str"].alias("id_str"), user["username"].alias("__name"))
+    rows = rows.filter((F.col("__name") != "") & F.col("id_str").isNotNull()).drop("__name")
+    return _last_of(rows, [*keys, "id_str"]).select(*keys, "id_str", "obj")
 
 
 def _referenced(v: Column, kind: str) -> Column:
@@ -131,19 +138,34 @@ def video(m: Column) -> Column:
 def card(v: Column) -> Column:
     """A card as one struct whose type says which of its fields count; null for no card or one of an unknown kind."""
     name = F.coalesce(at(v, "card.legacy.name"), at(v, "legacy.card.legacy.name"))
-    values = F.filter(_either_list(v, "card.legacy.binding_values"), lambda x: at(x, "value.type") != "IMAGE_COLOR")
-    first = lambda key: at(F.get(F.filter(values, lambda x: at(x, "key") == key), F.lit(0)), "value.string_value")
-    texts = F.transform(F.filter(values, lambda x: (at(x, "key") == "title") | at(x, "key").endswith("_alt_text")), lambda x: at(x, "value.string_value"))
+    told = F.transform(_either_list(v, "card.legacy.binding_values"), lambda x: F.struct(at(x, "key").alias("key"), at(x, "value.type").alias("type"), at(x, "value.string_value").alias("text"), x.alias("v")))
+    given = F.struct(name.alias("name"), F.filter(told, lambda x: x["type"] != "IMAGE_COLOR").alias("values"))
+    return F.when(name.isNotNull(), _let(given, lambda g: _card(g["name"], g["values"])))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once for each row, even where body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _first(values: Column, key: Column | str) -> Column:
+    """The first value of a key, of values (key, type, text, v)."""
+    return F.get(F.filter(values, lambda x: x["key"] == key), F.lit(0))
+
+
+def _card(name: Column, values: Column) -> Column:
+    first = lambda key: _first(values, key)["text"]
+    texts = F.transform(F.filter(values, lambda x: (x["key"] == "title") | x["key"].endswith("_alt_text")), lambda x: x["text"])
     longest = F.aggregate(texts, F.lit(""), lambda a, b: F.when(F.char_length(b) > F.char_length(a), b).otherwise(a))
-    images = F.transform(F.filter(values, lambda x: at(x, "value.type") == "IMAGE"), lambda x: F.struct(at(x, "value.image_value.height", "int").alias("h"), at(x, "value.image_value.url").alias("u")))
+    images = F.transform(F.filter(values, lambda x: x["type"] == "IMAGE"), lambda x: F.struct(at(x["v"], "value.image_value.height", "int").alias("h"), at(x["v"], "value.image_value.url").alias("u")))
     tallest = F.aggregate(images, F.lit(None).cast("struct<h:int,u:string>"), lambda a, b: F.when(a.isNull() | (b["h"] > a["h"]), b).otherwise(a))["u"]
     unified = F.try_parse_json(first("unified_card"))
     entity = F.get(F.map_values(at(unified, "media_entities", "map<string,variant>")), F.lit(0))
-    options = F.transform(F.sequence(F.lit(1), F.lit(POLL_OPTIONS)), lambda i: F.struct(_value(values, F.concat(F.lit("choice"), i.cast("string"), F.lit("_label"))).alias("label"), _value(values, F.concat(F.lit("choice"), i.cast("string"), F.lit("_count"))).try_cast("bigint").alias("votesCount")))
-    gap = F.array_position(F.transform(options, lambda o: o["label"].isNull() | o["votesCount"].isNull()), F.lit(True))
-    kept = F.slice(options, F.lit(1), F.when(gap > 0, (gap - 1).cast("int")).otherwise(F.lit(POLL_OPTIONS)))
-    final = _or(at(F.get(F.filter(values, lambda x: at(x, "key") == "counts_are_final"), F.lit(0)), "value.boolean_value", "boolean"), False)
-    recipient = at(F.get(F.filter(values, lambda x: (at(x, "key") == "recipient") & (at(x, "value.type") == "USER")), F.lit(0)), "value.user_value.id_str")
+    options = F.transform(F.sequence(F.lit(1), F.lit(POLL_OPTIONS)), lambda i: F.struct(first(F.concat(F.lit("choice"), i.cast("string"), F.lit("_label"))).alias("label"), first(F.concat(F.lit("choice"), i.cast("string"), F.lit("_count"))).try_cast("bigint").alias("votesCount")))
+    gap = lambda found: F.array_position(F.transform(found, lambda o: o["label"].isNull() | o["votesCount"].isNull()), F.lit(True))
+    kept = _let(options, lambda found: F.slice(found, F.lit(1), F.when(gap(found) > 0, (gap(found) - 1).cast("int")).otherwise(F.lit(POLL_OPTIONS))))
+    final = _or(at(_first(values, "counts_are_final")["v"], "value.boolean_value", "boolean"), False)
+    recipient = at(F.get(F.filter(values, lambda x: (x["key"] == "recipient") & (x["type"] == "USER")), F.lit(0))["v"], "value.user_value.id_str")
 
     def shaped(kind: str, **given: Column) -> Column:
         kinds = {c: "string" for c in ("title", "description", "vanityUrl", "url", "photoUrl", "cta", "recipientId")} | {"options": "array<struct<label:string,votesCount:bigint>>", "finished": "boolean", "videoUrl": "string"}
@@ -163,10 +185,6 @@ def card(v: Column) -> Column:
     )
 
 
-def _value(values: Column, key: Column) -> Column:
-    return at(F.get(F.filter(values, lambda x: at(x, "key") == key), F.lit(0)), "value.string_value")
-
-
 def _edit_control(v: Column) -> Column:
     """The entries of edit_control, those of its first version below them; as a map."""
     own = F.coalesce(at(v, "edit_control", "map<string,variant>"), at(v, "legacy.edit_control", "map<string,variant>"))
@@ -182,7 +200,8 @@ def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
     Of several mentions the last counts, and one with limited visibility before one without. Posts whose author is
     nowhere on the page are left out. A repost's text that was cut off is made whole from its original.
 
-    Pages are walked once; users and posts are read into records once each, written, and looked up by page and id.
+    Pages are walked once; users and posts are written as they are on the page and looked up by page and id. Their fields
+    are read after that, so a field that nobody asks for costs nothing.
     """
     objects = cut(walked(pages.select(*keys, "payload"), ["Tweet", "TweetWithVisibilityResults", "User"]))
     found = objects.filter("kind <> 'User'")
@@ -192,16 +211,17 @@ def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
     rows = _last_of(rows.filter(F.col("id_str").isNotNull()), [*keys, "id_str"]).drop("ord")
     v = F.col("v")
     rows = rows.withColumns({"author": field(v, "user_id_str"), "retweetedId": _referenced(v, "retweeted"), "quotedId": _referenced(v, "quoted"), "reply_user": field(v, "in_reply_to_user_id_str")})
-    known = cut(_users(objects, keys))
-    rows = rows.join(known.withColumnRenamed("id_str", "author").withColumnRenamed("user", "__mapped"), [*keys, "author"], "left")
+    known = cut(_last_users(objects, keys))
+    rows = rows.join(known.withColumnRenamed("id_str", "author").withColumnRenamed("obj", "__mapped"), [*keys, "author"], "left")
     inner = lambda p: F.when(_or(at(v, f"{p}.__typename"), "") != "UserUnavailable", at(v, p, "variant"))
     embedded = F.coalesce(inner("core.user_results.result"), inner("author_results.result"))
-    rows = rows.withColumn("user", F.coalesce("__mapped", F.when(embedded.isNotNull(), user_record(embedded)))).drop("__mapped").filter(F.col("user.username").isNotNull())
+    rows = rows.withColumn("__user", F.coalesce("__mapped", embedded)).drop("__mapped")
+    rows = rows.filter(user_record(F.col("__user"))["username"].isNotNull())
     mentions = F.transform(_either_list(v, "entities.user_mentions"), lambda m: F.struct(at(m, "id_str").try_cast("bigint").alias("id"), at(m, "id_str").alias("id_str"), at(m, "screen_name").alias("username"), at(m, "name").alias("displayname")))
-    rows = rows.withColumn("mentionedUsers", mentions)
     short = lambda u: F.struct(u["id"].alias("id"), u["id_str"].alias("id_str"), u["username"].alias("username"), u["displayname"].alias("displayname"))
-    repliers = known.select(*keys, F.col("id_str").alias("reply_user"), short(F.col("user")).alias("__reply"))
-    rows = rows.join(repliers, [*keys, "reply_user"], "left")
+    repliers = known.select(*keys, F.col("id_str").alias("reply_user"), F.col("obj").alias("__replier"))
+    rows = cut(rows.join(repliers, [*keys, "reply_user"], "left"))
+    rows = rows.withColumns({"user": user_record(F.col("__user")), "__reply": F.when(F.col("__replier").isNotNull(), short(user_record(F.col("__replier")))), "mentionedUsers": mentions})
     mentioned = F.get(F.filter("mentionedUsers", lambda m: m["id_str"] == F.col("reply_user")), F.lit(0))
     note = F.coalesce(at(v, "note_tweet.note_tweet_results.result.text"), at(v, "legacy.note_tweet.note_tweet_results.result.text"))
     texts = lambda path: F.transform(_either_list(v, path), lambda x: at(x, "text"))
@@ -254,7 +274,6 @@ def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
         _edit_control(v).alias("editControl"),
         F.coalesce(at(v, "voice_info", "variant"), at(v, "legacy.voice_info", "variant")).alias("voiceInfo"),
     ).filter(F.col("date").isNotNull())
-    told = cut(told)
     originals = told.select(*keys, F.col("id_str").alias("retweetedId"), F.col("user.username").alias("__name"), F.col("rawContent").alias("__text"), F.col("viewCount").alias("__views"))
     told = told.join(originals, [*keys, "retweetedId"], "left")
     whole = F.concat(F.lit("RT @"), "__name", F.lit(": "), "__text")
