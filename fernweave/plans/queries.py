@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernweave.common import cut
+from fernweave.common import cut, stored
 from fernweave.functions import rules
 from fernweave.operators import admission, chains, feeds, graph, layers, listing, metrics, outreach, parse, pool, records, tasks
 from fernweave.plans import export
@@ -289,11 +289,11 @@ TOP = "SELECT account_id FROM {voted} ORDER BY network_indegree DESC, account_id
 
 def votes_model(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The bipartite graph of who buys from whom: voters and candidates, with in-degrees and profiles."""
-    edges = frame(spark, sf_dir, "votes")
+    edges = stored(frame(spark, sf_dir, "votes"), "votes")  # a join and a distinct, which all that follows would do again
     degree = graph.indegree(edges).withColumnRenamed("n", "network_indegree").withColumn("task_id", F.lit(TASK))
     voters = edges.select("task_id", F.col("source_account_id").alias("account_id")).distinct().withColumn("network_indegree", F.lit(0).cast("bigint"))
     number = F.substring("account_id", 2, 20).cast("bigint")
-    everyone = degree.select("task_id", "account_id", "network_indegree").unionByName(voters.select("task_id", "account_id", "network_indegree"))
+    everyone = stored(degree.select("task_id", "account_id", "network_indegree").unionByName(voters.select("task_id", "account_id", "network_indegree")), "nodes")
     profiles = everyone.select("task_id", "account_id", F.concat(F.lit("u"), "account_id").alias("username"), (number * 37 % 1000).cast("int").alias("followers_count"), (number % 3 != 0).alias("can_dm"), F.when(number % 5 != 0, number % 7 == 0).alias("protected"))
     return {"follow_edges": edges, "account_nodes": everyone, "account_profiles": profiles}
 
