@@ -8,12 +8,14 @@ read with variant paths in the JVM.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Timeline instructions whose entries are the timeline's own, and where each keeps them.
 INSTRUCTIONS = {"TimelineAddEntries": "entries", "TimelinePinEntry": "entry"}
@@ -26,40 +28,42 @@ def _objects(value: Any) -> Iterator[dict[str, Any]]:
     open_ = [value]
     while open_:
         now = open_.pop()
-        if isinstance(now, dict):
+        if type(now) is dict:
             yield now
-            open_ += reversed(list(now.values()))
-        elif isinstance(now, list):
-            open_ += reversed(now)
+            open_ += [x for x in reversed(now.values()) if type(x) is dict or type(x) is list]
+        elif type(now) is list:
+            open_ += [x for x in reversed(now) if type(x) is dict or type(x) is list]
 
 
-def _found(payload: Any, types: frozenset[str]) -> Iterator[tuple[str, Any]]:
+def found(payload: Any, types: frozenset[str]) -> Iterator[tuple[str, Any]]:
     """(kind, object): objects of the wanted types by their type's name, entries of timelines, and cursors."""
+    entries, cursors = "entry" in types, "cursor" in types
     for obj in _objects(payload):
         name = obj.get("__typename")
         if isinstance(name, str) and name in types:
             yield name, obj
-        place = INSTRUCTIONS.get(obj.get("type")) if isinstance(obj.get("type"), str) else None
-        if place and "entry" in types:
+        place = INSTRUCTIONS.get(obj.get("type")) if entries and isinstance(obj.get("type"), str) else None
+        if place:
             held = obj.get(place)
             for entry in held if isinstance(held, list) else [held]:
                 if isinstance(entry, dict):
                     yield "entry", entry
-        if "cursor" in types:
+        if cursors:
             if isinstance(obj.get("cursorType"), str):
                 yield "cursor", {"type": obj["cursorType"], "value": obj.get("value")}
             if isinstance(obj.get("next_cursor"), str):
                 yield "cursor", {"type": "next_cursor", "value": obj["next_cursor"]}
 
 
-def walked(pages: DataFrame, types: list[str], payload: str = "payload") -> DataFrame:
-    """pages without the payload, once for each object: ord, kind, obj (VARIANT).
+def told_by(pages: DataFrame, fields: str, rows: Callable[[Any], Iterable[tuple]], payload: str = "payload") -> DataFrame:
+    """pages without the payload, once for each row (of the schema `fields`) that rows() tells of the parsed payload.
 
-    types: type names, and "entry" (of timelines) or "cursor". A payload that is null or no JSON gives no rows.
+    A payload that is null or no JSON counts as null.
     """
-    wanted = frozenset(types)
-    kept = pages.select(*[c for c in pages.columns if c not in (payload, "ord", "kind", "obj")], F.col(payload).cast("string").alias("__payload"))
-    schema = kept.drop("__payload").schema.add("ord", "long").add("kind", "string").add("obj", "string")
+    own = StructType.fromDDL(fields)
+    kept = pages.select(*[c for c in pages.columns if c != payload and c not in own.names], F.col(payload).cast("string").alias("__payload"))
+    schema = StructType([*kept.drop("__payload").schema, *own])
+    types = to_arrow_schema(own).types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,7 +75,7 @@ def walked(pages: DataFrame, types: list[str], payload: str = "payload") -> Data
                     loaded = json.loads(raw) if raw else None
                 except ValueError:
                     loaded = None
-                held += [(i, k, kind, json.dumps(obj)) for k, (kind, obj) in enumerate(_found(loaded, wanted))]
+                held += [(i, *row) for row in rows(loaded)]
                 size += len(raw or "")
                 if size > SLICE:
                     yield told(batch, at, held)
@@ -79,12 +83,26 @@ def walked(pages: DataFrame, types: list[str], payload: str = "payload") -> Data
             if held:
                 yield told(batch, at, held)
 
-    def told(batch: pa.RecordBatch, at: int, held: list[tuple[int, int, str, str]]) -> pa.RecordBatch:
-        place, ords, kinds, objs = zip(*held, strict=True) if held else ((), (), (), ())
+    def told(batch: pa.RecordBatch, at: int, held: list[tuple]) -> pa.RecordBatch:
+        place, *values = zip(*held, strict=True) if held else [()] * (len(types) + 1)
         rest = [c.take(pa.array(place, pa.int64())) for k, c in enumerate(batch.columns) if k != at]
-        return pa.RecordBatch.from_arrays([*rest, pa.array(ords, pa.int64()), pa.array(kinds, pa.string()), pa.array(objs, pa.string())], schema.names)
+        return pa.RecordBatch.from_arrays([*rest, *[pa.array(v, t) for v, t in zip(values, types, strict=True)]], schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
+def walked(pages: DataFrame, types: list[str], payload: str = "payload") -> DataFrame:
+    """pages without the payload, once for each object: ord, kind, obj (VARIANT).
+
+    types: type names, and "entry" (of timelines) or "cursor". A payload that is null or no JSON gives no rows.
+    """
+    wanted = frozenset(types)
+
+    def rows(loaded: Any) -> Iterator[tuple[int, str, str]]:
+        for k, (kind, obj) in enumerate(found(loaded, wanted)):
+            yield k, kind, json.dumps(obj)
 
-    return kept.mapInArrow(run, schema).withColumn("obj", F.parse_json("obj"))
+    return told_by(pages, "ord bigint, kind string, obj string", rows, payload).withColumn("obj", F.parse_json("obj"))
 
 
 # Reading variants

@@ -1,20 +1,22 @@
 """Full records of posts, users, trends, communities and profiles of captured pages, as nested columns.
 
 Objects come in two layouts, all fields at the top or most under `legacy`; a key at the top counts, even as null, and
-only what isn't there is looked up below. Posts refer to posts and users of the same page by id: authors and originals
-are joined, so a post is one flat row however deeply the page nested it; `retweetedId` and `quotedId` lead to the rows
+only what isn't there is looked up below. Posts refer to posts and users of the same page by id: a page is one row, where
+authors and originals are looked up, so a post is one flat row however deeply the page nested it; `retweetedId` and `quotedId` lead to the rows
 of the posts that it holds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Iterator
+from functools import cache, reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernweave.common import cut
-from fernweave.functions.payload import at, boolean, integer, moment, present, text, walked
+from fernweave.functions.payload import at, boolean, found, integer, moment, present, text, told_by, walked
 from fernweave.functions.rules import source_label, source_url
 
 SITE = "https://x.com"
@@ -24,6 +26,8 @@ POLL = r"^(?:\d+:)?poll(?:\d+choice_text_only|_choice_images)"
 BROADCAST, AUDIOSPACE, MESSAGE_ME = "745291183405076480:broadcast", "3691233323:audiospace", "2586390716:message_me"
 POLL_OPTIONS = 20
 _LAST = "ord"
+_POSTS = frozenset(["Tweet", "TweetWithVisibilityResults", "User"])
+_OF_ORIGINALS = ("created_at", "full_text", "note_tweet", "ext_views", "views")
 
 
 def field(v: Column, name: str, read=at) -> Column:
@@ -56,9 +60,13 @@ def _last_of(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), _LAST).alias("__last")).select(*keys, "__last.*")
 
 
+def _named(v: Column, name: str) -> Column:
+    return F.coalesce(at(v, name), at(v, f"legacy.{name}"), at(v, f"core.{name}"))
+
+
 def user_record(v: Column) -> Column:
     """A user, of either layout, with every field; a missing date of creation is the epoch."""
-    name = lambda n: F.coalesce(F.when(present(v, n), at(v, n)), F.when(present(v, f"legacy.{n}"), at(v, f"legacy.{n}")), at(v, f"core.{n}"))
+    name = lambda n: _named(v, n)
     count = lambda n, *paths: _or(F.coalesce(*[integer(v, p) for p in paths], field(v, n, integer)), 0)
     id_str = F.coalesce(text(v, "rest_id"), text(v, "id_str"), text(v, "legacy.id_str"))
     entities = F.when(F.schema_of_variant(at(v, "profile_bio.entities", "variant")).startswith("OBJECT"), "profile_bio.entities")
@@ -109,9 +117,13 @@ def _last_users(objects: DataFrame, keys: list[str]) -> DataFrame:
     return _last_of(rows, [*keys, "id_str"]).select(*keys, "id_str", "obj")
 
 
+def _paths(kind: str) -> list[str]:
+    """Where a post tells the id of another, the first place first."""
+    return [f"{kind}_status_id_str", f"{kind}_status_result.result.rest_id", f"{kind}_status_result.result.tweet.rest_id"]
+
+
 def _referenced(v: Column, kind: str) -> Column:
-    paths = [f"{kind}_status_id_str", f"{kind}_status_result.result.rest_id", f"{kind}_status_result.result.tweet.rest_id"]
-    return F.coalesce(*[F.coalesce(at(v, p), at(v, f"legacy.{p}")) for p in paths])
+    return F.coalesce(*[F.coalesce(at(v, p), at(v, f"legacy.{p}")) for p in _paths(kind)])
 
 
 def _views(v: Column) -> Column:
@@ -194,36 +206,110 @@ def _edit_control(v: Column) -> Column:
     return F.when(first.isNotNull(), F.map_concat(below, rest)).otherwise(own)
 
 
+# Posts of a page, which refer to posts and users of the same page by id
+
+
+def _inside(obj: Any, *path: str) -> Any:
+    for name in path:
+        obj = obj.get(name) if isinstance(obj, dict) else None
+    return obj
+
+
+def _key(*values: Any) -> str | None:
+    """The first value that there is, as the text by which objects are looked up."""
+    value = next((x for x in values if x is not None), None)
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def _of_either(v: dict[str, Any], name: str) -> str | None:
+    return _key(v[name] if name in v else _inside(v, "legacy", name))
+
+
+def _only(obj: dict[str, Any], names: tuple[str, ...]) -> dict[str, Any]:
+    """obj with some of its fields, of either layout."""
+    parts = {part: {n: obj[part][n] for n in names if n in obj[part]} for part in ("legacy", "core") if isinstance(obj.get(part), dict)}
+    return parts | {n: obj[n] for n in names if n in obj}
+
+
+def _name(user: Any) -> str | None:
+    return _key(*[_inside(user, *part, "screen_name") for part in ((), ("legacy",), ("core",))])
+
+
+def _page_posts(payload: Any) -> Iterator[tuple[str, str, str | None, str | None, str | None, list[str]]]:
+    """The posts of one page whose author is known: v, author, replier, original, its author, reposts, as JSON.
+
+    An author is the user of the page who has the id, else the one inside the post. Of originals and reposts only what counts.
+    """
+    users: dict[str, dict] = {}
+    posts: dict[str, tuple[bool, dict]] = {}
+    for kind, obj in found(payload, _POSTS):
+        if kind == "User":
+            key = _key(*[None if x == "" else x for x in (obj.get("rest_id"), obj.get("id_str"), _inside(obj, "legacy", "id_str"))])
+            if key is not None and _name(obj):
+                users[key] = obj
+            continue
+        limited = kind == "TweetWithVisibilityResults"
+        v = obj.get("tweet") if limited else obj
+        if isinstance(v, dict) and "legacy" in v:
+            key = _key(None if v.get("rest_id") == "" else v.get("rest_id"), _of_either(v, "id_str"))
+            if key is not None and (limited or key not in posts or not posts[key][0]):
+                posts[key] = limited, v
+    authors: dict[str, Any] = {}
+    for key, (_, v) in posts.items():
+        user = users.get(_of_either(v, "user_id_str"))
+        for holder in (_inside(v, "core", "user_results"), v.get("author_results")):
+            if user is None and isinstance(holder, dict) and "result" in holder and _key(_inside(holder, "result", "__typename")) != "UserUnavailable":
+                user = holder["result"] or {}
+        if _name(user) is not None:
+            authors[key] = user
+    originals = {key: _key(*[_inside(posts[key][1], *at, *path.split(".")) for path in _paths("retweeted") for at in ((), ("legacy",))]) for key in authors}
+    by: dict[str, list[str]] = {}
+    for key, original in originals.items():
+        if original in authors:
+            by.setdefault(original, []).append(json.dumps(_only(posts[key][1], ("created_at",))))
+
+    @cache
+    def told(key: str | None) -> tuple[str | None, str | None]:
+        return (json.dumps(_only(posts[key][1], _OF_ORIGINALS)), json.dumps(_only(authors[key], ("screen_name",)))) if key in authors else (None, None)
+
+    @cache
+    def replier(key: str | None) -> str | None:
+        return json.dumps(users[key]) if key in users else None
+
+    for key, author in authors.items():
+        v = posts[key][1]
+        yield json.dumps(v), json.dumps(author), replier(_of_either(v, "in_reply_to_user_id_str")), *told(originals[key]), by.get(key, [])
+
+
+def _content(v: Column) -> Column:
+    note = F.coalesce(at(v, "note_tweet.note_tweet_results.result.text"), at(v, "legacy.note_tweet.note_tweet_results.result.text"))
+    return _or(F.coalesce(note, field(v, "full_text")), "")
+
+
+def _date(v: Column) -> Column:
+    return moment(field(v, "created_at"))
+
+
 def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """The posts of a page: keys, id_str, every field, and is_item (not just the original of a repost on the same page).
+    """The posts of a page, which is a row of pages: keys, id_str, every field, and is_item (not just the original of a repost on the same page).
 
     Of several mentions the last counts, and one with limited visibility before one without. Posts whose author is
     nowhere on the page are left out. A repost's text that was cut off is made whole from its original.
 
-    Pages are walked once; users and posts are written as they are on the page and looked up by page and id. Their fields
-    are read after that, so a field that nobody asks for costs nothing.
+    Pages are walked once, and a post comes out with the users and posts of its page that it refers to: nothing is
+    shuffled. Fields are read after that, so a field that nobody asks for costs nothing.
     """
-    objects = cut(walked(pages.select(*keys, "payload"), ["Tweet", "TweetWithVisibilityResults", "User"]))
-    found = objects.filter("kind <> 'User'")
-    limited = F.col("kind") == "TweetWithVisibilityResults"
-    rows = found.select(*keys, F.struct(limited.alias("l"), F.col("ord").alias("o")).alias("ord"), F.when(limited, at(F.col("obj"), "tweet", "variant")).otherwise(F.col("obj")).alias("v"))
-    rows = rows.filter(present(F.col("v"), "legacy")).withColumn("id_str", F.coalesce(text(F.col("v"), "rest_id"), field(F.col("v"), "id_str")))
-    rows = _last_of(rows.filter(F.col("id_str").isNotNull()), [*keys, "id_str"]).drop("ord")
-    v = F.col("v")
-    rows = rows.withColumns({"author": field(v, "user_id_str"), "retweetedId": _referenced(v, "retweeted"), "quotedId": _referenced(v, "quoted"), "reply_user": field(v, "in_reply_to_user_id_str")})
-    known = cut(_last_users(objects, keys))
-    rows = rows.join(known.withColumnRenamed("id_str", "author").withColumnRenamed("obj", "__mapped"), [*keys, "author"], "left")
-    inner = lambda p: F.when(_or(at(v, f"{p}.__typename"), "") != "UserUnavailable", at(v, p, "variant"))
-    embedded = F.coalesce(inner("core.user_results.result"), inner("author_results.result"))
-    rows = rows.withColumn("__user", F.coalesce("__mapped", embedded)).drop("__mapped")
-    rows = rows.filter(user_record(F.col("__user"))["username"].isNotNull())
+    texts = ["v", "author", "replier", "original", "writer"]
+    told = told_by(pages.select(*keys, "payload"), ", ".join(f"{c} string" for c in texts) + ", reposts array<string>", _page_posts)
+    # by inline each text is parsed once, however many fields are read of it
+    rows = told.select(*keys, "reposts", F.inline(F.array(F.struct(*[F.parse_json(c).alias(f"__{c}") for c in texts]))))
+    v, original = F.col("__v"), F.col("__original")
+    rows = rows.filter(_date(v).isNotNull()).withColumn("id_str", F.coalesce(text(v, "rest_id"), field(v, "id_str")))
+    rows = rows.withColumns({"retweetedId": _referenced(v, "retweeted"), "quotedId": _referenced(v, "quoted"), "reply_user": field(v, "in_reply_to_user_id_str")})
     mentions = F.transform(_either_list(v, "entities.user_mentions"), lambda m: F.struct(at(m, "id_str").try_cast("bigint").alias("id"), at(m, "id_str").alias("id_str"), at(m, "screen_name").alias("username"), at(m, "name").alias("displayname")))
     short = lambda u: F.struct(u["id"].alias("id"), u["id_str"].alias("id_str"), u["username"].alias("username"), u["displayname"].alias("displayname"))
-    repliers = known.select(*keys, F.col("id_str").alias("reply_user"), F.col("obj").alias("__replier"))
-    rows = cut(rows.join(repliers, [*keys, "reply_user"], "left"))
-    rows = rows.withColumns({"user": user_record(F.col("__user")), "__reply": F.when(F.col("__replier").isNotNull(), short(user_record(F.col("__replier")))), "mentionedUsers": mentions})
+    rows = rows.withColumns({"user": user_record(F.col("__author")), "__reply": F.when(F.col("__replier").isNotNull(), short(user_record(F.col("__replier")))), "mentionedUsers": mentions})
     mentioned = F.get(F.filter("mentionedUsers", lambda m: m["id_str"] == F.col("reply_user")), F.lit(0))
-    note = F.coalesce(at(v, "note_tweet.note_tweet_results.result.text"), at(v, "legacy.note_tweet.note_tweet_results.result.text"))
     texts = lambda path: F.transform(_either_list(v, path), lambda x: at(x, "text"))
     conversation = F.coalesce(field(v, "conversation_id_str"), F.col("id_str"))
     number = lambda name: _or(field(v, name, integer), 0)
@@ -233,15 +319,18 @@ def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
     spot = F.when(point("coordinates", 0).isNotNull(), F.struct(point("coordinates", 0).alias("longitude"), point("coordinates", 1).alias("latitude"))).when(point("geo", 0).isNotNull(), F.struct(point("geo", 1).alias("longitude"), point("geo", 0).alias("latitude")))
     source = field(v, "source")
     reply_id = field(v, "in_reply_to_status_id_str")
-    told = rows.select(
+    whole = _date(original).isNotNull()
+    content = F.when(whole & _content(v).endswith("…"), F.concat(F.lit("RT @"), _named(F.col("__writer"), "screen_name"), F.lit(": "), _content(original))).otherwise(_content(v))
+    is_item = ~F.exists("reposts", lambda r: _date(F.parse_json(r)).isNotNull())
+    return rows.select(
         *keys,
         F.col("id_str").try_cast("bigint").alias("id"),
         "id_str",
         F.concat(F.lit(f"{SITE}/"), "user.username", F.lit("/status/"), "id_str").alias("url"),
-        moment(field(v, "created_at")).alias("date"),
+        _date(v).alias("date"),
         "user",
         _or(field(v, "lang"), "").alias("lang"),
-        _or(F.coalesce(note, field(v, "full_text")), "").alias("rawContent"),
+        content.alias("rawContent"),
         number("reply_count").alias("replyCount"),
         number("retweet_count").alias("retweetCount"),
         number("favorite_count").alias("likeCount"),
@@ -254,7 +343,7 @@ def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
         "mentionedUsers",
         F.concat(links(_either_list(v, "entities.urls")), links(_either_list(v, "note_tweet.note_tweet_results.result.entity_set.urls"))).alias("links"),
         media(v).alias("media"),
-        _views(v).alias("viewCount"),
+        F.coalesce(_views(v), F.when(whole, _views(original))).alias("viewCount"),
         "retweetedId",
         "quotedId",
         place.alias("place"),
@@ -273,14 +362,8 @@ def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
         field(v, "in_reply_to_screen_name").alias("inReplyToScreenName"),
         _edit_control(v).alias("editControl"),
         F.coalesce(at(v, "voice_info", "variant"), at(v, "legacy.voice_info", "variant")).alias("voiceInfo"),
-    ).filter(F.col("date").isNotNull())
-    originals = told.select(*keys, F.col("id_str").alias("retweetedId"), F.col("user.username").alias("__name"), F.col("rawContent").alias("__text"), F.col("viewCount").alias("__views"))
-    told = told.join(originals, [*keys, "retweetedId"], "left")
-    whole = F.concat(F.lit("RT @"), "__name", F.lit(": "), "__text")
-    cut_off = F.col("__name").isNotNull() & F.col("rawContent").endswith("…")
-    told = told.withColumns({"rawContent": F.when(cut_off, whole).otherwise(F.col("rawContent")), "viewCount": F.coalesce("viewCount", "__views")}).drop("__name", "__text", "__views")
-    reposted = told.filter(F.col("retweetedId").isNotNull()).select(*keys, F.col("retweetedId").alias("id_str"), F.lit(False).alias("is_item")).distinct()
-    return told.join(reposted, [*keys, "id_str"], "left").withColumn("is_item", F.coalesce("is_item", F.lit(True)))
+        is_item.alias("is_item"),
+    )
 
 
 def items(found: DataFrame) -> DataFrame:

@@ -82,6 +82,18 @@ def test_full_posts(spark):
     assert feeds.with_media(shown).count() == 0 and feeds.details(shown, "7").count() == 1
 
 
+def test_full_posts_of_a_page_without_a_key_and_without_a_shuffle(spark):
+    repost = tweet("6", author="9", retweeted_status_id_str="5", in_reply_to_user_id_str="9")
+    repost["legacy"]["full_text"] = "RT @u2: t…"
+    given = {"x": [user("2"), user("9"), tweet("5", author="2", more={"core": {}}), repost]}
+    rows = spark.createDataFrame([(None, json.dumps(given)), ("p", json.dumps(given))], "page string, payload string")
+    found = rich.tweets(rows, ["page"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    got = {(r["page"], r["id_str"]): (r["rawContent"], r["is_item"], r["inReplyToUser"] and r["inReplyToUser"]["username"]) for r in found.select("page", "id_str", "rawContent", "is_item", "inReplyToUser").collect()}
+    assert got == {(page, key): told for page in (None, "p") for key, told in (("5", ("t5", False, None)), ("6", ("RT @u2: t5", True, "u9")))}
+
+
 def test_cards(spark):
     value = lambda k, s: {"key": k, "value": {"type": "STRING", "string_value": s}}
     image = lambda h, u: {"key": "i" + u, "value": {"type": "IMAGE", "image_value": {"height": h, "url": u}}}
