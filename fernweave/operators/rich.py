@@ -28,6 +28,17 @@ POLL_OPTIONS = 20
 _LAST = "ord"
 _POSTS = frozenset(["Tweet", "TweetWithVisibilityResults", "User"])
 _OF_ORIGINALS = ("created_at", "full_text", "note_tweet", "ext_views", "views")
+# Fields of a post that its columns are read from; those of _ALWAYS are carried for all of them.
+_ALWAYS = ("rest_id", "id_str", "created_at")
+_FIELDS = {
+    "lang": ["lang"], "rawContent": ["note_tweet", "full_text"], "replyCount": ["reply_count"], "retweetCount": ["retweet_count"], "likeCount": ["favorite_count"], "quoteCount": ["quote_count"],
+    "bookmarkedCount": ["bookmark_count"], "conversationId": ["conversation_id_str"], "conversationIdStr": ["conversation_id_str"], "hashtags": ["entities"], "cashtags": ["entities"], "mentionedUsers": ["entities"],
+    "links": ["entities", "note_tweet"], "media": ["extended_entities"], "viewCount": ["ext_views", "views"], "retweetedId": ["retweeted_status_id_str", "retweeted_status_result"],
+    "quotedId": ["quoted_status_id_str", "quoted_status_result"], "place": ["place"], "coordinates": ["coordinates", "geo"], "inReplyToTweetId": ["in_reply_to_status_id_str"], "inReplyToTweetIdStr": ["in_reply_to_status_id_str"],
+    "inReplyToUser": ["in_reply_to_user_id_str", "entities"], "source": ["source"], "sourceUrl": ["source"], "sourceLabel": ["source"], "card": ["card"], "possibly_sensitive": ["possibly_sensitive"],
+    "isQuoteStatus": ["is_quote_status"], "isTranslatable": ["is_translatable"], "displayTextRange": ["display_text_range"], "inReplyToScreenName": ["in_reply_to_screen_name"], "editControl": ["edit_control"], "voiceInfo": ["voice_info"],
+    "id": [], "id_str": [], "url": [], "date": [], "user": [],
+}
 
 
 def field(v: Column, name: str, read=at) -> Column:
@@ -235,11 +246,12 @@ def _name(user: Any) -> str | None:
     return _key(*[_inside(user, *part, "screen_name") for part in ((), ("legacy",), ("core",))])
 
 
-def _page_posts(payload: Any) -> Iterator[tuple[str, str, str | None, str | None, str | None, list[str]]]:
+def _page_posts(payload: Any, columns: frozenset[str]) -> Iterator[tuple[str, str | None, str | None, str | None, str | None, list[str]]]:
     """The posts of one page whose author is known: v, author, replier, original, its author, reposts, as JSON.
 
-    An author is the user of the page who has the id, else the one inside the post. Of originals and reposts only what counts.
+    An author is the user of the page who has the id, else the one inside the post. Only what the columns are read from.
     """
+    names = (*_ALWAYS, *sorted({name for c in columns for name in _FIELDS[c]}))
     users: dict[str, dict] = {}
     posts: dict[str, tuple[bool, dict]] = {}
     for kind, obj in found(payload, _POSTS):
@@ -276,9 +288,11 @@ def _page_posts(payload: Any) -> Iterator[tuple[str, str, str | None, str | None
     def replier(key: str | None) -> str | None:
         return json.dumps(users[key]) if key in users else None
 
+    with_author, with_replier, with_original = (not columns.isdisjoint(of) for of in (("user", "url"), ("inReplyToUser",), ("rawContent", "viewCount")))
     for key, author in authors.items():
         v = posts[key][1]
-        yield json.dumps(v), json.dumps(author), replier(_of_either(v, "in_reply_to_user_id_str")), *told(originals[key]), by.get(key, [])
+        answered = _of_either(v, "in_reply_to_user_id_str") if with_replier else None
+        yield json.dumps(_only(v, names)), json.dumps(author) if with_author else None, replier(answered), *told(originals[key] if with_original else None), by.get(key, [])
 
 
 def _content(v: Column) -> Column:
@@ -290,17 +304,18 @@ def _date(v: Column) -> Column:
     return moment(field(v, "created_at"))
 
 
-def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """The posts of a page, which is a row of pages: keys, id_str, every field, and is_item (not just the original of a repost on the same page).
+def tweets(pages: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The posts of a page, which is a row of pages: keys, every column (or those of columns), and is_item (not just the original of a repost on the same page).
 
     Of several mentions the last counts, and one with limited visibility before one without. Posts whose author is
     nowhere on the page are left out. A repost's text that was cut off is made whole from its original.
 
     Pages are walked once, and a post comes out with the users and posts of its page that it refers to: nothing is
-    shuffled. Fields are read after that, so a field that nobody asks for costs nothing.
+    shuffled. It has the fields with it that its columns are read from, so a column that isn't among `columns` costs nothing.
     """
+    asked = frozenset(_FIELDS if columns is None else columns)
     texts = ["v", "author", "replier", "original", "writer"]
-    told = told_by(pages.select(*keys, "payload"), ", ".join(f"{c} string" for c in texts) + ", reposts array<string>", _page_posts)
+    told = told_by(pages.select(*keys, "payload"), ", ".join(f"{c} string" for c in texts) + ", reposts array<string>", lambda payload: _page_posts(payload, asked))
     # by inline each text is parsed once, however many fields are read of it
     rows = told.select(*keys, "reposts", F.inline(F.array(F.struct(*[F.parse_json(c).alias(f"__{c}") for c in texts]))))
     v, original = F.col("__v"), F.col("__original")
@@ -322,7 +337,7 @@ def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
     whole = _date(original).isNotNull()
     content = F.when(whole & _content(v).endswith("…"), F.concat(F.lit("RT @"), _named(F.col("__writer"), "screen_name"), F.lit(": "), _content(original))).otherwise(_content(v))
     is_item = ~F.exists("reposts", lambda r: _date(F.parse_json(r)).isNotNull())
-    return rows.select(
+    every = rows.select(
         *keys,
         F.col("id_str").try_cast("bigint").alias("id"),
         "id_str",
@@ -364,6 +379,7 @@ def tweets(pages: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(at(v, "voice_info", "variant"), at(v, "legacy.voice_info", "variant")).alias("voiceInfo"),
         is_item.alias("is_item"),
     )
+    return every if columns is None else every.select(*keys, *columns, "is_item")
 
 
 def items(found: DataFrame) -> DataFrame:

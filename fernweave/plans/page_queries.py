@@ -134,7 +134,8 @@ PARSED = f"""
     parsed=PARSED,
 )
 def rich_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = rich.tweets(posts(spark, sf_dir), KEYS)
+    columns = ["id_str", "url", "user", "date", "rawContent", "likeCount", "viewCount", "conversationIdStr", "hashtags", "links", "mentionedUsers", "retweetedId", "inReplyToTweetIdStr", "inReplyToUser", "sourceLabel", "sourceUrl", "place", "coordinates", "possibly_sensitive", "lang"]
+    p = rich.tweets(posts(spark, sf_dir), KEYS, columns)
     joined = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), "|")
     return p.select(
         "page", "id_str", "url", F.col("user.username").alias("username"), F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.col("rawContent").alias("content"), "is_item",
@@ -156,7 +157,7 @@ def rich_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rich_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     # written once: a filter pushed below the card would read it twice
-    p = cut(rich.items(rich.tweets(posts(spark, sf_dir), KEYS)).select("id_str", "card")).filter("card IS NOT NULL")
+    p = cut(rich.items(rich.tweets(posts(spark, sf_dir), KEYS, ["id_str", "card"])).select("id_str", "card")).filter("card IS NOT NULL")
     options = F.array_join(F.transform("card.options", lambda x: F.concat(x["label"], F.lit("="), x["votesCount"].cast("string"))), "|")
     return p.select("id_str", "card.type", "card.title", "card.description", "card.url", F.col("card.photoUrl").alias("photo"), F.col("card.recipientId").alias("recipient"), options.alias("options"), "card.finished")
 
@@ -168,14 +169,14 @@ def rich_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed=PARSED,
 )
 def rich_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = feeds.with_media(cut(rich.items(rich.tweets(posts(spark, sf_dir), KEYS)).select("id_str", "media.*")))
+    p = feeds.with_media(cut(rich.items(rich.tweets(posts(spark, sf_dir), KEYS, ["id_str", "media"])).select("id_str", "media.*")))
     rates = F.array_join(F.transform(F.flatten(F.transform("videos", lambda x: x["variants"])), lambda x: x["bitrate"].cast("string")), "|")
     one = lambda c: F.get(F.col(c), F.lit(0))
     return p.select("id_str", F.size("photos").alias("photos"), rates.alias("bitrates"), one("videos")["duration"].alias("duration"), one("videos")["views"].cast("bigint").alias("video_views"), one("animated")["videoUrl"].alias("animation"))
 
 
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = rich.items(rich.tweets(posts(spark, sf_dir), KEYS))
+    p = rich.items(rich.tweets(posts(spark, sf_dir), KEYS, ["id_str", "conversationIdStr", "inReplyToTweetIdStr"]))
     return p.select("id_str", F.col("conversationIdStr").alias("conversation_id"), F.col("inReplyToTweetIdStr").alias("in_reply_to_id"))
 
 

@@ -94,6 +94,14 @@ def test_full_posts_of_a_page_without_a_key_and_without_a_shuffle(spark):
     assert got == {(page, key): told for page in (None, "p") for key, told in (("5", ("t5", False, None)), ("6", ("RT @u2: t5", True, "u9")))}
 
 
+def test_only_the_columns_asked_for_are_carried():
+    given = {"x": [user("1"), tweet("5", entities={"hashtags": []}, lang="de")]}
+    v, author, *_ = next(rich._page_posts(given, frozenset(["lang"])))
+    assert json.loads(v)["legacy"] == {"lang": "de", "created_at": WHEN} and author is None
+    v, author, *_ = next(rich._page_posts(given, frozenset(["hashtags", "url"])))
+    assert "entities" in json.loads(v)["legacy"] and json.loads(author)["rest_id"] == "1"
+
+
 def test_cards(spark):
     value = lambda k, s: {"key": k, "value": {"type": "STRING", "string_value": s}}
     image = lambda h, u: {"key": "i" + u, "value": {"type": "IMAGE", "image_value": {"height": h, "url": u}}}
