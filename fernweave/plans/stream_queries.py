@@ -109,25 +109,37 @@ TOLD_POSTS = {"account_posts": MODEL["account_posts"].replace("ts AS posted_at",
 POSTS_A_PAGE = 40
 
 
-def timeline_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timeline pages of all accounts; later pages hold later versions of every third post, with other numbers."""
+#: Messages in a file of the timelines' stream, in the mean: one task reads a compressed file.
+FILE_MESSAGES = 50_000
+
+
+def timeline_messages(spark: SparkSession, sf_dir: str, files: int = 1, copies: int = 1) -> DataFrame:
+    """Timeline pages of all accounts, dealt by a hash into so many partitions, each page in so many copies; later pages hold later versions of every third post, with other numbers.
+
+    A copy is a page of its own until it has its partition, so copies of a page come in different ones, in no order. What is dealt are the columns of posts: their JSON is made where the page is.
+    """
     posts = frame(spark, sf_dir, "account_posts")
     number = F.col("post_id").cast("bigint")
-    when = lambda kind, value: F.when(F.col("kind") == kind, F.lit(value))
     versions = posts.withColumn("version", F.explode(F.when(number % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    told = F.struct(number.alias("n"), *[c for c in posts.columns if c not in ("task_id", "account_id", "is_qualifying")])
+    rows = versions.select("account_id", "version", F.floor(number / POSTS_A_PAGE / 50).alias("part"), F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"), told.alias("o"))
+    page = ["account_id", "version", "part", "copy"]
+    pages = rows.repartition(files, *page).groupBy(*page).agg(F.sort_array(F.collect_list("o")).alias("list"))
     later = F.col("version") * 1000
     counts = {"reply_count": "reply_count", "retweet_count": "retweet_count", "favorite_count": "like_count", "quote_count": "quote_count", "bookmark_count": "bookmark_count"}
-    legacy = F.struct(
-        F.col("text").alias("full_text"), F.date_format("posted_at", "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("created_at"), F.col("account_id").alias("user_id_str"), *[(F.col(c) + later).alias(name) for name, c in counts.items()],
-        when("retweet", "5").alias("retweeted_status_id_str"), when("reply", "6").alias("in_reply_to_status_id_str"), when("quote", True).alias("is_quote_status"),
-    )
-    result = F.struct(F.lit("Tweet").alias("__typename"), F.col("post_id").alias("rest_id"), legacy.alias("legacy"), F.struct((F.col("view_count") + later).cast("string").alias("count")).alias("views"))
-    item = F.struct(F.lit("TimelineTweet").alias("itemType"), F.struct(result.alias("result")).alias("tweet_results"))
-    entry = F.to_json(F.struct(F.struct(F.lit("TimelineTimelineItem").alias("entryType"), item.alias("itemContent")).alias("content")))
-    rows = versions.select("account_id", "version", F.floor(number / POSTS_A_PAGE / 50).alias("part"), number.alias("n"), entry.alias("o"))
-    pages = rows.groupBy("account_id", "version", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "o"))), lambda x: x["o"]), ",").alias("list"))
+
+    def entry(post):
+        when = lambda kind, value: F.when(post["kind"] == kind, F.lit(value))
+        legacy = F.struct(
+            post["text"].alias("full_text"), F.date_format(post["posted_at"], "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("created_at"), F.col("account_id").alias("user_id_str"), *[(post[c] + later).alias(name) for name, c in counts.items()],
+            when("retweet", "5").alias("retweeted_status_id_str"), when("reply", "6").alias("in_reply_to_status_id_str"), when("quote", True).alias("is_quote_status"),
+        )
+        result = F.struct(F.lit("Tweet").alias("__typename"), post["post_id"].alias("rest_id"), legacy.alias("legacy"), F.struct((post["view_count"] + later).cast("string").alias("count")).alias("views"))
+        item = F.struct(F.lit("TimelineTweet").alias("itemType"), F.struct(result.alias("result")).alias("tweet_results"))
+        return F.struct(F.struct(F.lit("TimelineTimelineItem").alias("entryType"), item.alias("itemContent")).alias("content"))
+
     name = F.concat_ws("-", F.lit("t"), "account_id", F.col("part").cast("string"), F.col("version").cast("string"))
-    payload = F.concat(F.lit('{"i":[{"type":"TimelineAddEntries","entries":['), "list", F.lit("]}]}"))
+    payload = F.to_json(F.struct(F.array(F.struct(F.lit("TimelineAddEntries").alias("type"), F.transform("list", entry).alias("entries"))).alias("i")))
     pages = pages.select(name.alias("event_id"), "account_id", F.lit(1).alias("depth"), F.lit(None).cast("string").alias("tree_id"), F.timestamp_seconds(F.col("part") + F.col("version") * 1_000_000 + 1_700_000_000).alias("requested_at"), payload.alias("payload"))
     return _event(pages, operation=F.lit("UserTweets"))
 
@@ -136,11 +148,13 @@ def timeline_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _timelines(spark: SparkSession, sf_dir: str) -> post_state.TimelineTables:
     """Posts and metrics of the timelines' pages, which come in no order, each twice, to a stream that is started twice."""
     path = _folder(spark, "timeline-stream")
-    pages = cut(timeline_messages(spark, sf_dir))
-    pages.unionByName(pages).withColumn("k", F.xxhash64("value", F.monotonically_increasing_id())).repartition(3, "k").drop("k").write.text(f"{path}/in")
+    # a post has its own page or shares one, and every third has two
+    files = max(3, 2 * frame(spark, sf_dir, "account_posts").count() * 4 // 3 // FILE_MESSAGES)
+    with ingest.settings(spark, ingest.TIDY):
+        timeline_messages(spark, sf_dir, files, copies=2).write.option("compression", "gzip").text(f"{path}/in")
     store, tasks = ingest.Store(spark, path), spark.createDataFrame([(TASK,)], "task_id string")
     for _ in range(2):
-        post_state.start(events.from_files(spark, f"{path}/in", files_per_batch=2), store, tasks).awaitTermination()
+        post_state.start(events.from_files(spark, f"{path}/in", files_per_batch=-(-2 * files // 3)), store, tasks).awaitTermination()
     return post_state.TimelineTables(store)
 
 

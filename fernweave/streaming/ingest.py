@@ -11,7 +11,7 @@ and a ledger of its own reads the stream from its beginning: that is how pages a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,15 +37,17 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: What a job shuffles goes when it ends; else it stays on the disks until the driver happens to collect its garbage.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 @contextmanager
-def stateful(spark: SparkSession) -> Iterator[None]:
-    """STATE holds for the stream that is started meanwhile."""
+def settings(spark: SparkSession, told: dict[str, str]) -> Iterator[None]:
+    """told holds for what is run meanwhile, and for a stream that is started meanwhile as long as it runs."""
     conf = spark.conf
-    before = {name: conf.get(name, None) for name in STATE}
+    before = {name: conf.get(name, None) for name in told}
     try:
-        for name, value in STATE.items():
+        for name, value in told.items():
             conf.set(name, value)
         yield
     finally:
@@ -53,6 +55,11 @@ def stateful(spark: SparkSession) -> Iterator[None]:
             conf.unset(name) if value is None else conf.set(name, value)
 
 
+def stateful(spark: SparkSession) -> AbstractContextManager[None]:
+    """STATE and TIDY hold for the stream that is started meanwhile."""
+    return settings(spark, STATE | TIDY)
+
+
 def reparse_group(name: str, run: str) -> str:
     """The name of a group that reads everything again beside the one that is running."""
     if not run or not all(c.isalnum() or c in "-_" for c in run):
