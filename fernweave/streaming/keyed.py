@@ -55,18 +55,22 @@ class KeyedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/runs").parquet(*[f"{self.path}/runs/run={r['name']}" for r in runs])
 
-    def _one(self, rows: DataFrame) -> DataFrame:
-        """One row for each key."""
+    def _one(self, rows: DataFrame, *dealt: str) -> DataFrame:
+        """One row for each key. dealt: columns that follow from the key and by which rows lie together already."""
         pick = F.min_by if self.keep == "first" else F.max_by
         rest = [c for c in [*self.columns, BATCH] if c not in self.keys]
-        return rows.groupBy(*self.keys).agg(pick(F.struct(*rest), F.struct(*self.order)).alias("__row")).select(*self.keys, "__row.*")
+        return rows.groupBy(*dealt, *self.keys).agg(pick(F.struct(*rest), F.struct(*self.order)).alias("__row")).select(*dealt, *self.keys, "__row.*")
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
 
+    def _run(self, rows: DataFrame) -> DataFrame:
+        """rows, one for each key, as a run has them. They are shuffled once: where a bucket is written, its keys are found."""
+        dealt = rows.select(*self.columns, BATCH).withColumn(BUCKET, self._bucket()).repartition(BUCKET)
+        return self._one(dealt, BUCKET).sortWithinPartitions(BUCKET, *self.keys)
+
     def _write(self, rows: DataFrame, name: str) -> None:
-        dealt = rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET).sortWithinPartitions(BUCKET, *self.keys)
-        dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/runs/run={name}")
+        self._run(rows).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/runs/run={name}")
 
     def upsert(self, rows: DataFrame, batch: int) -> None:
         """Apply a batch; one that was applied changes nothing."""
@@ -74,13 +78,13 @@ class KeyedTable:
         if batch <= told["applied"]:
             return
         name = f"b0x{batch}x{batch}"
-        self._write(self._one(rows.select(*self.columns).withColumn(BATCH, F.lit(batch).cast("bigint"))), name)
+        self._write(rows.select(*self.columns).withColumn(BATCH, F.lit(batch).cast("bigint")), name)
         runs, gone = [*told["runs"], {"name": name, "level": 0, "first": batch, "last": batch}], []
         level = 0
         while len(full := [r for r in runs if r["level"] == level]) >= self.fan:
             first, last = full[0]["first"], full[-1]["last"]
             merged = {"name": f"b{level + 1}x{first}x{last}", "level": level + 1, "first": first, "last": last}
-            self._write(self._one(self._rows(full).select(*self.columns, BATCH)), merged["name"])
+            self._write(self._rows(full), merged["name"])
             runs = sorted([r for r in runs if r["level"] != level] + [merged], key=lambda r: (-r["level"], r["first"]))
             gone += [r["name"] for r in full]
             level += 1

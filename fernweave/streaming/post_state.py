@@ -14,6 +14,8 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from operator import itemgetter
+from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -36,7 +38,11 @@ SHORT = f"post_id string, is_qualifying boolean, posted bigint, {_NUMBERS}"
 POSTS = f"task_id string, account_id string, post_id string, kind string, is_qualifying boolean, text string, posted_at timestamp, {_NUMBERS}, conversation_id string, in_reply_to_tweet_id string, quoted_tweet_id string, retweeted_tweet_id string"
 METRICS = "sample_count bigint, scanned_count bigint, sample_span_days double, latest_post_at timestamp, avg_reply double, avg_retweet double, avg_like double, avg_view double, view_sample_count bigint, median_engagement double, engagement_rate double, bookmark_rate double"
 _KEPT = f"{POSTS}, {PLACE}"
-CHANGES = f"row string, {_KEPT}, {METRICS}"
+#: A post on its way through the state: its time as a number.
+MOVED = _KEPT.replace("posted_at timestamp", "posted bigint")
+CHANGES = f"row string, {MOVED}, {METRICS}"
+#: Where the stream's checkpoint and tables are under its store: a state of another layout needs a folder of its own.
+FOLDER = "timelines-packed"
 
 
 def own_mentions(messages: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -45,7 +51,13 @@ def own_mentions(messages: DataFrame, tasks: DataFrame) -> DataFrame:
     keys = ["task_id", "account_id", "at", "event"]
     pages = pages.select("task_id", "account_id", F.coalesce(F.col("requested_at").cast("string"), F.lit("")).alias("at"), F.col("event_id").alias("event"), "payload")
     found = parse.own_posts(parse.mentions(pages, keys)).withColumns({"ord": F.col("o.ord"), "item": F.col("o.place"), "posted": F.unix_micros("posted_at")})
-    return found.select(*columns(_KEPT), "posted")
+    return found.select(*columns(MOVED))
+
+
+#: Of a row as MOVED: where its id is, its place, what the sample needs; rows are tuples, and asking them by name costs a search for each column.
+_ID = columns(MOVED).index("post_id")
+_PLACE_OF, _SHORT_OF = (itemgetter(*[columns(MOVED).index(c) for c in columns(told)]) for told in (PLACE, SHORT))
+_CHANGE = Row(*columns(CHANGES))
 
 
 def newest_first(post: tuple) -> tuple:
@@ -84,6 +96,15 @@ def part_of(post_id: str, parts: int) -> int:
     return zlib.crc32(post_id.encode()) % parts
 
 
+def packed(told: object) -> bytes:
+    """JSON, compressed: the posts of an account say much the same, and what a batch changes in a state is written three times."""
+    return zlib.compress(json.dumps(told, separators=(",", ":")).encode(), 1)
+
+
+def unpacked(raw: bytes) -> Any:
+    return json.loads(zlib.decompress(raw))
+
+
 class Timelines(StatefulProcessor):
     """The state of (task, account): its posts by parts of some PART, dealt by a hash of the id, its sample, the number of posts."""
 
@@ -91,32 +112,32 @@ class Timelines(StatefulProcessor):
         self.most = target_posts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.account = handle.getValueState("account", "scanned bigint, parts int, sample string")
-        self.held = handle.getMapState("held", "part int", "posts string")
+        self.account = handle.getValueState("account", "scanned bigint, parts int, sample binary")
+        self.held = handle.getMapState("held", "part int", "posts binary")
 
     def _part(self, part: int) -> dict[str, list]:
         found = self.held.getValue((part,))
-        return json.loads(found[0]) if found else {}
+        return unpacked(found[0]) if found else {}
 
     def _deal(self, parts: int) -> None:
         """The posts into so many parts: as posts double each time, a post is dealt anew once or twice in the mean."""
-        every = [post for posts in self.held.values() for post in json.loads(posts[0]).items()]
+        every = [post for posts in self.held.values() for post in unpacked(posts[0]).items()]
         dealt: dict[int, dict] = {}
         for post_id, told in every:
             dealt.setdefault(part_of(post_id, parts), {})[post_id] = told
         self.held.clear()
         for part, posts in dealt.items():
-            self.held.updateValue((part,), (json.dumps(posts),))
+            self.held.updateValue((part,), (packed(posts),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:  # noqa: N802
         best: dict[str, tuple] = {}
         for row in rows:
-            place = (row.at, row.event, row.ord, row.item)
-            if row.post_id not in best or place < best[row.post_id][0]:
-                best[row.post_id] = (place, row)
+            post_id, place = row[_ID], _PLACE_OF(row)
+            if post_id not in best or place < best[post_id][0]:
+                best[post_id] = (place, row)
         before = self.account.get()
         scanned, parts = before[:2] if before else (0, 1)
-        sample = [tuple(p) for p in json.loads(before[2])] if before else []
+        sample = [tuple(p) for p in unpacked(before[2])] if before else []
         full, held = len(sample) >= self.most, {p[0] for p in sample}
         wanted: dict[int, list[str]] = {}
         for post_id in best:
@@ -129,30 +150,30 @@ class Timelines(StatefulProcessor):
                 known = posts.get(post_id)
                 if known is not None and tuple(known[:4]) <= place:
                     continue
-                short = (post_id, row.is_qualifying, row.posted, *(getattr(row, c) for c in COUNTS))
+                short = _SHORT_OF(row)
                 posts[post_id] = [*place, *short[1:]]
                 changed.append(row)
                 scanned += known is None
                 if post_id in held:
                     anew = anew or full
                     sample = [p for p in sample if p[0] != post_id]
-                if row.is_qualifying:
+                if short[1]:
                     sample.append(short)
             if len(changed) > so_far:
-                self.held.updateValue((part,), (json.dumps(posts),))
+                self.held.updateValue((part,), (packed(posts),))
         if not changed:
             return
         if anew:
-            sample = [p for p in ((i, *v[4:]) for posts in self.held.values() for i, v in json.loads(posts[0]).items()) if p[1]]
+            sample = [p for p in ((i, *v[4:]) for posts in self.held.values() for i, v in unpacked(posts[0]).items()) if p[1]]
         sample = sorted(sample, key=newest_first)[: self.most]
         if scanned > 2 * PART * parts:
             parts = scanned // PART
             self._deal(parts)
-        self.account.update((scanned, parts, json.dumps(sample)))
-        empty = dict.fromkeys(columns(CHANGES)) | {"task_id": key[0], "account_id": key[1]}
+        self.account.update((scanned, parts, packed(sample)))
+        nothing = (None,) * len(columns(METRICS))
         for row in changed:
-            yield Row(**(empty | {c: getattr(row, c) for c in columns(_KEPT)} | {"row": "post"}))
-        yield Row(**(empty | metrics_of(sample, scanned) | {"row": "metrics"}))
+            yield _CHANGE("post", *row, *nothing)
+        yield Row(**(dict.fromkeys(columns(CHANGES)) | {"task_id": key[0], "account_id": key[1]} | metrics_of(sample, scanned) | {"row": "metrics"}))
 
     def close(self) -> None:
         pass
@@ -162,14 +183,14 @@ class TimelineTables:
     """The stored posts and metrics of a stream."""
 
     def __init__(self, store: Store) -> None:
-        self.posts = KeyedTable(store.spark, f"{store.path}/timelines/posts", _KEPT, ["task_id", "account_id", "post_id"], columns(PLACE), "first")
-        self.metrics = KeyedTable(store.spark, f"{store.path}/timelines/metrics", f"task_id string, account_id string, {METRICS}", ["task_id", "account_id"])
+        self.posts = KeyedTable(store.spark, f"{store.path}/{FOLDER}/posts", _KEPT, ["task_id", "account_id", "post_id"], columns(PLACE), "first")
+        self.metrics = KeyedTable(store.spark, f"{store.path}/{FOLDER}/metrics", f"task_id string, account_id string, {METRICS}", ["task_id", "account_id"])
 
     def apply(self) -> Callable[[DataFrame, int], None]:
         def run(changes: DataFrame, batch: int) -> None:
             changes = changes.persist()
             try:
-                self.posts.upsert(changes.filter("row = 'post'"), batch)
+                self.posts.upsert(changes.filter("row = 'post'").withColumn("posted_at", F.timestamp_micros("posted")), batch)
                 self.metrics.upsert(changes.filter("row = 'metrics'"), batch)
             finally:
                 changes.unpersist()
@@ -190,8 +211,8 @@ class TimelineTables:
 
 def start(messages: DataFrame, store: Store, tasks: DataFrame, once: bool = True, target_posts: int = TARGET_POSTS) -> StreamingQuery:
     """The stream of messages (value) into the store's posts and metrics."""
-    rows = own_mentions(messages, tasks).groupBy("task_id", "account_id")
-    changes = rows.transformWithState(Timelines(target_posts), CHANGES, "Append", "None")
-    writer = changes.writeStream.foreachBatch(TimelineTables(store).apply()).outputMode("append").option("checkpointLocation", f"{store.path}/timelines/checkpoint")
     with stateful(store.spark):
+        rows = own_mentions(messages, tasks).groupBy("task_id", "account_id")
+        changes = rows.transformWithState(Timelines(target_posts), CHANGES, "Append", "None")
+        writer = changes.writeStream.foreachBatch(TimelineTables(store).apply()).outputMode("append").option("checkpointLocation", f"{store.path}/{FOLDER}/checkpoint")
         return (writer.trigger(availableNow=True) if once else writer).start()
