@@ -129,6 +129,13 @@ def integer(v: Column, path: str) -> Column:
     return F.when(kind == "STRING", digits).when(kind == "BOOLEAN", at(v, path, "boolean").cast("bigint")).otherwise(F.coalesce(at(v, path, "bigint"), at(v, path, "double").try_cast("bigint")))
 
 
+def whole(value: Column) -> Column:
+    """A VARIANT itself as an integer, by the same rules."""
+    kind, told = F.schema_of_variant(value), lambda name: F.try_variant_get(value, "$", name)
+    digits = F.when(told("string").rlike(r"^\s*[+-]?\d+\s*$"), F.trim(told("string")).try_cast("bigint"))
+    return F.when(kind == "STRING", digits).when(kind == "BOOLEAN", told("boolean").cast("bigint")).otherwise(F.coalesce(told("bigint"), told("double").try_cast("bigint")))
+
+
 def boolean(v: Column, path: str) -> Column:
     """Only true and false themselves: a 1 or a "true" is neither."""
     return F.when(F.schema_of_variant(at(v, path, "variant")) == "BOOLEAN", at(v, path, "boolean"))

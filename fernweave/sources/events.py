@@ -18,7 +18,8 @@ REQUIRED = ("event_id", "task_id", "account_id", "operation", "payload")
 def decoded(messages: DataFrame, value: str = "value") -> DataFrame:
     """messages with the event's columns and `problem`: null, or why a message can't be read. One plan, no second pass."""
     event = F.from_json(F.col(value).cast("string"), EVENT)
-    rows = messages.withColumn("__e", event)
+    # as a row of its own: filters on what an event says would be put before it, and each would read the message again for every field
+    rows = messages.withColumn("__e", F.explode(F.array(event)))
     lacking = F.array_compact(F.array(*[F.when(F.col(f"__e.{c}").isNull(), F.lit(c)) for c in REQUIRED]))
     problem = F.when(F.col("__e").isNull(), F.lit("no JSON object")).when(F.size(lacking) > 0, F.concat(F.lit("missing "), F.array_join(lacking, ", ")))
     problem = problem.when(~F.col("__e.operation").isin(*OPERATIONS), F.concat(F.lit("unknown operation "), F.col("__e.operation")))

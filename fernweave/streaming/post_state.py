@@ -40,7 +40,9 @@ METRICS = "sample_count bigint, scanned_count bigint, sample_span_days double, l
 _KEPT = f"{POSTS}, {PLACE}"
 #: A post on its way through the state: its time as a number.
 MOVED = _KEPT.replace("posted_at timestamp", "posted bigint")
-CHANGES = f"row string, {MOVED}, {METRICS}"
+#: What is told of a post beside its account: JSON while it goes through the state, since there each column of a row costs as much as all of it so.
+TOLD = MOVED.removeprefix("task_id string, account_id string, ")
+CHANGES = f"row string, task_id string, account_id string, told string, {METRICS}"
 #: Where the stream's checkpoint and tables are under its store: a state of another layout needs a folder of its own.
 FOLDER = "timelines-packed"
 
@@ -54,9 +56,7 @@ def own_mentions(messages: DataFrame, tasks: DataFrame) -> DataFrame:
     return found.select(*columns(MOVED))
 
 
-#: Of a row as MOVED: where its id is, its place, what the sample needs; rows are tuples, and asking them by name costs a search for each column.
-_ID = columns(MOVED).index("post_id")
-_PLACE_OF, _SHORT_OF = (itemgetter(*[columns(MOVED).index(c) for c in columns(told)]) for told in (PLACE, SHORT))
+_PLACE_OF, _SHORT_OF = (itemgetter(*columns(told)) for told in (PLACE, SHORT))
 _CHANGE = Row(*columns(CHANGES))
 
 
@@ -132,9 +132,10 @@ class Timelines(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:  # noqa: N802
         best: dict[str, tuple] = {}
         for row in rows:
-            post_id, place = row[_ID], _PLACE_OF(row)
+            post = json.loads(row.told)
+            post_id, place = post["post_id"], _PLACE_OF(post)
             if post_id not in best or place < best[post_id][0]:
-                best[post_id] = (place, row)
+                best[post_id] = (place, _SHORT_OF(post), row.told)
         before = self.account.get()
         scanned, parts = before[:2] if before else (0, 1)
         sample = [tuple(p) for p in unpacked(before[2])] if before else []
@@ -146,13 +147,12 @@ class Timelines(StatefulProcessor):
         for part, ids in wanted.items():
             posts, so_far = self._part(part) if before else {}, len(changed)
             for post_id in ids:
-                place, row = best[post_id]
+                place, short, told = best[post_id]
                 known = posts.get(post_id)
                 if known is not None and tuple(known[:4]) <= place:
                     continue
-                short = _SHORT_OF(row)
                 posts[post_id] = [*place, *short[1:]]
-                changed.append(row)
+                changed.append(told)
                 scanned += known is None
                 if post_id in held:
                     anew = anew or full
@@ -171,9 +171,10 @@ class Timelines(StatefulProcessor):
             self._deal(parts)
         self.account.update((scanned, parts, packed(sample)))
         nothing = (None,) * len(columns(METRICS))
-        for row in changed:
-            yield _CHANGE("post", *row, *nothing)
-        yield Row(**(dict.fromkeys(columns(CHANGES)) | {"task_id": key[0], "account_id": key[1]} | metrics_of(sample, scanned) | {"row": "metrics"}))
+        for told in changed:
+            yield _CHANGE("post", *key, told, *nothing)
+        found = metrics_of(sample, scanned)
+        yield _CHANGE("metrics", *key, None, *[found[c] for c in columns(METRICS)])
 
     def close(self) -> None:
         pass
@@ -212,7 +213,9 @@ class TimelineTables:
 def start(messages: DataFrame, store: Store, tasks: DataFrame, once: bool = True, target_posts: int = TARGET_POSTS) -> StreamingQuery:
     """The stream of messages (value) into the store's posts and metrics."""
     with stateful(store.spark):
-        rows = own_mentions(messages, tasks).groupBy("task_id", "account_id")
+        told = F.to_json(F.struct(*columns(TOLD)), {"ignoreNullFields": "false"}).alias("told")
+        rows = own_mentions(messages, tasks).select("task_id", "account_id", told).groupBy("task_id", "account_id")
         changes = rows.transformWithState(Timelines(target_posts), CHANGES, "Append", "None")
+        changes = changes.withColumn("told", F.from_json("told", TOLD)).select("row", "task_id", "account_id", "told.*", *columns(METRICS))
         writer = changes.writeStream.foreachBatch(TimelineTables(store).apply()).outputMode("append").option("checkpointLocation", f"{store.path}/{FOLDER}/checkpoint")
         return (writer.trigger(availableNow=True) if once else writer).start()
