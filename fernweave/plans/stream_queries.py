@@ -152,9 +152,11 @@ def _timelines(spark: SparkSession, sf_dir: str) -> post_state.TimelineTables:
     files = max(3, 2 * frame(spark, sf_dir, "account_posts").count() * 4 // 3 // FILE_MESSAGES)
     with ingest.settings(spark, ingest.TIDY):
         timeline_messages(spark, sf_dir, files, copies=2).write.option("compression", "gzip").text(f"{path}/in")
+    # two batches, of two thirds of the files that are there and of the rest
+    part = -(-2 * len(spark.read.text(f"{path}/in").inputFiles()) // 3)
     store, tasks = ingest.Store(spark, path), spark.createDataFrame([(TASK,)], "task_id string")
     for _ in range(2):
-        post_state.start(events.from_files(spark, f"{path}/in", files_per_batch=-(-2 * files // 3)), store, tasks).awaitTermination()
+        post_state.start(events.from_files(spark, f"{path}/in", files_per_batch=part), store, tasks).awaitTermination()
     return post_state.TimelineTables(store)
 
 
